@@ -1,0 +1,87 @@
+"""Removal of rows by their position in key order."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..sources.tables import materialize
+
+# Up to this many leading rows a bounded top-n is cheaper than a full sort.
+TOP_N_LIMIT = 10_000
+
+
+def _ascending(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).asc_nulls_last() for k in keys]
+
+
+def _descending(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).desc_nulls_first() for k in keys]
+
+
+def without_keys(df: DataFrame, drop: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Anti join in which missing keys equal each other."""
+    other = drop.select([F.col(k).alias(f"drop_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"drop_{k}")) for k in keys])
+    return df.join(other, same, "left_anti")
+
+
+def trim_edge_groups(
+    df: DataFrame, keys: Sequence[str], head: int = 5, tail: int = 1
+) -> DataFrame:
+    """Drop the first ``head`` and last ``tail`` rows in key order, missing keys last.
+
+    Both edges are bounded top-n selections over the key columns alone, so there
+    is no global sort and the broadcast side holds ``head + tail`` rows at most.
+    """
+    if max(head, tail) > TOP_N_LIMIT:
+        raise ValueError(f"edges longer than {TOP_N_LIMIT} rows: use drop_row_at / a key filter")
+    only_keys = df.select(*keys)
+    first = only_keys.orderBy(*_ascending(keys)).limit(head)
+    last = only_keys.orderBy(*_descending(keys)).limit(tail)
+    return without_keys(df, F.broadcast(first.unionAll(last)), keys)
+
+
+def row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The key of the ``n``-th row (from 1) in key order; empty when there is none.
+
+    ``keys`` must identify a row. Small positions use a bounded top-n. Larger ones
+    sort the keys by range, store them with their partition number, count per
+    partition, and number the rows of the one partition that holds the position.
+    """
+    only_keys = df.select(*keys)
+    if n < 1:
+        return only_keys.limit(0)
+    if n <= TOP_N_LIMIT:
+        head = only_keys.orderBy(*_ascending(keys)).limit(n)
+        numbered = head.agg(F.count(F.lit(1)).alias("present"))
+        last = head.orderBy(*_descending(keys)).limit(1)
+        reached = numbered.select(F.col("present") == n).scalar()
+        return last.where(reached)
+    ranged = only_keys.repartitionByRange(*_ascending(keys)).withColumn(
+        "slice", F.spark_partition_id()
+    )
+    stored = materialize(ranged, "ordered-keys", partition_by=["slice"])
+    # One row per range partition: small whatever the data holds.
+    counts = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
+    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    target = (
+        counts.withColumn("through", F.sum("rows").over(upto))
+        .where((F.col("through") >= n) & (F.col("through") - F.col("rows") < n))
+        .select("slice", (F.lit(n) - F.col("through") + F.col("rows")).alias("position"))
+    )
+    within = Window.partitionBy("slice").orderBy(*_ascending(keys))
+    return (
+        stored.join(target, "slice")
+        .withColumn("ordinal", F.row_number().over(within))
+        .where(F.col("ordinal") == F.col("position"))
+        .select(*keys)
+    )
+
+
+def drop_row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """Drop the ``n``-th row in key order; nothing happens when there is no such row."""
+    return without_keys(df, F.broadcast(row_at(df, keys, n)), keys)

@@ -1,0 +1,111 @@
+"""CSV readers with explicit types, and the CSV / Parquet writers."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.missing import null_out_nan
+
+# Column names and types of the input files.
+WEATHER_TYPES = {
+    "station": "string",
+    "date": "string",
+    "tm_avg": "double",
+    "tm_min": "double",
+    "tm_max": "double",
+    "pr_day": "double",
+    "ws_avg": "double",
+    "ws_max": "double",
+    "hm_avg": "double",
+    "ss_dura_sum": "double",
+    "rad_sum": "double",
+}
+STATION_TYPES = {
+    "station": "int",
+    "date_start": "string",
+    "latitude": "double",
+    "longitude": "double",
+    "wide": "string",
+    "station_name": "string",
+    "region": "string",
+}
+REGION_TYPES = {"region": "string", "wide": "string"}
+REGION_GEO_TYPES = {"wide": "string", "region": "string", "lat": "double", "lng": "double"}
+YIELD_COLUMNS = ("wide", "region", "year", "area_ha", "prod_10a_kg", "prod_ton")
+YIELD_TYPES = ("string", "string", "int", "double", "double", "double")
+
+
+def _schema(names: Sequence[str], types: Mapping[str, str]) -> T.StructType:
+    ddl = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(n, ddl[types.get(n, "string")], True) for n in names])
+
+
+def _csv_options(spark: SparkSession):
+    return spark.read.option("header", True).option("nullValue", "NA").option("nanValue", "NaN")
+
+
+def header_names(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file; reads the header line only."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def read_typed_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
+    """Read a CSV whose known columns are typed by name and whose others stay text.
+
+    Types are never inferred: inference would turn a damaged date such as
+    '2001-01' into a timestamp. Columns nobody selects are not parsed.
+    """
+    names = header_names(spark, path)
+    missing = [c for c in types if c not in names]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    df = _csv_options(spark).schema(_schema(names, types)).csv(path)
+    return null_out_nan(df)
+
+
+def read_weather(spark: SparkSession, path: str) -> DataFrame:
+    names = set(header_names(spark, path))
+    wanted = {c: t for c, t in WEATHER_TYPES.items() if c != "ws_max" or c in names}
+    return read_typed_csv(spark, path, wanted)
+
+
+def read_stations(spark: SparkSession, path: str) -> DataFrame:
+    """Station metadata with the year its history starts."""
+    df = read_typed_csv(spark, path, STATION_TYPES).select(*STATION_TYPES)
+    return with_year_start(df)
+
+
+def with_year_start(stations: DataFrame) -> DataFrame:
+    start = F.substring("date_start", 1, 4).try_cast("int")
+    return stations.withColumn("year_start", start)
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    return read_typed_csv(spark, path, REGION_TYPES).select(*REGION_TYPES)
+
+
+def read_region_geo(spark: SparkSession, path: str) -> DataFrame:
+    return read_typed_csv(spark, path, REGION_GEO_TYPES).select(*REGION_GEO_TYPES)
+
+
+def read_yields(spark: SparkSession, path: str) -> DataFrame:
+    """One yield file; its own header names are replaced by position."""
+    found = header_names(spark, path)
+    if len(found) != len(YIELD_COLUMNS):
+        raise ValueError(f"{path} has {len(found)} columns, expected {len(YIELD_COLUMNS)}")
+    schema = _schema(YIELD_COLUMNS, dict(zip(YIELD_COLUMNS, YIELD_TYPES)))
+    return null_out_nan(_csv_options(spark).schema(schema).csv(path))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write part files with a header; missing values as NA."""
+    df.write.option("header", True).option("nullValue", "NA").mode("overwrite").csv(path)
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:
+    """Write Parquet, by default in one folder per year so that year filters prune files."""
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
