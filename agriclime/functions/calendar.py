@@ -12,14 +12,16 @@ def _part(date_col: str, start: int, length: int) -> Column:
     return F.substring(F.col(date_col), start, length).try_cast("int")
 
 
+# Comparisons are added up rather than chained in a CASE: a missing day stays missing
+# without a test, and the text is parsed less often per row.
 def half_of(day: Column) -> Column:
     """1 for the second half of a month (day 15 on), 2 for the first: the coding the data uses."""
-    return F.when(day >= 15, 1).when(day.isNotNull(), 2)
+    return F.lit(2) - (day >= 15).cast("int")
 
 
 def ten_day_of(day: Column) -> Column:
     """1 for days 1-10, 2 for 11-20, 3 from 21 on; null for a missing day."""
-    return F.when(day <= 10, 1).when(day >= 21, 3).when(day.isNotNull(), 2)
+    return F.lit(1) + (day > 10).cast("int") + (day >= 21).cast("int")
 
 
 def calendar_parts(df: DataFrame, date_col: str = "date") -> DataFrame:

@@ -65,14 +65,20 @@ MONTH5_LITERAL = (
 
 
 def period_of(offset: Column, rules: Sequence[PeriodRule]) -> Column:
-    """First matching period; null outside all of them."""
-    branch = F
-    for rule in rules:
-        inside = offset >= rule.lo
-        if rule.hi is not None:
-            inside = inside & (offset <= rule.hi)
-        branch = branch.when(inside, F.lit(rule.period))
-    return branch
+    """First matching period; null outside all of them.
+
+    The rules become a lookup list over the offsets of a year, so that the offset,
+    which is derived from text, is evaluated once instead of once per rule.
+    """
+    first = min(rule.lo for rule in rules)
+    last = max(TENDAYS_PER_YEAR if rule.hi is None else rule.hi for rule in rules)
+
+    def matching(k: int) -> str | None:
+        inside = (r.period for r in rules if r.lo <= k and (r.hi is None or k <= r.hi))
+        return next(inside, None)
+
+    periods = F.array(*[F.lit(matching(k)) for k in range(first, last + 1)])
+    return F.get(periods, offset - first)
 
 
 def classify_period(

@@ -2,14 +2,14 @@
 
 Stations are first reduced to distinct places (keeping the ``k`` lowest station
 numbers of each, more can never be needed), and the places are put on a grid that
-is refined eightfold per axis and level. All regions walk down the levels
-together. At each level a region knows, for its candidate cells, how many places
-they hold and the least and greatest possible distance. The ``k`` places in the
-cells of smallest greatest-distance bound the answer; cells that start beyond that
-bound are dropped, the others are refined. After the last level only a few places
-per region are left, whose true distances are ranked. The result is exact, the
-rows per region stay in proportion to ``k``, and a dense area is simply split
-finer.
+is refined eightfold per axis and level, until no cell holds many places. All
+regions walk down the levels together. At each level a region knows, for its
+candidate cells, how many places they hold and the least and greatest possible
+distance. The cells of smallest greatest-distance that together hold ``k`` places
+bound the answer; cells that start beyond that bound are dropped, the others are
+refined. After the last level only a few places per region are left, whose true
+distances are ranked. The result is exact, the rows per region stay in proportion
+to ``k``, and a dense area is simply split finer.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from ..sources.tables import materialize
 
 NEIGHBOURS = 10
 BITS_PER_LEVEL = 3
-LEVELS = 4
+MAX_LEVELS = 7
+# The grid is refined until its fullest cell holds at most this many places.
+CELL_CAPACITY = 32
 # Cells of the first three levels number at most 8**2, 8**4 and 8**6, whatever the
 # data: the first travels as an array, the next two can be broadcast.
 BROADCAST_LEVELS = 3
@@ -56,9 +58,9 @@ def station_places(stations: DataFrame, k: int) -> DataFrame:
 class _Grid:
     """Cell numbers of a fixed bounding box at every level."""
 
-    def __init__(self, box, levels: int):
-        self.levels = levels
-        self.bits = BITS_PER_LEVEL * levels
+    bits = BITS_PER_LEVEL * MAX_LEVELS
+
+    def __init__(self, box):
         self.lat0, self.lat_span = box["lat0"], box["lat1"] - box["lat0"]
         self.lng0, self.lng_span = box["lng0"], box["lng1"] - box["lng0"]
 
@@ -77,6 +79,29 @@ class _Grid:
             "cell_x": self._axis("longitude", self.lng0, self.lng_span, level),
         }
 
+    def levels_needed(self, places: DataFrame) -> int:
+        """The first level whose fullest cell is small enough (one row per level is read)."""
+        numbered = F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(level).alias("level"),
+                             *[c.alias(name) for name, c in self.place_cell(level).items()])
+                    for level in range(1, MAX_LEVELS + 1)
+                ]
+            )
+        )
+        fullest = (
+            places.select(numbered.alias("c"))
+            .groupBy("c.level", "c.cell_y", "c.cell_x")
+            .agg(F.count(F.lit(1)).alias("places"))
+            .groupBy("level")
+            .agg(F.max("places").alias("places"))
+            .where(F.col("places") <= CELL_CAPACITY)
+            .agg(F.min("level").alias("level"))
+            .first()
+        )
+        return fullest["level"] or MAX_LEVELS
+
     def cells(self, places: DataFrame, level: int) -> DataFrame:
         """Occupied cells: their places and the extent of those places."""
         return (
@@ -121,13 +146,14 @@ def _closest_cells(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_stations(
-    regions: DataFrame, stations: DataFrame, k: int = NEIGHBOURS, levels: int = LEVELS
+    regions: DataFrame, stations: DataFrame, k: int = NEIGHBOURS
 ) -> DataFrame:
     """(wide, region, rank, station, dist) of the ``k`` nearest stations per region.
 
     Distance is Euclidean in degrees; equal distances rank by station number.
-    Regions or stations without coordinates take no part. Runs one small job of its
-    own: the distinct places become a stage table, and its bounding box is read.
+    Regions or stations without coordinates take no part. Runs small jobs of its own:
+    the distinct places become a stage table, whose bounding box and fullest cells
+    decide the depth of the grid.
     """
     places = materialize(station_places(stations, k), "places")
     box = places.agg(
@@ -144,7 +170,8 @@ def nearest_stations(
             F.lit(0.0).alias("dist"),
         ).limit(0)
 
-    grid = _Grid(box, levels)
+    grid = _Grid(box)
+    levels = grid.levels_needed(places)
     points = located.select(*POINT).distinct()
 
     top = grid.cells(places, 1)

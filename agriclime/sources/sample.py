@@ -32,7 +32,7 @@ def weather(spark: SparkSession, folder: str, sparse: bool = False) -> DataFrame
     line = F.col("l_linenumber")
     return items.select(
         F.col("l_suppkey").cast("int").alias("station"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_shipdate").cast("date").cast("string").alias("date"),
         F.col("l_quantity").alias("tm_avg"),
         (F.col("l_quantity") - percent_off).alias("tm_min"),
         (F.col("l_quantity") + percent_tax).alias("tm_max"),
