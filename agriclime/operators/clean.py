@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import matches, max_present, mean_present, nan_to_null, safe_int
+from ..sources.tables import materialize
 
 # The eight provinces kept, and the three of one growing calendar.
 PROVINCES = ("강원", "경기", "경남", "경북", "전남", "전북", "충남", "충북")
@@ -86,9 +87,9 @@ def station_join(
     No broadcast hint: station tables can be large, so the optimizer decides from
     the size it knows or measures. Shuffled, a hot station is split at run time.
     With several history entries per station the join fans out unless
-    ``one_per_station``.
+    ``one_per_station``, for which the latest entries become a stage table.
     """
-    meta = latest_station(stations) if one_per_station else stations
+    meta = materialize(latest_station(stations), "latest") if one_per_station else stations
     return daily.join(meta.select("station", "wide", "station_name", "region"), "station", "left")
 
 

@@ -1,4 +1,8 @@
-"""Removal of rows by their position in key order."""
+"""Removal of rows by their position in key order.
+
+The keys are read on their own to find a position; pass a stage table
+(``sources.tables.materialize``) when the rows are expensive to compute.
+"""
 
 from __future__ import annotations
 
@@ -64,7 +68,8 @@ def row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     ranged = only_keys.repartitionByRange(*_ascending(keys)).withColumn(
         "slice", F.spark_partition_id()
     )
-    stored = materialize(ranged, "ordered-keys", partition_by=["slice"])
+    # Each task writes its own slice, in the order of the ranges.
+    stored = materialize(ranged, "ordered-keys", partition_by=["slice"], rebalance=False)
     # One row per range partition: small whatever the data holds.
     counts = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -16,6 +16,7 @@ from ..functions.missing import (
     min_present,
     sum_or_zero,
 )
+from ..sources.tables import materialize
 from .clean import SUBTOTAL_PATTERN, exclude_matching
 
 PERIODS = ("P1", "P2", "P3", "P4", "P5")
@@ -106,9 +107,9 @@ def classify_period_by_group(
     """Like :func:`classify_period`, with the rules as rows that vary by group.
 
     ``rules``: the ``by`` columns, month, ten_day (of transplanting), period, lo, hi
-    (null: open-ended). Rules are expanded to the few ten-days they cover, so the
-    match is an equality join rather than a range join. Overlaps go to the lowest
-    ``lo``, then the period name.
+    (null: open-ended). Rules are expanded to the few ten-days they cover (at most 36
+    rows per group, stored as a stage table), so the match is an equality join rather
+    than a range join. Overlaps go to the lowest ``lo``, then the period name.
     """
     start = tenday_number(F.col("month"), F.col("ten_day"))
     first = F.greatest(start + F.col("lo"), F.lit(1))
@@ -121,7 +122,7 @@ def classify_period_by_group(
         .groupBy(*by, "tenday_no")
         .agg(F.min_by("period", F.struct("lo", "period")).alias("period"))
     )
-    return df.join(covered, [*by, "tenday_no"])
+    return df.join(materialize(covered, "period-rules"), [*by, "tenday_no"])
 
 
 STATISTICS: dict[str, Callable[[str], Column]] = {

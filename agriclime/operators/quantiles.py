@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 # The sketch is off by at most count / ACCURACY ranks; the bracket around a wanted
 # rank is ten times as wide on both sides.
 ACCURACY = 10_000
@@ -21,7 +23,7 @@ def exact_quantiles(
     A mergeable sketch brackets each wanted rank. The rows below a bracket are only
     counted; those inside, about 0.2 % of a group besides equal values, which
     collapse into counts, are sorted. ``names`` maps result columns to probabilities.
-    Missing values are ignored.
+    Missing values are ignored. The brackets become a stage table.
     """
     groups = list(groups)
     if not groups:
@@ -67,7 +69,8 @@ def exact_quantiles(
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"g_{g}"))
     # One row per group and wanted quantile on the right; counted on the map side.
-    keyed = present.join(brackets, same & (F.col("v") <= F.col("hi")))
+    bounded = materialize(brackets, "quantile-brackets")
+    keyed = present.join(bounded, same & (F.col("v") <= F.col("hi")))
     inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
     counted = (
         keyed.groupBy(*groups, "name", "low_rank", "share", inside.alias("v"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import nan_to_null
 from ..functions.solver import moment_solver
+from ..sources.tables import materialize
 from .phenology import PERIODS
 from .quantiles import exact_quantiles
 
@@ -206,8 +207,8 @@ def ols_summary(df: DataFrame, models: Sequence[Model], groups: Sequence[str] =
 def trend_points(df: DataFrame, x: str, y: str = RESPONSE, group: str = "region") -> DataFrame:
     """Points of a scatter plot with the straight line of their group.
 
-    The line is an aggregate joined back, one row per group, instead of a window
-    that would hold a whole group.
+    The line is an aggregate joined back, one row per group (a stage table), instead
+    of a window that would hold a whole group.
     """
     yv, xv = nan_to_null(F.col(y).cast("double")), nan_to_null(F.col(x).cast("double"))
     points = df.select(group, "year", xv.alias("x"), yv.alias("y")).dropna(subset=["x", "y"])
@@ -216,7 +217,7 @@ def trend_points(df: DataFrame, x: str, y: str = RESPONSE, group: str = "region"
     )
     fitted = F.col("intercept") + F.col("slope") * F.col("x")
     return (
-        points.join(lines, F.col(group).eqNullSafe(F.col("line_of")))
+        points.join(materialize(lines, "trend-lines"), F.col(group).eqNullSafe(F.col("line_of")))
         .select(group, "year", "x", "y", fitted.alias("fitted"))
         .withColumn("residual", F.col("y") - F.col("fitted"))
     )

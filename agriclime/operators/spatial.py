@@ -81,18 +81,17 @@ class _Grid:
 
     def levels_needed(self, places: DataFrame) -> int:
         """The first level whose fullest cell is small enough (one row per level is read)."""
-        numbered = F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(level).alias("level"),
-                             *[c.alias(name) for name, c in self.place_cell(level).items()])
-                    for level in range(1, MAX_LEVELS + 1)
-                ]
-            )
+        finest = places.select(
+            *[c.alias(name) for name, c in self.place_cell(MAX_LEVELS).items()],
+            F.explode(F.sequence(F.lit(1), F.lit(MAX_LEVELS))).alias("level"),
         )
+        coarser = F.lit(self.bits) - F.lit(BITS_PER_LEVEL) * F.col("level")
         fullest = (
-            places.select(numbered.alias("c"))
-            .groupBy("c.level", "c.cell_y", "c.cell_x")
+            finest.groupBy(
+                "level",
+                F.call_function("shiftright", F.col("cell_y"), coarser).alias("cell_y"),
+                F.call_function("shiftright", F.col("cell_x"), coarser).alias("cell_x"),
+            )
             .agg(F.count(F.lit(1)).alias("places"))
             .groupBy("level")
             .agg(F.max("places").alias("places"))

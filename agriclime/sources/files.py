@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import null_out_nan
+from .tables import partitioned_writer
 
 # Column names and types of the input files.
 WEATHER_TYPES = {
@@ -108,4 +109,4 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:
     """Write Parquet, by default in one folder per year so that year filters prune files."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    partitioned_writer(df, partition_by).mode("overwrite").parquet(path)

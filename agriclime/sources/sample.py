@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Scale of the price columns. A power of ten would leave many means of two-decimal
+# prices exactly between two six-decimal values, where rounding depends on the order
+# of summation.
+PRICE_UNIT = 997.3
+
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
@@ -27,8 +32,9 @@ def weather(spark: SparkSession, folder: str, sparse: bool = False) -> DataFrame
     """
     items = _read(spark, folder, "lineitem")
     measured = F.col("l_returnflag") == "R" if sparse else F.col("l_returnflag") != "N"
-    percent_off = F.lit(100.0) * F.col("l_discount")
-    percent_tax = F.lit(100.0) * F.col("l_tax")
+    # Whole percents: sums of them are exact in any order.
+    percent_off = F.round(F.lit(100.0) * F.col("l_discount"))
+    percent_tax = F.round(F.lit(100.0) * F.col("l_tax"))
     line = F.col("l_linenumber")
     return items.select(
         F.col("l_suppkey").cast("int").alias("station"),
@@ -39,7 +45,7 @@ def weather(spark: SparkSession, folder: str, sparse: bool = False) -> DataFrame
         F.when(F.col("l_linestatus") != "O", percent_off).alias("pr_day"),
         F.when(line < 5, F.lit(40.0) + F.lit(5.0) * line).alias("hm_avg"),
         percent_tax.alias("ss_dura_sum"),
-        F.when(measured, F.col("l_extendedprice")).alias("rad_sum"),
+        F.when(measured, F.col("l_extendedprice") / F.lit(PRICE_UNIT)).alias("rad_sum"),
         (line + percent_off).alias("ws_avg"),
     )
 
@@ -87,12 +93,11 @@ def yields(spark: SparkSession, folder: str) -> DataFrame:
         F.year("o_orderdate").alias("year"),
     ).agg(
         F.count(F.lit(1)).cast("double").alias("area_ha"),
-        (F.avg("o_totalprice") / F.lit(1000.0)).alias("prod_10a_kg"),
-        (F.sum("o_totalprice") / F.lit(1000.0)).alias("prod_ton"),
+        (F.avg("o_totalprice") / F.lit(PRICE_UNIT)).alias("prod_10a_kg"),
+        (F.sum("o_totalprice") / F.lit(PRICE_UNIT)).alias("prod_ton"),
     )
 
 
-def yield_parts(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """The yields as two tables, split by year."""
-    whole = yields(spark, folder)
-    return [whole.where(F.col("year") <= 1998), whole.where(F.col("year") > 1998)]
+def split_by_year(yields: DataFrame) -> list[DataFrame]:
+    """The yields as two tables, as they are delivered."""
+    return [yields.where(F.col("year") <= 1998), yields.where(F.col("year") > 1998)]

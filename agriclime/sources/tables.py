@@ -2,7 +2,9 @@
 
 A stage table cuts lineage (it survives lost executors), is computed once however
 often it is used, and has an exact file size, so the optimizer's broadcast
-threshold is a true size check for every join against it.
+threshold is a true size check for every join against it. Beyond that size both
+sides of such a join are shuffled directly below it, the form in which a hot key is
+split at run time; a side that ends in an aggregation on the join key is not.
 """
 
 from __future__ import annotations
@@ -30,17 +32,29 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def partitioned_writer(df: DataFrame, partition_by: Sequence[str], rebalance: bool = True):
+    """A writer with one folder per key and files of a sensible size.
+
+    Without the rebalance every task would add a file to every folder. It shuffles
+    by the key but splits a large key over many tasks, so no year ends up in one.
+    """
+    if not partition_by:
+        return df.write
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
+    return df.write.partitionBy(*partition_by)
+
+
 def materialize(
     df: DataFrame,
     label: str = "stage",
     path: str | None = None,
     partition_by: Sequence[str] = (),
+    rebalance: bool = True,
 ) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of what was written."""
     spark = df.sparkSession
     target = path or new_path(spark, label)
-    writer = df.write.mode("overwrite" if path else "error")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
+    writer = partitioned_writer(df, partition_by, rebalance)
+    writer.mode("overwrite" if path else "error").parquet(target)
     return spark.read.schema(df.schema).parquet(target).select(*df.columns)

@@ -34,14 +34,14 @@ def weather(sparse: bool = False) -> str:
     return f"""weather AS (
   SELECT CAST(l_suppkey AS INTEGER) AS station, strftime(l_shipdate, '%Y-%m-%d') AS "date",
          l_quantity AS tm_avg,
-         l_quantity - CAST(100 AS DOUBLE) * l_discount AS tm_min,
-         l_quantity + CAST(100 AS DOUBLE) * l_tax AS tm_max,
-         CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(100 AS DOUBLE) * l_discount END AS pr_day,
+         l_quantity - round(CAST(100 AS DOUBLE) * l_discount) AS tm_min,
+         l_quantity + round(CAST(100 AS DOUBLE) * l_tax) AS tm_max,
+         CASE WHEN l_linestatus = 'O' THEN NULL ELSE round(CAST(100 AS DOUBLE) * l_discount) END AS pr_day,
          CASE WHEN l_linenumber >= 5 THEN NULL
               ELSE CAST(40 AS DOUBLE) + CAST(5 AS DOUBLE) * l_linenumber END AS hm_avg,
-         CAST(100 AS DOUBLE) * l_tax AS ss_dura_sum,
-         CASE WHEN {measured} THEN l_extendedprice END AS rad_sum,
-         l_linenumber + CAST(100 AS DOUBLE) * l_discount AS ws_avg
+         round(CAST(100 AS DOUBLE) * l_tax) AS ss_dura_sum,
+         CASE WHEN {measured} THEN l_extendedprice / CAST(997.3 AS DOUBLE) END AS rad_sum,
+         l_linenumber + round(CAST(100 AS DOUBLE) * l_discount) AS ws_avg
   FROM lineitem)"""
 
 
@@ -77,8 +77,8 @@ GEO = """geo AS (
 
 YIELDS = """yields AS (
   SELECT r_name AS wide, n_name AS region, CAST(year(o_orderdate) AS INTEGER) AS "year",
-         CAST(count(*) AS DOUBLE) AS area_ha, avg(o_totalprice) / CAST(1000 AS DOUBLE) AS prod_10a_kg,
-         sum(o_totalprice) / CAST(1000 AS DOUBLE) AS prod_ton
+         CAST(count(*) AS DOUBLE) AS area_ha, avg(o_totalprice) / CAST(997.3 AS DOUBLE) AS prod_10a_kg,
+         sum(o_totalprice) / CAST(997.3 AS DOUBLE) AS prod_ton
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3)"""
 YIELD_DOUBLES = ("area_ha", "prod_10a_kg", "prod_ton")

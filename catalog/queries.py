@@ -113,12 +113,18 @@ def _complete_query(grain):
     return lambda spark, d: _complete(spark, d, grain)
 
 
+# Rows are dropped by position from a stored rollup: its keys are read again to find
+# the position, the weather is not.
 def _trim(grain):
-    return lambda spark, d: edges.trim_edge_groups(_rollup(spark, d, grain), ru.group_keys(grain))
+    return lambda spark, d: edges.trim_edge_groups(
+        materialize(_rollup(spark, d, grain), "rollup"), ru.group_keys(grain)
+    )
 
 
 def _drop_row(grain, n):
-    return lambda spark, d: edges.drop_row_at(_rollup(spark, d, grain), ru.group_keys(grain), n)
+    return lambda spark, d: edges.drop_row_at(
+        materialize(_rollup(spark, d, grain), "rollup"), ru.group_keys(grain), n
+    )
 
 
 def _station_tally(spark, d):
@@ -274,7 +280,8 @@ def _province_abbrev(spark, d):
 
 
 def _yield_union(spark, d):
-    return yl.yield_union(*sample.yield_parts(spark, d))
+    whole = materialize(sample.yields(spark, d), "yields")
+    return yl.yield_union(*sample.split_by_year(whole))
 
 
 def _yield_trend(spark, d):
@@ -282,13 +289,13 @@ def _yield_trend(spark, d):
 
 
 def _yield_detrend(spark, d):
-    y = sample.yields(spark, d)
+    y = materialize(sample.yields(spark, d), "yields")
     return yl.detrend(y, yl.yield_trend(y))
 
 
 def _normalized_yields(spark, d):
-    y = _korean_yields(spark, d)
-    return yl.normalized_yields([y.where(F.col("year") <= 1998), y.where(F.col("year") > 1998)])
+    whole = materialize(_korean_yields(spark, d), "yields")
+    return yl.normalized_yields(sample.split_by_year(whole))
 
 
 def _region_daily(spark, d):
@@ -377,6 +384,11 @@ def _observations(spark, d):
     return _feature_yield(spark, d, exclude_year=2021)
 
 
+# For operators that pass over the feature table more than once.
+def _stored_observations(spark, d):
+    return materialize(_observations(spark, d), "features")
+
+
 def _ols(model):
     return lambda spark, d: regression.ols(_observations(spark, d), [model])
 
@@ -393,7 +405,7 @@ def _ols_all(spark, d):
 
 
 def _ols_summary(spark, d):
-    return regression.ols_summary(materialize(_observations(spark, d), "features"), ALL_MODELS)
+    return regression.ols_summary(_stored_observations(spark, d), ALL_MODELS)
 
 
 def _ols_by_province(spark, d):
@@ -401,7 +413,7 @@ def _ols_by_province(spark, d):
 
 
 def _trend_points(spark, d):
-    return regression.trend_points(_observations(spark, d), "tm_avg_P1")
+    return regression.trend_points(_stored_observations(spark, d), "tm_avg_P1")
 
 
 def registered() -> dict[str, Query]:

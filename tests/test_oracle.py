@@ -8,21 +8,21 @@ from compare import connect, difference
 import __spark_entry__ as contract
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+# In the smallest tables a province has too few complete rows for five predictors.
+LARGER = {"ols_by_province": "/root/testdata/sf0.01"}
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def con():
-    return connect(FOLDER)
-
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, FOLDER), con, SQL[name]) is None
+def test_query_matches_sql(spark, name):
+    folder = LARGER.get(name, FOLDER)
+    with connect(folder) as con:
+        assert difference(QUERIES[name](spark, folder), con, SQL[name]) is None
 
 
 def test_entry_has_rows(spark):
