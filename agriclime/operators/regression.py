@@ -180,10 +180,13 @@ def vif(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> D
 
 
 def ols_summary(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> DataFrame:
-    """Per model and group: fit quality, F test and the quantiles of the residuals."""
+    """Per model and group: fit quality, F test and the quantiles of the residuals.
+
+    The fits, one row per model and group, become a stage table.
+    """
     groups = list(groups)
     keys = [*groups, "model"]
-    fitted = fit_models(df, models, groups)
+    fitted = materialize(fit_models(df, models, groups), "fits")
     cases = _complete_cases(df, models, groups)
     values = [f"x{i}" for i in range(len(models[0].xs))]
     lines = fitted.select(

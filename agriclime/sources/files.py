@@ -102,8 +102,14 @@ def read_yields(spark: SparkSession, path: str) -> DataFrame:
     return null_out_nan(_csv_options(spark).schema(schema).csv(path))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Write part files with a header; missing values as NA."""
+def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] = ()) -> None:
+    """Write part files with a header; missing values as NA.
+
+    ``sort_by`` orders the rows over all part files (missing values last): rows are
+    a set until they are written.
+    """
+    if sort_by:
+        df = df.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by])
     df.write.option("header", True).option("nullValue", "NA").mode("overwrite").csv(path)
 
 

@@ -203,11 +203,13 @@ def stage_a() -> dict[str, str]:
         f"count(*) FILTER (station % 100 = {j}) END AS s{j}"
         for j in range(100)
     )
-    out["coverage_matrix"] = (
-        month
-        + f"""SELECT "year", "month", CAST(station // 100 AS INTEGER) AS tile, {slots}
-             FROM rolled GROUP BY 1, 2, 3"""
-    )
+    for suffix, grain in (("", "month"), ("_tenday", "tenday"), ("_half", "half")):
+        time = commas(keys(grain)[1:])
+        out[f"coverage_matrix{suffix}"] = (
+            with_(w, calendar(), rollup(grain, True))
+            + f"""SELECT {time}, CAST(station // 100 AS INTEGER) AS tile, {slots}
+                 FROM rolled GROUP BY {time}, CAST(station // 100 AS INTEGER)"""
+        )
     for name, grain in (
         ("station_count", "month"), ("coverage_tenday", "tenday"), ("coverage_half", "half"),
     ):

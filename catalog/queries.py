@@ -22,6 +22,7 @@ from agriclime.plans.features import (
     region_daily,
 )
 from agriclime.plans.interpolation import interpolate_region_climate
+from agriclime.plans.regression import ALL_MODELS, regression_tables
 from agriclime.sources import files, sample
 from agriclime.sources.tables import materialize, new_path
 
@@ -135,8 +136,10 @@ def _coverage_long(spark, d):
     return coverage.coverage_long(_complete(spark, d, "month"), ru.time_keys("month"))
 
 
-def _coverage_matrix(spark, d):
-    return coverage.coverage_tiles(_complete(spark, d, "month"), ru.time_keys("month"))
+def _coverage_matrix(grain):
+    return lambda spark, d: coverage.coverage_tiles(
+        _complete(spark, d, grain), ru.time_keys(grain)
+    )
 
 
 def _station_count(grain):
@@ -193,7 +196,7 @@ def _idw(grain, pairing="aligned"):
 def _csv_roundtrip(spark, d):
     path = new_path(spark, "region-month-csv")
     region_month = _idw("month")(spark, d)
-    files.write_csv(region_month, path)
+    files.write_csv(region_month, path, ["wide", "region", "year", "month"])
     types = {f.name: f.dataType.simpleString() for f in region_month.schema}
     return files.read_typed_csv(spark, path, types)
 
@@ -397,15 +400,12 @@ def _vif(model):
     return lambda spark, d: regression.vif(_observations(spark, d), [model])
 
 
-ALL_MODELS = [*regression.LINEAR_MODELS, *regression.SQUARED_MODELS]
-
-
 def _ols_all(spark, d):
     return regression.ols(_observations(spark, d), ALL_MODELS)
 
 
 def _ols_summary(spark, d):
-    return regression.ols_summary(_stored_observations(spark, d), ALL_MODELS)
+    return regression_tables(_observations(spark, d))["summary"]
 
 
 def _ols_by_province(spark, d):
@@ -429,7 +429,9 @@ def registered() -> dict[str, Query]:
         "station_tally": _station_tally,
         "tenday_tally": _tenday_tally,
         "coverage_long": _coverage_long,
-        "coverage_matrix": _coverage_matrix,
+        "coverage_matrix": _coverage_matrix("month"),
+        "coverage_matrix_tenday": _coverage_matrix("tenday"),
+        "coverage_matrix_half": _coverage_matrix("half"),
         "station_count": _station_count("month"),
         "coverage_tenday": _station_count("tenday"),
         "coverage_half": _station_count("half"),

@@ -8,6 +8,9 @@ from pathlib import Path
 import duckdb
 
 
+TYPE_NAMES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in sorted(Path(folder).glob("*.parquet")):
@@ -25,7 +28,7 @@ def _ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
 
-def difference(df, con, sql: str, digits: int | None = None) -> str | None:
+def difference(df, con, sql: str) -> str | None:
     """None when both sides agree, otherwise a short description."""
     relation = con.execute(sql)
     names = [c[0] for c in relation.description]
@@ -42,6 +45,7 @@ def difference(df, con, sql: str, digits: int | None = None) -> str | None:
         a, e = wrong[0]
         cells = [(c, x, y) for c, x, y in zip(order, a, e) if x != y]
         return f"{len(wrong)} of {len(actual)} rows differ, first: {cells[:6]}"
-    types = [type(v).__name__ for v in (actual[0] if actual else ())]
-    want = [type(v).__name__ for v in (expected[0] if expected else ())]
-    return None if types == want else f"types {types} against {want}"
+    ours = dict(df.dtypes)
+    kinds = {c[0]: TYPE_NAMES.get(str(c[1]).upper(), str(c[1])) for c in relation.description}
+    odd = {c: (ours[c], kinds[c]) for c in order if ours[c] != kinds[c]}
+    return f"types {odd}" if odd else None

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from agriclime.functions.calendar import calendar_parts
 from agriclime.operators.clean import date_complete, safe_station
 from agriclime.plans.features import period_features_with_yield, region_daily
+from agriclime.plans.yields import yields_from_files
 from agriclime.plans.interpolation import interpolate_region_climate
 from agriclime.sources import files, tables
 
@@ -50,6 +51,25 @@ def test_other_csv_readers(spark, tmp_path):
         files.read_yields(spark, write(tmp_path, "y2.csv", "a,b\n1,2\n"))
 
 
+def test_yield_files_are_united_and_detrended(spark, tmp_path):
+    head = "a,b,c,d,e,f\n"
+    one = write(tmp_path, "1.csv", head + "충청남도,논산시,2001,1,500,1\n서울특별시,소계,2001,1,100,1\n")
+    two = write(tmp_path, "2.csv", head + "전라북도,익산시,2011,1,520,1\n")
+    rows = {r.wide: r for r in yields_from_files(spark, [one, two], (-3727.9392, 2.0988)).collect()}
+    assert set(rows) == {"충남", "전북"}
+    assert rows["충남"].prod_norm == pytest.approx(500 - (-3727.9392 + 2.0988 * 2001))
+    fitted = {r.wide: r.prod_trend for r in yields_from_files(spark, [one, two]).collect()}
+    assert fitted == {"충남": pytest.approx(300), "전북": pytest.approx(520)}
+
+
+def test_sorted_csv(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 0), ("a", 1)], "wide string, year int")
+    files.write_csv(df.repartition(3), str(tmp_path / "s"), ["wide", "year"])
+    lines = [line for part in sorted((tmp_path / "s").glob("part-*"))
+             for line in part.read_text().splitlines()[1:]]
+    assert lines == ["a,1", "a,2", "b,1", "NA,0"]
+
+
 def test_csv_and_parquet_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [("w", None, 2001, 1 / 3), ("v", "r,\"x\"", 2002, None)],
