@@ -12,6 +12,8 @@ from .rollup import PARTS_PER_MONTH, time_keys
 MEASURES = ("tm_avg", "tm_min", "tm_max", "pr_sum", "hm_avg", "ss_dura")
 STATIONS_USED = 3
 REGION = ["wide", "region"]
+# Station numbers broadcast at most: a few megabytes.
+BROADCAST_STATIONS = 1_000_000
 
 
 def region_grid(
@@ -26,6 +28,19 @@ def region_grid(
     return grid
 
 
+def weather_of_neighbours(daily: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Weather of the stations that are somebody's neighbour; ``neighbours`` is a stage table.
+
+    The filter is exact for everything grouped by station. Its station list is
+    broadcast after its length was checked. A longer list is not joined to the raw
+    rows at all: the rollup, combined on the map side, is then the smaller thing to
+    shuffle, and the later join with the neighbours drops the rest.
+    """
+    if neighbours.count() > BROADCAST_STATIONS:
+        return daily
+    return daily.join(F.broadcast(neighbours.select("station")), "station", "left_semi")
+
+
 def nearest_reporting(
     neighbours: DataFrame, rollup: DataFrame, grain: str = "month", m: int = STATIONS_USED
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.interpolate import interpolate, region_grid
+from ..operators.interpolate import interpolate, region_grid, weather_of_neighbours
 from ..operators.rollup import complete_groups, rollup_climate
 from ..operators.spatial import NEIGHBOURS, nearest_stations
 from ..sources.tables import materialize
@@ -23,14 +23,13 @@ def interpolate_region_climate(
 ) -> DataFrame:
     """Region x period weather for the given years; ``daily`` carries calendar parts.
 
-    The neighbour list is a stage table of ``k`` rows per region. Weather of stations
-    that are nobody's neighbour is dropped before the rollup, so the shuffle of the
-    rollup grows with the neighbours, not with all stations.
+    The neighbour list is a stage table of ``k`` rows per region. While it is short,
+    weather of all other stations is dropped before the rollup, whose shuffle then
+    grows with the neighbours, not with all stations.
     """
     neighbours = materialize(nearest_stations(regions, stations, k), "neighbours")
-    wanted = daily.where(F.col("year").between(first_year, last_year)).join(
-        neighbours.select("station"), "station", "left_semi"
-    )
+    in_years = daily.where(F.col("year").between(first_year, last_year))
+    wanted = weather_of_neighbours(in_years, neighbours)
     rollup = complete_groups(rollup_climate(wanted, grain))
     grid = region_grid(regions, first_year, last_year, grain)
     return interpolate(neighbours, rollup, grid, grain, pairing=pairing)

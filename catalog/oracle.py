@@ -51,7 +51,7 @@ DAMAGED = """damaged AS (
               ELSE CAST(station AS VARCHAR) END AS station,
          CASE WHEN CAST(tm_avg AS BIGINT) % 7 = 3 THEN substring("date", 1, 7)
               ELSE "date" END AS "date",
-         tm_avg FROM weather)"""
+         tm_avg, tm_min, tm_max, pr_day, hm_avg, ss_dura_sum, rad_sum, ws_avg FROM weather)"""
 
 STATIONS = """stations AS (
   SELECT CAST(s_suppkey AS INTEGER) AS station,
@@ -194,6 +194,12 @@ def stage_a() -> dict[str, str]:
             + f"""SELECT {commas(keys(grain))}, {rnd(*ROLLUP_MEASURES)} FROM (SELECT *,
                  row_number() OVER (ORDER BY {commas(keys(grain))}) AS i FROM rolled) WHERE i <> {n}"""
         )
+    out["valid_keys"] = (
+        with_(w, DAMAGED, calendar("damaged"), rollup("tenday", True))
+        + f"""SELECT {commas(keys('tenday'))}, {rnd(*ROLLUP_MEASURES)} FROM rolled
+             WHERE station IS NOT NULL AND "year" IS NOT NULL AND "month" IS NOT NULL
+             AND ten_day IS NOT NULL"""
+    )
     month = with_(w, calendar(), rollup("month", True))
     out["coverage_long"] = (
         month + """SELECT "year", "month", station, count(*) AS n FROM rolled GROUP BY ALL"""
@@ -578,6 +584,37 @@ F_TAIL = """2 * exp(lgamma((df + 5) / 2.0) - lgamma(df / 2.0) - lgamma(2.5))
       * pow(sin(atan(sqrt(5 * f_value / df)) + (pi() / 2 - atan(sqrt(5 * f_value / df))) * i / 1000.0), 4) FOR i IN range(0, 1001)])"""
 
 
+def trend_fit() -> dict[str, str]:
+    """The one-variable regression of yield on year, from its sums of squares."""
+    fit = """fit AS (SELECT regr_slope(prod_10a_kg, "year") AS b, regr_intercept(prod_10a_kg, "year") AS a,
+           regr_sxx(prod_10a_kg, "year") AS sxx, regr_syy(prod_10a_kg, "year") AS syy,
+           avg("year") AS mx, count(*) AS n FROM yields)"""
+    rest = "residuals AS (SELECT prod_10a_kg - a - b * \"year\" AS e FROM yields, fit)"
+    error = "errors AS (SELECT sum(e * e) AS rss FROM residuals)"
+    terms = """terms AS (
+  SELECT '(Intercept)' AS term, a AS estimate, n, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS std_error
+  FROM fit, errors
+  UNION ALL SELECT 'year', b, n, sqrt(rss / (n - 2) / sxx) FROM fit, errors),
+tested AS (SELECT *, estimate / std_error AS t, CAST(n - 2 AS DOUBLE) AS df FROM terms)"""
+    slope = "tested_slope AS (SELECT t, df FROM tested WHERE term = 'year')"
+    return {
+        "yield_trend_ols": with_(YIELDS, fit, rest, error, terms)
+        + f"""SELECT 'trend' AS model, term, {rnd('estimate', 'std_error')},
+             round(t, 6) + 0.0 AS t_value, round({T_TAIL}, 6) + 0.0 AS p_value FROM tested""",
+        "yield_trend_summary": with_(YIELDS, fit, rest, error, terms, slope)
+        + f"""SELECT 'trend' AS model, n, n - 2 AS df, round(1 - rss / syy, 6) + 0.0 AS r2,
+             round(1 - rss / syy * (n - 1) / (n - 2), 6) + 0.0 AS adj_r2,
+             round(sqrt(rss / (n - 2)), 6) + 0.0 AS sigma, round(t * t, 6) + 0.0 AS f_value,
+             CAST(1 AS BIGINT) AS f_df, round({T_TAIL}, 6) + 0.0 AS f_p_value,
+             (SELECT round(min(e), 6) + 0.0 FROM residuals) AS resid_min,
+             (SELECT round(quantile_cont(e, 0.25), 6) + 0.0 FROM residuals) AS resid_q1,
+             (SELECT round(quantile_cont(e, 0.5), 6) + 0.0 FROM residuals) AS resid_median,
+             (SELECT round(quantile_cont(e, 0.75), 6) + 0.0 FROM residuals) AS resid_q3,
+             (SELECT round(max(e), 6) + 0.0 FROM residuals) AS resid_max
+             FROM fit, errors, tested_slope""",
+    }
+
+
 def term_case(models: Sequence[tuple[str, bool]]) -> str:
     whens = " ".join(
         f"WHEN m = '{model + ('_sq' if sq else '')}' AND j = {j} THEN '{term}'"
@@ -683,5 +720,6 @@ def regression() -> dict[str, str]:
 
 def registered() -> dict[str, str]:
     return {
-        **stage_a(), **spatial(), **cleaning(), **yield_tables(), **phenology(), **regression(),
+        **stage_a(), **spatial(), **cleaning(), **yield_tables(), **phenology(), **trend_fit(),
+        **regression(),
     }

@@ -114,6 +114,11 @@ def _complete_query(grain):
     return lambda spark, d: _complete(spark, d, grain)
 
 
+def _valid_keys(spark, d):
+    daily = calendar_parts(_damaged(spark, d))
+    return ru.valid_keys(ru.complete_groups(ru.rollup_climate(daily, "tenday")), "tenday")
+
+
 # Rows are dropped by position from a stored rollup: its keys are read again to find
 # the position, the weather is not.
 def _trim(grain):
@@ -175,9 +180,7 @@ def _region_grid(spark, d):
 
 def _nearest_reporting(spark, d):
     neighbours = materialize(_neighbours(spark, d), "neighbours")
-    wanted = _daily(spark, d, sparse=True).join(
-        neighbours.select("station"), "station", "left_semi"
-    )
+    wanted = interpolate.weather_of_neighbours(_daily(spark, d, sparse=True), neighbours)
     reported = ru.complete_groups(ru.rollup_climate(wanted))
     chosen = interpolate.nearest_reporting(neighbours, reported)
     return chosen.select("wide", "region", "year", "month", "place", "station", "dist", "tm_avg")
@@ -291,6 +294,17 @@ def _yield_trend(spark, d):
     return yl.yield_trend(sample.yields(spark, d))
 
 
+TREND_MODEL = regression.Model("trend", ("year",))
+
+
+def _yield_trend_ols(spark, d):
+    return regression.ols(sample.yields(spark, d), [TREND_MODEL])
+
+
+def _yield_trend_summary(spark, d):
+    return regression_tables(sample.yields(spark, d), [TREND_MODEL])["summary"]
+
+
 def _yield_detrend(spark, d):
     y = materialize(sample.yields(spark, d), "yields")
     return yl.detrend(y, yl.yield_trend(y))
@@ -426,6 +440,7 @@ def registered() -> dict[str, Query]:
         "rename_columns": _rename,
         "placeholder_columns": _placeholders,
         "station_year_start": _year_start,
+        "valid_keys": _valid_keys,
         "station_tally": _station_tally,
         "tenday_tally": _tenday_tally,
         "coverage_long": _coverage_long,
@@ -462,6 +477,8 @@ def registered() -> dict[str, Query]:
         "yield_union": _yield_union,
         "province_abbrev": _province_abbrev,
         "yield_trend": _yield_trend,
+        "yield_trend_ols": _yield_trend_ols,
+        "yield_trend_summary": _yield_trend_summary,
         "yield_detrend": _yield_detrend,
         "normalized_yields": _normalized_yields,
         "classify_m5": _classify(5),

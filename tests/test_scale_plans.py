@@ -130,3 +130,17 @@ def test_shuffled_interpolation_gives_the_same_rows(shuffled):
             hits = [n[3] for n in mine if (n[3], m) in seen][:3]
             want += [(f"r{g}", m, i, s) for i, s in enumerate(hits, 1)]
     assert got == sorted(want)
+
+
+def test_long_neighbour_lists_are_not_joined_to_raw_rows(spark, monkeypatch):
+    from agriclime.operators import interpolate
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    short = QUERIES["idw_month"](spark, FOLDER)
+    assert "LeftSemi" in plan(short)
+    monkeypatch.setattr(interpolate, "BROADCAST_STATIONS", 0)
+    long = QUERIES["idw_month"](spark, FOLDER)
+    assert "LeftSemi" not in plan(long)
+    assert rows(short) == rows(long)
