@@ -98,7 +98,7 @@ def solve(n: int, means: np.ndarray, covariances: np.ndarray) -> dict:
     beta = inverse @ corr[used, 0]
     r2 = float(beta @ corr[used, 0]) if scale[0] > 0 else math.nan
     total = n * cov[0, 0]
-    rss = total * (1.0 - r2) if scale[0] > 0 else 0.0
+    rss = max(total * (1.0 - r2), 0.0) if scale[0] > 0 else 0.0
     slopes = beta * scale[0] / scale[used]
     sigma2 = rss / df if df > 0 else math.nan
 
@@ -130,7 +130,7 @@ def solve(n: int, means: np.ndarray, covariances: np.ndarray) -> dict:
         "vifs": spread(np.diag(inverse)),
         "r2": _number(r2),
         "adj_r2": _number(1.0 - (1.0 - r2) * (n - 1) / df) if df > 0 else None,
-        "sigma": _number(math.sqrt(max(sigma2, 0.0))) if df > 0 else None,
+        "sigma": _number(math.sqrt(sigma2)) if df > 0 else None,
         "f_value": _number(f_value),
         "f_df": rank,
         "f_p_value": f_p_value(f_value, rank, df) if math.isfinite(f_value) else None,

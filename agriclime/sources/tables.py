@@ -28,8 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where the stage tables of this application lie."""
+    return f"{shared_folder(spark).rstrip('/')}/agriclime-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_stage_tables(spark: SparkSession) -> None:
+    """Delete the stage tables of this application, once its results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.getFileSystem(conf).delete(hadoop, True)
 
 
 def partitioned_writer(df: DataFrame, partition_by: Sequence[str], rebalance: bool = True):

@@ -92,7 +92,11 @@ def test_stage_table_is_a_plain_scan(spark):
 
 
 def test_stage_tables_go_to_the_named_folder(spark):
-    assert tables.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    folder = tables.shared_folder(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir")
+    first, second = tables.new_path(spark, "x"), tables.new_path(spark, "x")
+    assert first.startswith(folder) and first != second
+    assert spark.sparkContext.applicationId in first
 
 
 def test_csv_to_interpolation_and_features(spark, tmp_path):

@@ -156,7 +156,7 @@ def test_unknown_month_needs_rules(spark):
 
 
 def test_rules_as_rows_agree_with_the_lookup(spark):
-    daily = _tendays(spark).crossJoin(spark.createDataFrame([("x",), ("y",)], "wide string"))
+    daily = _tendays(spark).withColumn("wide", F.explode(F.array(F.lit("x"), F.lit("y"))))
     rows = [("x", 5, 3, r.period, r.lo, r.hi) for r in phenology.MONTH5_LITERAL]
     rows += [("y", 7, 1, r.period, r.lo, r.hi) for r in phenology.PERIOD_RULES[7]]
     rules = spark.createDataFrame(

@@ -108,6 +108,16 @@ def test_known_tail_probabilities():
     assert solver.t_p_value(0.0, 7) == 1.0
 
 
+def test_degenerate_moments():
+    one = solver.solve(1, np.array([4.0, 2.0]), np.zeros(3))
+    assert one["coefficients"] == [4.0, None] and one["df"] == 0 and one["r2"] is None
+    flat = solver.solve(9, np.array([4.0, 2.0]), np.array([0.0, 0.0, 1.5]))
+    assert flat["coefficients"] == [4.0, 0.0] and flat["sigma"] == 0.0 and flat["r2"] is None
+    exact = solver.solve(9, np.array([4.0, 2.0]), np.array([6.0, 3.0, 1.5]))
+    assert exact["coefficients"] == pytest.approx([0.0, 2.0]) and exact["r2"] == pytest.approx(1)
+    assert solver.solve(9, np.array([4.0]), np.array([2.0]))["f_df"] == 0
+
+
 def test_squared_terms_replace_the_linear_ones(spark):
     x, y = random_rows()
     model = rg.Model("m", ("a", "b", "c"), frozenset({"b"}), "y")
