@@ -57,13 +57,30 @@ def tenday_key(df: DataFrame) -> DataFrame:
     )
 
 
-def since_year(df: DataFrame, year_from: int, date_col: str = "date") -> DataFrame:
-    """Rows of ``year_from`` and later.
+def _text_years(date_col: str, df: DataFrame, first: int, last: int | None) -> list[Column]:
+    """Comparisons of the date text that a year range implies for four-digit years.
 
-    The text comparison is implied by the integer one for four-digit years. It
-    changes no result, but unlike a cast of a substring it reaches the file scan.
+    They change no result, but unlike a cast of a substring they reach the file scan.
     """
-    kept = df.where(F.col("year") >= year_from)
-    if date_col in df.columns and 1000 <= year_from <= 9999:
-        kept = kept.where(F.col(date_col) >= F.lit(str(year_from)))
+    if date_col not in df.columns or not 1000 <= first <= (last or first) < 9999:
+        return []
+    bounds = [F.col(date_col) >= F.lit(str(first))]
+    if last is not None:
+        bounds.append(F.col(date_col) < F.lit(str(last + 1)))
+    return bounds
+
+
+def since_year(df: DataFrame, first: int, date_col: str = "date") -> DataFrame:
+    """Rows of year ``first`` and later."""
+    kept = df.where(F.col("year") >= first)
+    for bound in _text_years(date_col, df, first, None):
+        kept = kept.where(bound)
+    return kept
+
+
+def in_years(df: DataFrame, first: int, last: int, date_col: str = "date") -> DataFrame:
+    """Rows of the years ``first`` to ``last``; the list test evaluates the year once."""
+    kept = df.where(F.col("year").isin(list(range(first, last + 1))))
+    for bound in _text_years(date_col, df, first, last):
+        kept = kept.where(bound)
     return kept

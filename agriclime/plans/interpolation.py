@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.calendar import in_years
 from ..operators.interpolate import interpolate, region_grid, weather_of_neighbours
 from ..operators.rollup import complete_groups, rollup_climate
 from ..operators.spatial import NEIGHBOURS, nearest_stations
@@ -28,8 +28,7 @@ def interpolate_region_climate(
     grows with the neighbours, not with all stations.
     """
     neighbours = materialize(nearest_stations(regions, stations, k), "neighbours")
-    in_years = daily.where(F.col("year").between(first_year, last_year))
-    wanted = weather_of_neighbours(in_years, neighbours)
+    wanted = weather_of_neighbours(in_years(daily, first_year, last_year), neighbours)
     rollup = complete_groups(rollup_climate(wanted, grain))
     grid = region_grid(regions, first_year, last_year, grain)
     return interpolate(neighbours, rollup, grid, grain, pairing=pairing)

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from agriclime.functions import missing as ms
-from agriclime.functions.calendar import calendar_parts, since_year, tenday_key
+from agriclime.functions.calendar import calendar_parts, in_years, since_year, tenday_key
 from agriclime.operators import clean, phenology
 from agriclime.operators.rollup import complete_groups, rollup_climate, valid_keys
 
@@ -38,6 +38,9 @@ def test_year_filter_matches_integer_comparison(spark):
     df = calendar_parts(spark.createDataFrame([(d,) for d in dates], "date string"))
     kept = {r.date for r in since_year(df, 2001).collect()}
     assert kept == {"2001-01-01", "2021-05-05", "2001"}
+    for first, last in ((2000, 2001), (2001, 2001), (1, 2500), (2001, 9999), (2005, 2004)):
+        want = {r.date for r in df.collect() if r.year and first <= r.year <= last}
+        assert {r.date for r in in_years(df, first, last).collect()} == want
 
 
 def test_mean_skips_null_and_nan(spark):
