@@ -82,6 +82,22 @@ def region_geo(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def region_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The regions that have a station."""
+    return stations(spark, folder).select("wide", "region").distinct()
+
+
+def sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as places of their own: a region table that grows with the data."""
+    key = F.col("c_custkey")
+    return _read(spark, folder, "customer").select(
+        F.col("c_mktsegment").alias("wide"),
+        F.col("c_name").alias("region"),
+        (F.lit(33.013) + ((key * 29 + 3) % 499) / F.lit(99.8)).alias("lat"),
+        (F.lit(126.017) + ((key * 31 + 5) % 397) / F.lit(99.25)).alias("lng"),
+    )
+
+
 def yields(spark: SparkSession, folder: str) -> DataFrame:
     orders, customer = _read(spark, folder, "orders"), _read(spark, folder, "customer")
     by_region = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(

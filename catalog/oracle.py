@@ -152,9 +152,9 @@ def stage_a() -> dict[str, str]:
              FROM history""",
         "rename_columns": with_(YIELDS)
         + f'SELECT wide, region, "year", {rnd(*YIELD_DOUBLES)} FROM yields',
-        "placeholder_columns": with_(GEO)
-        + f"""SELECT wide, region, {rnd('lat', 'lng')}, CAST(NULL AS DOUBLE) AS tm_avg,
-             CAST(NULL AS DOUBLE) AS pr_sum FROM geo""",
+        "placeholder_columns": with_(STATIONS)
+        + f"""SELECT station, {rnd('latitude', 'longitude')}, wide, station_name, region,
+             CAST(NULL AS DOUBLE) AS tm_avg, CAST(NULL AS DOUBLE) AS pr_sum FROM stations""",
         "station_year_start": with_(HISTORY)
         + """SELECT station, date_start, CAST(substring(date_start, 1, 4) AS INTEGER) AS year_start
              FROM history""",
@@ -166,13 +166,14 @@ def stage_a() -> dict[str, str]:
              count(CASE WHEN ws > 9 OR ws IS NULL THEN 1 END) AS n_gt_or_null
              FROM (SELECT ws_avg + ss_dura_sum AS ws_max,
                           CASE WHEN hm_avg IS NOT NULL THEN ws_avg END AS ws FROM weather)""",
-        "region_geo_join": with_(GEO)
+        "region_geo_join": with_(STATIONS, GEO)
         + """SELECT a.wide, a.region, round(b.lat, 6) + 0.0 AS lat, round(b.lng, 6) + 0.0 AS lng
-             FROM geo a LEFT JOIN (SELECT * FROM geo WHERE wide <> 'ASIA') b
+             FROM (SELECT DISTINCT wide, region FROM stations) a LEFT JOIN (SELECT * FROM geo WHERE wide <> 'ASIA') b
              ON a.wide = b.wide AND a.region = b.region""",
-        "region_grid": with_(GEO)
+        "region_grid": with_(STATIONS)
         + """SELECT wide, region, CAST(y AS INTEGER) AS "year", CAST(m AS INTEGER) AS "month"
-             FROM geo, range(1995, 2002) ys(y), range(1, 13) ms(m)""",
+             FROM (SELECT DISTINCT wide, region FROM stations), range(1995, 2002) ys(y),
+                  range(1, 13) ms(m)""",
     }
     for grain in GRAIN_PART:
         k, suffix = commas(keys(grain)), "" if grain == "month" else f"_{grain}"
@@ -282,6 +283,15 @@ def spatial() -> dict[str, str]:
     )
     return {
         "knn_long": base + f"SELECT wide, region, rank, station, {rnd('dist')} FROM neighbours",
+        "knn_many_regions": with_(
+            STATIONS,
+            """geo AS (SELECT c_mktsegment AS wide, c_name AS region,
+           CAST(33.013 AS DOUBLE) + ((c_custkey * 29 + 3) % 499) / CAST(99.8 AS DOUBLE) AS lat,
+           CAST(126.017 AS DOUBLE) + ((c_custkey * 31 + 5) % 397) / CAST(99.25 AS DOUBLE) AS lng
+           FROM customer)""",
+            NEIGHBOURS,
+        )
+        + f"SELECT wide, region, rank, station, {rnd('dist')} FROM neighbours",
         "knn_wide": base + f"SELECT wide, region, {wide} FROM neighbours GROUP BY wide, region",
         "nearest_reporting": with_(
             weather(True), calendar(), rollup("month", True), STATIONS, GEO, NEIGHBOURS,

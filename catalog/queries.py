@@ -97,7 +97,7 @@ def _rename(spark, d):
 
 
 def _placeholders(spark, d):
-    return clean.placeholders(sample.region_geo(spark, d), ["tm_avg", "pr_sum"])
+    return clean.placeholders(sample.stations(spark, d), ["tm_avg", "pr_sum"])
 
 
 def _year_start(spark, d):
@@ -160,22 +160,25 @@ def _wind_profile(spark, d):
 
 
 def _region_geo_join(spark, d):
-    geo = sample.region_geo(spark, d)
     # A fifth of the regions has no coordinates on file.
-    known = geo.where(F.col("wide") != "ASIA")
-    return clean.region_coordinates(geo.select("wide", "region"), known)
+    known = sample.region_geo(spark, d).where(F.col("wide") != "ASIA")
+    return clean.region_coordinates(sample.region_list(spark, d), known)
 
 
 def _neighbours(spark, d):
     return spatial.nearest_stations(sample.region_geo(spark, d), sample.stations(spark, d))
 
 
+def _knn_many(spark, d):
+    return spatial.nearest_stations(sample.sites(spark, d), sample.stations(spark, d))
+
+
 def _knn_wide(spark, d):
     return spatial.neighbours_wide(_neighbours(spark, d))
 
 
 def _region_grid(spark, d):
-    return interpolate.region_grid(sample.region_geo(spark, d), FIRST_YEAR, LAST_YEAR)
+    return interpolate.region_grid(sample.region_list(spark, d), FIRST_YEAR, LAST_YEAR)
 
 
 def _nearest_reporting(spark, d):
@@ -453,6 +456,7 @@ def registered() -> dict[str, Query]:
         "wind_profile": _wind_profile,
         "region_geo_join": _region_geo_join,
         "knn_long": _neighbours,
+        "knn_many_regions": _knn_many,
         "knn_wide": _knn_wide,
         "region_grid": _region_grid,
         "nearest_reporting": _nearest_reporting,
