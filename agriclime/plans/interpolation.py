@@ -11,6 +11,13 @@ from ..operators.spatial import NEIGHBOURS, nearest_stations
 from ..sources.tables import materialize
 
 
+def neighbour_table(
+    regions: DataFrame, stations: DataFrame, k: int = NEIGHBOURS
+) -> DataFrame:
+    """The ``k`` nearest stations of every region as a stage table."""
+    return materialize(nearest_stations(regions, stations, k), "neighbours")
+
+
 def interpolate_region_climate(
     daily: DataFrame,
     regions: DataFrame,
@@ -20,14 +27,17 @@ def interpolate_region_climate(
     grain: str = "month",
     k: int = NEIGHBOURS,
     pairing: str = "aligned",
+    neighbours: DataFrame | None = None,
 ) -> DataFrame:
     """Region x period weather for the given years; ``daily`` carries calendar parts.
 
     The neighbour list is a stage table of ``k`` rows per region. While it is short,
     weather of all other stations is dropped before the rollup, whose shuffle then
-    grows with the neighbours, not with all stations.
+    grows with the neighbours, not with all stations. Several grains can share one
+    list by passing the ``neighbours`` stage table.
     """
-    neighbours = materialize(nearest_stations(regions, stations, k), "neighbours")
+    if neighbours is None:
+        neighbours = neighbour_table(regions, stations, k)
     wanted = weather_of_neighbours(in_years(daily, first_year, last_year), neighbours)
     rollup = complete_groups(rollup_climate(wanted, grain))
     grid = region_grid(regions, first_year, last_year, grain)

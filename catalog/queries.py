@@ -21,7 +21,7 @@ from agriclime.plans.features import (
     period_features_with_yield,
     region_daily,
 )
-from agriclime.plans.interpolation import interpolate_region_climate
+from agriclime.plans.interpolation import interpolate_region_climate, neighbour_table
 from agriclime.plans.regression import ALL_MODELS, regression_tables
 from agriclime.sources import files, sample
 from agriclime.sources.tables import materialize, new_path
@@ -182,7 +182,7 @@ def _region_grid(spark, d):
 
 
 def _nearest_reporting(spark, d):
-    neighbours = materialize(_neighbours(spark, d), "neighbours")
+    neighbours = neighbour_table(sample.region_geo(spark, d), sample.stations(spark, d))
     wanted = interpolate.weather_of_neighbours(_daily(spark, d, sparse=True), neighbours)
     reported = ru.complete_groups(ru.rollup_climate(wanted))
     chosen = interpolate.nearest_reporting(neighbours, reported)
