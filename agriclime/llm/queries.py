@@ -1,0 +1,38 @@
+"""Registered queries of the text operators, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from agriclime.llm import sharding
+from agriclime.llm.common import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of equal row counts (law ``rows``)."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    size = sharding.record_bytes(F.col("text"))
+    return sharding.shards(documents, 16, ["doc_id"], size, seed=7).select(
+        "doc_id",
+        size.alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def registered() -> dict[str, Query]:
+    return {
+        "op7_sharding": op7_sharding,
+    }
+
+
+def oracle() -> dict[str, str]:
+    return {}
