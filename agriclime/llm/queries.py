@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import sharding
-from agriclime.llm.common import table
+from agriclime.llm import ppm, sharding
+from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +28,19 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; learned on the folds 0 and 2 of 3."""
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(True))
+    documents = table(spark, folder, "documents")
+    model = ppm.learn(ppm.learning_rows(documents, held_out))
+    scored = ppm.identify(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op7_sharding": op7_sharding,
+        "op9_language_id": op9_language_id,
     }
 
 
