@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import ppm, sharding
+from agriclime.llm import bpe, ppm, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,9 +38,22 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded with the 50k byte-level vocabulary."""
+    content = bpe.vocabulary_content(public_tokenizers.path("byte_bpe_50k.json"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.encode_decode(documents, content).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op7_sharding": op7_sharding,
+        "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
     }
 
