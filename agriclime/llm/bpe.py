@@ -25,7 +25,8 @@ from agriclime.llm.common import append_columns
 
 # Fixed value: the word pattern of the vocabulary.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+_SHORT = 48
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -48,6 +49,7 @@ class Vocabulary:
     pair_ranks: np.ndarray
     merges: dict[tuple[int, int], tuple[int, int]]  # (left, right): (rank, result)
     longest: int
+    single: list[int]  # id of every byte
     _reachable: np.ndarray | None = None
 
     @staticmethod
@@ -74,7 +76,7 @@ class Vocabulary:
         order = np.argsort(keys)
         return Vocabulary(
             pieces, ids, special, born, left, right, keys[order], ranks[order], merges,
-            max(map(len, ids)),
+            max(map(len, ids)), [ids[bytes([b])] for b in range(256)],
         )
 
     def guess(self, word: bytes) -> list[int]:
@@ -113,7 +115,23 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The exact encoding: the earliest merge first, the leftmost of equals."""
-        token = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        return self._merge_short(word) if len(word) <= _SHORT else self._merge_long(word)
+
+    def _merge_short(self, word: bytes) -> list[int]:
+        token, find, none = [self.single[b] for b in word], self.merges.get, (_NEVER, 0)
+        found = [find(pair, none) for pair in zip(token, token[1:])]
+        while found and (first := min(found))[0] < _NEVER:
+            i = found.index(first)
+            token[i : i + 2] = [first[1]]
+            del found[i]
+            if i:
+                found[i - 1] = find((token[i - 1], token[i]), none)
+            if i < len(found):
+                found[i] = find((token[i], token[i + 1]), none)
+        return token
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        token = [self.single[b] for b in word]
         after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap: list[tuple[int, int, int, int]] = []
 

@@ -27,7 +27,7 @@ from agriclime.llm.common import append_columns, flat, steps
 from agriclime.sources.tables import materialize
 
 UNKNOWN = "und"
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 _WIDEST = 3
 
 
