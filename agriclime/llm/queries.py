@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, ppm, sharding
+from agriclime.llm import bpe, crf, ppm, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,24 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document; learned on the folds 1 to 4 of 5."""
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = crf.learn(crf.learning_rows(documents, table(spark, folder, "labels"), ~held_out))
+    return crf.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+        "spans",
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
