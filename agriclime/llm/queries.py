@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, ppm, sharding
+from agriclime.llm import bpe, crf, decontaminate, ppm, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,17 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every (document, test item) pair where the document holds the item within its budget."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.matches(documents, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
