@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, ppm, sharding
+from agriclime.llm import bpe, crf, decontaminate, minhash, ppm, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,9 +72,15 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_minhash": op2_minhash,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
@@ -82,5 +88,36 @@ def registered() -> dict[str, Query]:
     }
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+    FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+    HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op2_minhash": OP2_SQL}
