@@ -1,9 +1,10 @@
 """Links from candidate buckets without listing all pairs of a bucket.
 
-Members of a bucket may be linked. First every member is compared with one pivot; members
-that a chain of links already holds together need no comparison. Later rounds take other
-pivots in the buckets that still hold several components. What is then left, pairs of
-different components in a bucket that were never compared, is compared in full.
+Members of a bucket may be linked. A bucket of two is one pair. In larger ones every
+member is first compared with one pivot; members that a chain of links then holds together
+need no comparison. Later rounds take other pivots in the buckets that still hold several
+components. What is then left, pairs of different components in a bucket that were never
+compared, is compared in full.
 """
 
 from __future__ import annotations
@@ -13,58 +14,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agriclime.llm.common import small
 from agriclime.llm.components import components
 from agriclime.sources.tables import materialize
 
-
 def linked(
-    members: DataFrame,
-    confirm: Callable[[DataFrame], DataFrame],
-    possible: str = "true",
-    rounds: int = 2,
-) -> DataFrame:
-    """(node, component) of all nodes with a confirmed link.
+    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2
+) -> DataFrame | None:
+    """(node, component) of all nodes with a confirmed link; None if there is no link.
 
-    ``members`` has (bucket long, node long) and any columns that ``possible`` compares: an
-    SQL condition between the rows ``x`` and ``y`` that every link fulfils. ``confirm``
-    turns (a, b) pairs, a < b, each once, into those that are links. No link between two
-    members of a bucket is lost as far as components go.
+    ``members`` has the rows (bucket long, node long). ``confirm`` turns (a, b) pairs,
+    a < b, each once, into those that are links. No link between two members of a bucket is
+    lost as far as components go.
     """
-    shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = materialize(shared.where("low < high").select("bucket", "low"), "pivots")
-    members = materialize(members.join(shared.select("bucket"), "bucket"), "members")
-    pivots = shared.withColumnRenamed("low", "pivot")
-    tested = links = names = None
+    shared = members.groupBy("bucket").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    shared = materialize(shared.where("low < high"), "shared")
+    large = materialize(shared.where("n > 2").select("bucket", F.col("low").alias("pivot")), "pivots")
+    inside = materialize(members.join(small(large), "bucket"), "members")
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    pairs = pairs.unionByName(_pairs(inside.where("node <> pivot"), "pivot", "node"))
+    tested, links, names = [], None, None
     for turn in range(rounds + 1):
-        named = members.withColumn("component", F.col("node"))
-        if names is not None:
-            named = members.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if names is not None or turn:
+            named = inside.select("bucket", "node")
+            if names is not None:
+                named = named.join(names, "node", "left")
+                named = named.withColumn("component", F.coalesce("component", "node"))
+            else:
+                named = named.withColumn("component", F.col("node"))
+            named = materialize(named, "members-named")
             mixed = named.groupBy("bucket").agg(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
-                F.max_by("node", F.xxhash64("component", F.lit(turn))).alias("pivot"),
+                F.max_by(F.struct("node", "component"), F.xxhash64("component", F.lit(turn))).alias("p"),
+            )
+            mixed = mixed.where("low < high").select(
+                "bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("own")
             )
-            pivots = materialize(mixed.where("low < high").select("bucket", "pivot"), "pivots")
-            if not pivots.limit(1).count():
+            mixed = materialize(mixed, "pivots")
+            if not mixed.limit(1).count():
                 break
-            named = materialize(named.join(pivots.select("bucket"), "bucket"), "members")
-        x, y = named.alias("x"), named.alias("y")
-        if turn < rounds:
-            x = named.join(pivots, "bucket").where("node = pivot").drop("pivot")
-            x = materialize(x, "pivot-rows").alias("x")
-        pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.component <> y.component and x.node <> y.node and ({possible})"))
-        if turn == rounds:
-            pairs = pairs.where("x.node < y.node")
-        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+            if turn < rounds:
+                pairs = _pairs(named.join(mixed, "bucket").where("component <> own"), "pivot", "node")
+            else:
+                left = named.join(mixed.select("bucket"), "bucket")
+                x, y = left.alias("x"), left.alias("y")
+                pairs = x.join(y, F.expr("x.bucket = y.bucket and x.node < y.node and x.component <> y.component"))
+                pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.limit(1).count():
             found = materialize(confirm(pairs), "found")
             links = found if links is None else links.unionByName(found)
-            names = materialize(components(links), "names")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    if names is None:
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+            names = materialize(components(links), "components")
+        tested.append(pairs)
     return names
+
+
+def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Bytes of text that one vectorised step works on; a longer text makes a step of its own.
 STEP_BYTES = 4 << 20
+# Tables of up to so many rows of two numbers may be broadcast (some 10 MB).
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +69,11 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = stop
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of two or three numbers a row; broadcast if its row count is bounded."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def append_columns(
     df: DataFrame,
     column: str,

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agriclime.llm.buckets import linked
-from agriclime.llm.common import flat, steps
+from agriclime.llm.common import flat, small, steps
 from agriclime.llm.hashing import LOWER, mix, prefix, seeds, span_hash, words
 from agriclime.sources.tables import materialize
 
@@ -131,23 +131,30 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     documents = df.select(F.col("doc_id").cast("long"), "text")
     rows = documents.mapInArrow(_sketched, "doc_id long, n_shingles long, node long, bands array<long>")
     rows = materialize(rows, "sketches")
-    texts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node")
+    texts = texts.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     texts = materialize(texts, "texts")
     one = rows.join(texts, ["doc_id", "node"]).dropDuplicates(["node"])
-    members = one.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
+    members = one.select(F.explode("bands").alias("bucket"), "node")
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            own = texts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
+            pairs = pairs.join(own, side)
+        alike = F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+        pairs = materialize(pairs.where(alike).select("a", "b"), "sized-pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(texts.join(nodes, "node"), "wanted")
-        found = documents.join(wanted, "doc_id").where("text is not null")
-        found = materialize(found.select("node", "doc_id", "text").dropDuplicates(["node"]), "wanted-texts")
+        wanted = materialize(texts.join(nodes, "node").select("node", "doc_id"), "wanted")
+        found = documents.join(small(wanted), "doc_id").where("text is not null")
+        found = materialize(found.select("node", "text").dropDuplicates(["node"]), "wanted-texts")
         left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.sortWithinPartitions("a").mapInArrow(_confirmed, "a long, b long")
 
-    larger = "100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)"
-    names = linked(members, confirm, larger)
+    names = linked(members, confirm)
+    if names is None:
+        names = texts.select("node", F.col("node").alias("component")).limit(0)
     slim = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     slim = materialize(slim.withColumn("component", F.coalesce("component", "node")), "named")
     takes_part = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
