@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agriclime.llm.common import append_columns, flat, steps
+from agriclime.llm.common import append_columns, flat, small, steps
 from agriclime.llm.hashing import LOWER, prefix, seeds, span_hash, words
 from agriclime.sources.tables import materialize
 
@@ -270,7 +270,7 @@ def learning_rows(documents: DataFrame, labels: DataFrame, learn) -> DataFrame:
     keys = known.select("doc_id", F.xxhash64("text").alias("_text")).join(marks, "doc_id")
     one = keys.groupBy("_text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     one = materialize(one.drop("_text"), "crf-rows")
-    return materialize(known.join(one, "doc_id"), "crf-texts")
+    return materialize(known.join(small(one), "doc_id"), "crf-texts")
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
