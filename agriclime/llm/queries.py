@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, minhash, ppm, sharding
+from agriclime.llm import bpe, crf, decontaminate, lines, minhash, ppm, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,10 +77,21 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier line."""
+    return lines.deduplicate(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_minhash": op2_minhash,
+        "op3_line_dedup": op3_line_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
