@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, lines, minhash, ppm, sharding
+from agriclime.llm import bpe, crf, decontaminate, lines, minhash, ppm, repeats, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,13 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the 50-byte strings that start in an earlier document."""
+    return repeats.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -96,6 +103,7 @@ def registered() -> dict[str, Query]:
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
