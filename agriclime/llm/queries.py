@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, lines, minhash, ppm, repeats, sharding
+from agriclime.llm import bpe, crf, decontaminate, lines, minhash, neighbours, ppm, repeats, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,11 +94,17 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_minhash": op2_minhash,
         "op3_line_dedup": op3_line_dedup,
+        "op4_neighbours": op4_neighbours,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
