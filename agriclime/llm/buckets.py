@@ -1,10 +1,12 @@
 """Links from candidate buckets without listing all pairs of a bucket.
 
 Members of a bucket may be linked. A bucket of two is one pair. In larger ones every
-member is first compared with one pivot; members that a chain of links then holds together
-need no comparison. Later rounds take other pivots in the buckets that still hold several
-components. What is then left, pairs of different components in a bucket that were never
-compared, is compared in full.
+member is first compared with one pivot, the member that shares most places with others;
+members that a chain of links then holds together need no comparison. Later rounds take
+other pivots in the buckets that still hold several components. What is then left, pairs of
+different components in a bucket that were never compared, is compared in full, but for
+those that cannot be linked by their attributes or, where ``apart`` is a metric, by the
+triangle inequality over the first pivot.
 """
 
 from __future__ import annotations
@@ -18,27 +20,38 @@ from agriclime.llm.common import small
 from agriclime.llm.components import components
 from agriclime.sources.tables import materialize
 
+
 def linked(
-    members: DataFrame, confirm: Callable[[DataFrame], DataFrame], rounds: int = 2
+    members: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    possible: str = "true",
+    limit: float = float("inf"),
+    rounds: int = 2,
 ) -> DataFrame | None:
     """(node, component) of all nodes with a confirmed link; None if there is no link.
 
-    ``members`` has the rows (bucket long, node long). ``confirm`` turns (a, b) pairs,
-    a < b, each once, into those that are links. No link between two members of a bucket is
-    lost as far as components go.
+    ``members`` has the rows (bucket long, node long, info); ``possible`` is an SQL condition
+    between ``x.info`` and ``y.info`` that every link fulfils. ``confirm`` gets (a, b) pairs,
+    a < b, each once, and returns (a, b, alike, apart) of all that may be links; ``apart`` is
+    null or a distance, ``limit`` at most for links. No link between two members of a bucket
+    is lost as far as components go.
     """
     shared = members.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
     )
     shared = materialize(shared.where("low < high"), "shared")
-    large = materialize(shared.where("n > 2").select("bucket", F.col("low").alias("pivot")), "pivots")
+    large = materialize(shared.where("n > 2").select("bucket", "n"), "large")
     inside = materialize(members.join(small(large), "bucket"), "members")
+    degree = materialize(inside.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    central = inside.join(degree, "node").groupBy("bucket")
+    central = central.agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    first = materialize(central, "pivots")
     pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    pairs = pairs.unionByName(_pairs(inside.where("node <> pivot"), "pivot", "node"))
-    tested, links, names = [], None, None
+    pairs = pairs.unionByName(_pairs(inside.join(first, "bucket").where("node <> pivot"), "pivot", "node"))
+    tested, links, names, apart = [], None, None, None
     for turn in range(rounds + 1):
-        if names is not None or turn:
-            named = inside.select("bucket", "node")
+        if turn:
+            named = inside.select("bucket", "node", "info")
             if names is not None:
                 named = named.join(names, "node", "left")
                 named = named.withColumn("component", F.coalesce("component", "node"))
@@ -48,28 +61,42 @@ def linked(
             mixed = named.groupBy("bucket").agg(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
-                F.max_by(F.struct("node", "component"), F.xxhash64("component", F.lit(turn))).alias("p"),
-            )
-            mixed = mixed.where("low < high").select(
-                "bucket", F.col("p.node").alias("pivot"), F.col("p.component").alias("own")
+                F.max_by(F.struct("node", "component", "info"), F.xxhash64("component", "bucket")).alias("p"),
             )
-            mixed = materialize(mixed, "pivots")
+            mixed = materialize(mixed.where("low < high").select("bucket", "p.*"), "pivots")
             if not mixed.limit(1).count():
                 break
+            near = named.join(first, "bucket")
+            if apart is not None:
+                near = near.join(apart, ["pivot", "node"], "left")
+            else:
+                near = near.withColumn("apart", F.lit(None).cast("double"))
+            fits = f"({possible}) and coalesce(abs(x.apart - y.apart) <= {limit}, true)"
+            if limit == float("inf"):
+                fits = f"({possible})"
+            y = near.alias("y")
             if turn < rounds:
-                pairs = _pairs(named.join(mixed, "bucket").where("component <> own"), "pivot", "node")
+                x = near.join(mixed.select("bucket", "node"), ["bucket", "node"])
+                apart_rule = "x.node <> y.node and x.component <> y.component"
             else:
-                left = named.join(mixed.select("bucket"), "bucket")
-                x, y = left.alias("x"), left.alias("y")
-                pairs = x.join(y, F.expr("x.bucket = y.bucket and x.node < y.node and x.component <> y.component"))
-                pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+                x = near.join(mixed.select("bucket"), "bucket", "left_semi")
+                apart_rule = "x.node < y.node and x.component <> y.component"
+            x = materialize(x, "askers").alias("x")
+            pairs = x.join(y, F.expr(f"x.bucket = y.bucket and {apart_rule} and {fits}"))
+            pairs = _pairs(pairs, "x.node", "y.node")
         pairs = pairs.distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.limit(1).count():
             found = materialize(confirm(pairs), "found")
-            links = found if links is None else links.unionByName(found)
+            if not turn:
+                known = found.where("apart is not null")
+                flipped = known.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "apart")
+                known = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "apart")
+                apart = materialize(known.unionByName(flipped).join(first.select("pivot").distinct(), "pivot"), "apart")
+            alike = found.where("alike").select("a", "b")
+            links = alike if links is None else links.unionByName(alike)
             names = materialize(components(links), "components")
         tested.append(pairs)
     return names

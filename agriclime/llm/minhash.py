@@ -102,9 +102,10 @@ def _sketched(batches):
             )
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return both, len(a) + len(b) - both
 
 
 def _confirmed(batches):
@@ -113,12 +114,16 @@ def _confirmed(batches):
         for part in steps(batch, "text_b", 1 << 20):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             right, at, _ = shingle_sets(part.column("text_b"))
-            keep = np.zeros(len(a), bool)
+            alike, apart = np.zeros(len(a), bool), np.zeros(len(a))
             for i in range(len(a)):
                 if last[0] != a[i]:
                     last = (a[i], shingle_sets(part.column("text_a").slice(i, 1))[0])
-                keep[i] = similar(last[1], right[at[i] : at[i + 1]])
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+                both, either = overlap(last[1], right[at[i] : at[i + 1]])
+                alike[i] = 100 * both >= PERCENT * either
+                apart[i] = 1 - both / either
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array(alike), pa.array(apart)], ["a", "b", "alike", "apart"]
+            )
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     texts = texts.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     texts = materialize(texts, "texts")
     one = rows.join(texts, ["doc_id", "node"]).dropDuplicates(["node"])
-    members = one.select(F.explode("bands").alias("bucket"), "node")
+    members = one.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("info"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -150,9 +155,10 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return both.sortWithinPartitions("a").mapInArrow(_confirmed, "a long, b long")
+        return both.sortWithinPartitions("a").mapInArrow(_confirmed, "a long, b long, alike boolean, apart double")
 
-    names = linked(members, confirm)
+    larger = f"100 * least(x.info, y.info) >= {PERCENT} * greatest(x.info, y.info)"
+    names = linked(members, confirm, larger, 1 - PERCENT / 100 + 1e-9)
     if names is None:
         names = texts.select("node", F.col("node").alias("component")).limit(0)
     slim = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")
