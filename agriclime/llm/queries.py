@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, lines, minhash, neighbours, ppm, repeats, sharding
+from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, ppm, repeats, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,17 +100,30 @@ def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices of all documents: one row per document and license found."""
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*")
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_minhash": op2_minhash,
         "op3_line_dedup": op3_line_dedup,
         "op4_neighbours": op4_neighbours,
+        "op5_license_scan": op5_license_scan,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": pipeline,
     }
 
 
