@@ -300,7 +300,9 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     strength = np.zeros(BUCKETS, np.float32)
     strength[cues.bucket] = np.where(ratio >= RATIO, np.log(ratio), 0)
 
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # ``sample`` bounds the broadcast; texts stay where they are.
+    drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = rows.join(F.broadcast(drawn), "doc_id")
     shared = spark.sparkContext.broadcast(strength)
 
     def windows(batches):

@@ -63,8 +63,10 @@ def external_shuffle(
     row = F.struct(*[quoted(c) for c in df.columns])
     # Order before the permutation: by a second seeded hash, so that a repeated task agrees.
     tied = F.struct(F.xxhash64(F.lit(seed + 1), *[quoted(k) for k in key]).alias("tie"), row.alias("row"))
+    # A task gets about four buckets, however large the table is.
     permuted = (
         df.select(bucket.alias("bucket"), tied.alias("tied"))
+        .repartition(max(1, -(-buckets // 4)), "bucket")
         .groupBy("bucket")
         .agg(F.collect_list("tied").alias("rows"))
         .select("bucket", F.array_sort("rows", _by_tie).alias("rows"))
