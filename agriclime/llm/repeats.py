@@ -18,7 +18,6 @@ other texts:
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -34,9 +33,10 @@ from agriclime.sources.tables import materialize
 LENGTH = 50
 GRAM = 16
 RUN = 200  # windows of a segment at most
-VARIANTS = 1_000
+VARIANTS = 200
 BLOCK_ROWS = 400_000
 _BATCH = 1 << 21
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2")])
 
 
@@ -154,21 +154,20 @@ def _cut_out(batches):
             )
 
 
-def least_documents(anchor: np.ndarray, pieces: list[bytes], doc: np.ndarray) -> list[np.ndarray]:
-    """For each piece the least document of each of its windows, among pieces of its anchor.
+def least_documents(anchor: np.ndarray, data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The least document of every window of all pieces in a row, among pieces of its anchor.
 
-    Pieces of one anchor stand together. Each anchor's pieces make one text of the batch.
+    Piece ``i`` has ``size[i]`` bytes of ``data``; pieces of one anchor stand together and
+    make one text of the batch.
     """
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-    fresh = np.ones(len(pieces), bool)
+    fresh = np.ones(len(size), bool)
     fresh[1:] = anchor[1:] != anchor[:-1]
     # Symbols: bytes from 2 on, 1 after every piece, 0 at a text's end.
     extra = 1 + np.append(fresh[1:], True).astype(np.int64)
     begin = np.cumsum(size + extra) - size - extra
     symbols = np.zeros(int((size + extra).sum()), np.int16)
-    inner = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(flat_bytes))
-    symbols[inner] = flat_bytes.astype(np.int16) + 2
+    inner = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(data))
+    symbols[inner] = data.astype(np.int16) + 2
     symbols[begin + size] = 1
     heads = np.flatnonzero(fresh)
     offsets = np.append(begin[heads], len(symbols))
@@ -176,7 +175,7 @@ def least_documents(anchor: np.ndarray, pieces: list[bytes], doc: np.ndarray) ->
     owner = np.full(len(symbols), -1, np.int64)
     windows = size - LENGTH + 1
     places = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
-    owner[places] = np.repeat(np.arange(len(pieces)), windows)
+    owner[places] = np.repeat(np.arange(len(size)), windows)
     sa = sa[owner[sa] >= 0]
     view = np.lib.stride_tricks.sliding_window_view(symbols, LENGTH)
     equal = np.zeros(len(sa), bool)
@@ -186,43 +185,54 @@ def least_documents(anchor: np.ndarray, pieces: list[bytes], doc: np.ndarray) ->
     text = np.searchsorted(offsets, sa, "right")
     equal[1:] &= text[1:] == text[:-1]
     runs = np.flatnonzero(~equal)
-    least = np.minimum.reduceat(doc[owner[sa]], runs) if len(sa) else np.zeros(0, np.int64)
     value = np.empty(len(symbols), np.int64)
-    value[sa] = np.repeat(least, np.diff(np.append(runs, len(sa))))
-    return [value[b : b + w] for b, w in zip(begin.tolist(), windows.tolist())]
+    value[sa] = np.repeat(np.minimum.reduceat(doc[owner[sa]], runs), np.diff(np.append(runs, len(sa))))
+    return value[places]
 
 
-def _runs(values: np.ndarray):
-    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-    return heads, np.append(heads[1:], len(values)) - 1, values[heads]
+def _answers(table: pa.Table) -> pa.RecordBatch:
+    """Runs of windows of one least document, of segments that lose bytes somewhere."""
+    anchor, doc, most = (np.asarray(table[c]) for c in ("hash", "doc", "most"))
+    data, starts = flat(table["segment"])
+    size = np.diff(starts)
+    values = least_documents(anchor, data, size, doc)
+    windows = size - LENGTH + 1
+    begin = np.cumsum(windows) - windows
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[begin] = True
+    heads = np.flatnonzero(fresh)
+    piece = np.searchsorted(begin, heads, "right") - 1
+    last = np.append(heads[1:], len(values)) - 1
+    used = values[heads] < most[piece]
+    heads, last, piece = heads[used], last[used], piece[used]
+    kept, counts = np.unique(piece, return_counts=True)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    lists = [
+        pa.ListArray.from_arrays(ends, pa.array(x, t))
+        for x, t in ((heads - begin[piece], pa.int32()), (last - begin[piece], pa.int32()), (values[heads], pa.int64()))
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor[kept]), pa.array(np.asarray(table["sid"])[kept]), *lists], ["hash", "sid", "first", "last", "least"]
+    )
 
 
 def _sorted_groups(batches):
-    """Least documents of all windows of all segments; a batch holds whole anchors only."""
-    rest: list[tuple] = []
-
-    def done(rows):
-        rows.sort(key=lambda r: r[0])
-        anchor = np.array([r[0] for r in rows])
-        found = least_documents(anchor, [r[1] for r in rows], np.array([r[2] for r in rows]))
-        runs = [_runs(v) for v in found]
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        lists = [pa.array([r[i] for r in runs], kinds[i]) for i in range(3)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array([r[3] for r in rows], pa.int64()), *lists], ["hash", "sid", "first", "last", "least"]
-        )
-
-    size = 0
+    """Least documents of the windows of all segments, whole anchors at a time."""
+    waiting, size = [], 0
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("hash", "segment", "doc", "sid")]
-        for row in zip(*columns):
-            if size >= _BATCH and row[0] != rest[-1][0]:
-                yield done(rest)
-                rest, size = [], 0
-            rest.append(row)
-            size += len(row[1])
-    if rest:
-        yield done(rest)
+        waiting.append(batch)
+        size += batch.column("segment").nbytes
+        if size >= _BATCH:
+            table = pa.Table.from_batches(waiting)
+            anchor = np.asarray(table["hash"])
+            whole = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if (anchor != anchor[-1]).any() else 0
+            if whole:
+                yield _answers(table.slice(0, whole))
+                waiting = table.slice(whole).to_batches()
+                size = sum(b.column("segment").slice(0).nbytes for b in waiting)
+    if waiting and sum(b.num_rows for b in waiting):
+        yield _answers(pa.Table.from_batches(waiting))
 
 
 def _cleaned(batches):
@@ -257,10 +267,15 @@ def _cleaned(batches):
             )
 
 
-def _release(spark) -> None:
-    """Lets Spark delete shuffle files of finished steps before the next one writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _store(df: DataFrame, label: str) -> DataFrame:
+    """A stage table whose shuffle files are deleted as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def remove_repeats(df: DataFrame) -> DataFrame:
@@ -270,18 +285,17 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     a repeated ``doc_id`` other than the one of least hash, neither lose bytes nor count as
     earlier; repeated equal rows are treated alike. Other columns are not read.
     """
-    spark = df.sparkSession
     documents = df.select(F.col("doc_id").cast("long"), "text")
     keys = documents.where("doc_id is not null and text is not null")
     keys = keys.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").alias("n"))
-    keys = materialize(keys.distinct(), "keys")
+    keys = _store(keys.distinct(), "keys")
     one = keys.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("k")).select("doc_id", "k.h", "k.n")
-    one = materialize(one, "one")
-    lead = materialize(one.groupBy("h").agg(F.min("doc_id").alias("lead")), "lead")
+    one = _store(one, "one")
+    lead = _store(one.groupBy("h").agg(F.min("doc_id").alias("lead")), "lead")
     named = one.join(lead, "h").select("doc_id", "h", "n", (F.col("doc_id") > F.col("lead")).alias("copy"))
-    named = materialize(named, "named")
-    copies = materialize(named.where("copy").select("doc_id"), "copies")
-    odd = materialize(keys.join(one, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "odd")
+    named = _store(named, "named")
+    copies = _store(named.where("copy").select("doc_id"), "copies")
+    odd = _store(keys.join(one, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "odd")
     texts = documents.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     texts = texts.join(small(copies), "doc_id", "left_anti")
     if odd.limit(1).count():
@@ -295,32 +309,29 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     spans = found.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.struct("hash", "start", F.col("count").cast("int").alias("count"))).alias("spans")
     )
-    spans = materialize(spans, "spans")
-    _release(spark)
+    spans = _store(spans, "spans")
     pieces = texts.dropDuplicates(["doc_id", "text"]) if keys.count() < documents.count() else texts
     pieces = pieces.join(spans, "doc_id").mapInArrow(_cut_out, "hash long, doc long, start int, segment binary")
-    pieces = materialize(pieces.withColumn("sid", F.xxhash64("segment")), "pieces")
-    _release(spark)
+    pieces = _store(pieces.withColumn("sid", F.xxhash64("segment")), "pieces")
 
     distinct = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
-    distinct = materialize(distinct, "segments")
-    _release(spark)
+    distinct = _store(distinct, "segments")
     kinds = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     windows = F.octet_length("segment") - LENGTH
     counted = distinct.join(kinds, "hash")
     single = counted.where("n = 1 and most > doc").select(
         "hash", "sid", F.array(F.lit(0)).alias("first"), F.array(windows).alias("last"), F.array("doc").alias("least")
     )
-    several = counted.where(f"n > 1 and n <= {VARIANTS}").select("hash", "segment", "doc", "sid")
-    ordered = several.repartition("hash").sortWithinPartitions("hash")
+    several = counted.where(f"n > 1 and n <= {VARIANTS}").select("n", "hash", "segment", "doc", "most", "sid")
+    # Anchors of about as many segments take their steps together.
+    ordered = several.repartition("hash").sortWithinPartitions("n", "hash")
     ordered = ordered.mapInArrow(_sorted_groups, "hash long, sid long, first array<int>, last array<int>, least array<long>")
     many = counted.where(f"n > {VARIANTS}").select("hash", "sid", "doc", F.posexplode(_windows()).alias("at", "window"))
-    least = materialize(many.groupBy("hash", "window").agg(F.min("doc").alias("least")), "windows")
+    least = _store(many.groupBy("hash", "window").agg(F.min("doc").alias("least")), "windows")
     wide = many.join(least, ["hash", "window"]).select(
         "hash", "sid", F.array("at").alias("first"), F.array("at").alias("last"), F.array("least").alias("least")
     )
-    answers = materialize(single.unionByName(ordered).unionByName(wide), "answers")
-    _release(spark)
+    answers = _store(single.unionByName(ordered).unionByName(wide), "answers")
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
     cuts = pieces.select("hash", "sid", "doc", "start").join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
@@ -330,8 +341,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         ).alias("cuts")
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
-    cuts = materialize(cuts, "cuts")
-    _release(spark)
+    cuts = _store(cuts, "cuts")
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
