@@ -28,6 +28,7 @@ from agriclime.sources.tables import materialize
 BINS, BANDS, ROWS = 128, 32, 4
 WORDS = 5
 PERCENT = 75
+COMMON = 16
 _EMPTY = np.uint64(2**64 - 1)
 _PLACES = seeds(WORDS, 2) | np.uint64(1)
 _SHORT = seeds(WORDS, 3)
@@ -102,6 +103,14 @@ def _sketched(batches):
             )
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for part in steps(batch, "text"):
+            shingles, starts, _ = shingle_sets(part.column("text"))
+            node = np.repeat(np.asarray(part.column("node")), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingles.view(np.int64))], ["node", "shingle"])
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of the intersection and the union of two sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -142,23 +151,40 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     one = rows.join(texts, ["doc_id", "node"]).dropDuplicates(["node"])
     members = one.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("info"))
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(texts.join(nodes, "node").select("node", "doc_id"), "wanted")
+        found = documents.join(small(wanted), "doc_id").where("text is not null")
+        return materialize(found.select("node", "text").dropDuplicates(["node"]), "wanted-texts")
+
+    def prefixes(nodes: DataFrame) -> DataFrame:
+        """Each set's rarest shingles, so many that two linked sets have ``COMMON`` of them in common.
+
+        Linked sets share ``least = 0.75 * size`` elements of either at least. In any one
+        order of all elements, the first ``size - least + c`` of both then hold ``c`` of them.
+        """
+        rows = materialize(texts_of(nodes).mapInArrow(_shingle_rows, "node long, shingle long"), "shingles")
+        counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+        sets = rows.join(counts, "shingle").groupBy("node")
+        sets = sets.agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+        least = F.ceil(F.size("s") * PERCENT / 100).cast("int")
+        common = F.least(F.lit(COMMON), least)
+        prefix = F.slice("s", F.lit(1), F.size("s") - least + common)["shingle"]
+        return materialize(sets.select("node", prefix.alias("prefix"), common.alias("common")), "prefixes")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             own = texts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"))
             pairs = pairs.join(own, side)
         alike = F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
         pairs = materialize(pairs.where(alike).select("a", "b"), "sized-pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = materialize(texts.join(nodes, "node").select("node", "doc_id"), "wanted")
-        found = documents.join(small(wanted), "doc_id").where("text is not null")
-        found = materialize(found.select("node", "text").dropDuplicates(["node"]), "wanted-texts")
+        found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.sortWithinPartitions("a").mapInArrow(_confirmed, "a long, b long, alike boolean, apart double")
 
     larger = f"100 * least(x.info, y.info) >= {PERCENT} * greatest(x.info, y.info)"
-    names = linked(members, confirm, larger, 1 - PERCENT / 100 + 1e-9)
+    names = linked(members, confirm, larger, 1 - PERCENT / 100 + 1e-9, prefixes)
     if names is None:
         names = texts.select("node", F.col("node").alias("component")).limit(0)
     slim = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")

@@ -131,6 +131,21 @@ def test_equals_brute_force(documents):
     assert {r["doc_id"]: r["n_shingles"] for r in found} == sizes
 
 
+def test_prefixes_lose_no_link(documents):
+    """One base text changed ever more: most pairs share bands, only some are links."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(i // 6):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    expected = brute(rows)
+    assert 1 < len(set(expected.values())) < 50
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()} == expected
+
+
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
 
