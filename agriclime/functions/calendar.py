@@ -24,11 +24,34 @@ def ten_day_of(day: Column) -> Column:
     return F.lit(1) + (day > 10).cast("int") + (day >= 21).cast("int")
 
 
-def calendar_parts(df: DataFrame, date_col: str = "date") -> DataFrame:
+def _text_bounds(date_col: str, first: int, last: int | None) -> list[Column]:
+    """Comparisons of the date text that follow from its first four characters' range.
+
+    A number of four digits fills all four characters, so text and number sort alike.
+    """
+    if not 1000 <= first <= (last or first) < 9999:
+        return []
+    bounds = [F.col(date_col) >= F.lit(str(first))]
+    if last is not None:
+        bounds.append(F.col(date_col) < F.lit(str(last + 1)))
+    return bounds
+
+
+def calendar_parts(
+    df: DataFrame, date_col: str = "date", years: tuple[int, int | None] | None = None
+) -> DataFrame:
     """Add year, month, day, half and ten_day.
 
-    Each part is read on its own, so '2001-01' still has a year and a month.
+    Each part is read on its own, so '2001-01' still has a year and a month. ``years``
+    (first and last, or no last) keeps the rows of these years only; as the year is made
+    here, from the date's first characters, that filter also reaches the file scan.
     """
+    if years is not None:
+        first, last = years
+        for bound in _text_bounds(date_col, first, last):
+            df = df.where(bound)
+        kept = since_year if last is None else in_years
+        return kept(calendar_parts(df, date_col), *[y for y in years if y is not None])
     day = _part(date_col, 9, 2)
     return df.withColumns(
         {
@@ -57,30 +80,11 @@ def tenday_key(df: DataFrame) -> DataFrame:
     )
 
 
-def _text_years(date_col: str, df: DataFrame, first: int, last: int | None) -> list[Column]:
-    """Comparisons of the date text that a year range implies for four-digit years.
-
-    They change no result, but unlike a cast of a substring they reach the file scan.
-    """
-    if date_col not in df.columns or not 1000 <= first <= (last or first) < 9999:
-        return []
-    bounds = [F.col(date_col) >= F.lit(str(first))]
-    if last is not None:
-        bounds.append(F.col(date_col) < F.lit(str(last + 1)))
-    return bounds
+def since_year(df: DataFrame, first: int) -> DataFrame:
+    """Rows of year ``first`` and later."""
+    return df.where(F.col("year") >= first)
 
 
-def since_year(df: DataFrame, first: int, date_col: str = "date") -> DataFrame:
-    """Rows of year ``first`` and later."""
-    kept = df.where(F.col("year") >= first)
-    for bound in _text_years(date_col, df, first, None):
-        kept = kept.where(bound)
-    return kept
-
-
-def in_years(df: DataFrame, first: int, last: int, date_col: str = "date") -> DataFrame:
-    """Rows of the years ``first`` to ``last``; the list test evaluates the year once."""
-    kept = df.where(F.col("year").isin(list(range(first, last + 1))))
-    for bound in _text_years(date_col, df, first, last):
-        kept = kept.where(bound)
-    return kept
+def in_years(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of the years ``first`` to ``last``."""
+    return df.where(F.col("year").between(first, last))

@@ -30,9 +30,14 @@ def null_out_nan(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     return df.withColumns({c: nan_to_null(c) for c in cols})
 
 
+# Casts also take Java's suffixes ('90d', '90f') for numbers; these rules do not.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def safe_int(c: Column | str) -> Column:
     """Integer part of a numeric text ('12.7' gives 12); null for anything else."""
-    return _col(c).try_cast("double").try_cast("int")
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double").try_cast("int"))
 
 
 def mean_present(c: Column | str) -> Column:

@@ -10,20 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.missing import matches, max_present, mean_present, nan_to_null, safe_int
 from ..sources.tables import materialize
 
-# The eight provinces kept, and the three of one growing calendar.
+# The eight provinces kept.
 PROVINCES = ("강원", "경기", "경남", "경북", "전남", "전북", "충남", "충북")
-CALENDAR_PROVINCES = ("충남", "전북", "경남")
 SUBTOTAL_PATTERN = "소계"
 
-# Columns the interpolation and the phenology stages need from the daily table.
+# The columns the interpolation needs from the daily table.
 ROLLUP_COLUMNS = (
     "station", "date", "year", "month", "day", "half", "ten_day", "tm_avg", "tm_min", "tm_max",
     "pr_day", "hm_avg", "ss_dura_sum", "rad_sum",
 )
-PHENOLOGY_COLUMNS = (
-    "station", "date", "tm_avg", "year", "month", "day", "half", "ten_day", "tm_min", "tm_max",
-    "pr_day", "ws_avg", "hm_avg", "ss_dura_sum", "rad_sum",
-)
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,18 +74,39 @@ def latest_station(stations: DataFrame) -> DataFrame:
     )
 
 
+def one_row_per_station(stations: DataFrame) -> DataFrame:
+    """The latest history entry of each station; without ``date_start`` a second row is an error."""
+    if "date_start" in stations.columns:
+        return latest_station(stations)
+    rest = [c for c in stations.columns if c != "station"]
+    problem = F.raise_error(F.lit("more than one row for a station")).cast("boolean")
+    entry = F.first(F.struct(*rest)) if rest else F.lit(None)
+    found = stations.groupBy("station").agg(
+        entry.alias("entry"), F.when(F.count(F.lit(1)) > 1, problem).otherwise(True).alias("single")
+    )
+    found = found.where("single")
+    return found.select("station", *[f"entry.{c}" for c in rest]).select(*stations.columns)
+
+
 def station_join(
-    daily: DataFrame, stations: DataFrame, one_per_station: bool = False
+    daily: DataFrame,
+    stations: DataFrame,
+    one_per_station: bool = False,
+    provinces: Sequence[str] | None = None,
 ) -> DataFrame:
     """Attach province, station name and region to every weather row.
 
-    No broadcast hint: station tables can be large, so the optimizer decides from
-    the size it knows or measures. Shuffled, a hot station is split at run time.
-    With several history entries per station the join fans out unless
-    ``one_per_station``, for which the latest entries become a stage table.
+    The four columns become a stage table first: its exact size lets the optimizer
+    broadcast it up to the threshold, and beyond it both sides are shuffled and a hot
+    station is split at run time. ``provinces`` keeps the rows of their stations only
+    and is applied to the stations. With several history entries per station the join
+    fans out unless ``one_per_station`` (``one_row_per_station``).
     """
-    meta = materialize(latest_station(stations), "latest") if one_per_station else stations
-    return daily.join(meta.select("station", "wide", "station_name", "region"), "station", "left")
+    meta = one_row_per_station(stations) if one_per_station else stations
+    meta = meta.select("station", "wide", "station_name", "region")
+    if provinces is not None:
+        meta = in_provinces(meta, provinces)
+    return daily.join(materialize(meta, "station-names"), "station", "left" if provinces is None else "inner")
 
 
 def region_coordinates(regions: DataFrame, geo: DataFrame) -> DataFrame:

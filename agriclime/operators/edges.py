@@ -1,6 +1,6 @@
 """Removal of rows by their position in key order.
 
-The keys are read on their own to find a position; pass a stage table
+The keys are read on their own to find a position and stored once; pass a stage table
 (``sources.tables.materialize``) when the rows are expensive to compute.
 """
 
@@ -38,15 +38,41 @@ def trim_edge_groups(
 ) -> DataFrame:
     """Drop the first ``head`` and last ``tail`` rows in key order, missing keys last.
 
-    Both edges are bounded top-n selections over the key columns alone, so there
-    is no global sort and the broadcast side holds ``head + tail`` rows at most.
+    Short edges are bounded top-n selections over the key columns alone; the broadcast
+    side then holds ``head + tail`` rows. Longer ones number the keys in ranges
+    (``numbered``), and the join decides from the edges' size.
     """
-    if max(head, tail) > TOP_N_LIMIT:
-        raise ValueError(f"edges longer than {TOP_N_LIMIT} rows: use drop_row_at / a key filter")
     only_keys = df.select(*keys)
-    first = only_keys.orderBy(*_ascending(keys)).limit(head)
-    last = only_keys.orderBy(*_descending(keys)).limit(tail)
-    return without_keys(df, F.broadcast(first.unionAll(last)), keys)
+    if max(head, tail) <= TOP_N_LIMIT:
+        only_keys = materialize(only_keys, "edge-keys")
+        first = only_keys.orderBy(*_ascending(keys)).limit(head)
+        last = only_keys.orderBy(*_descending(keys)).limit(tail)
+        return without_keys(df, F.broadcast(first.unionAll(last)), keys)
+    order = numbered(only_keys, keys)
+    total = order.agg(F.max("ordinal").alias("n")).first()["n"] or 0
+    edge = order.where((F.col("ordinal") <= head) | (F.col("ordinal") > total - tail))
+    return without_keys(df, edge.select(*keys), keys)
+
+
+def _sliced(only_keys: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys stored by ranges, with their slice number, and the rows up to each slice."""
+    ranged = only_keys.repartitionByRange(*_ascending(keys)).withColumn(
+        "slice", F.spark_partition_id()
+    )
+    stored = materialize(ranged, "ordered-keys")
+    # One row per range partition: small whatever the data holds.
+    counts = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
+    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stored, counts.withColumn("through", F.sum("rows").over(upto))
+
+
+def numbered(only_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with ``ordinal``, their position from 1 in key order; each slice is a task's."""
+    stored, counts = _sliced(only_keys, keys)
+    within = Window.partitionBy("slice").orderBy(*_ascending(keys))
+    before = F.col("through") - F.col("rows")
+    ordered = stored.join(counts, "slice").withColumn("ordinal", before + F.row_number().over(within))
+    return materialize(ordered.select(*keys, "ordinal"), "numbered-keys")
 
 
 def row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -65,17 +91,9 @@ def row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
         last = head.orderBy(*_descending(keys)).limit(1)
         reached = numbered.select(F.col("present") == n).scalar()
         return last.where(reached)
-    ranged = only_keys.repartitionByRange(*_ascending(keys)).withColumn(
-        "slice", F.spark_partition_id()
-    )
-    # Each task writes its own slice, in the order of the ranges.
-    stored = materialize(ranged, "ordered-keys", partition_by=["slice"], rebalance=False)
-    # One row per range partition: small whatever the data holds.
-    counts = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
-    upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stored, counts = _sliced(only_keys, keys)
     target = (
-        counts.withColumn("through", F.sum("rows").over(upto))
-        .where((F.col("through") >= n) & (F.col("through") - F.col("rows") < n))
+        counts.where((F.col("through") >= n) & (F.col("through") - F.col("rows") < n))
         .select("slice", (F.lit(n) - F.col("through") + F.col("rows")).alias("position"))
     )
     within = Window.partitionBy("slice").orderBy(*_ascending(keys))

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from .rollup import PARTS_PER_MONTH, time_keys
 
 MEASURES = ("tm_avg", "tm_min", "tm_max", "pr_sum", "hm_avg", "ss_dura")
 STATIONS_USED = 3
 REGION = ["wide", "region"]
-# Station numbers broadcast at most: a few megabytes.
-BROADCAST_STATIONS = 1_000_000
 
 
 def region_grid(
@@ -31,14 +30,11 @@ def region_grid(
 def weather_of_neighbours(daily: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Weather of the stations that are somebody's neighbour; ``neighbours`` is a stage table.
 
-    The filter is exact for everything grouped by station. Its station list is
-    broadcast after its length was checked. A longer list is not joined to the raw
-    rows at all: the rollup, combined on the map side, is then the smaller thing to
-    shuffle, and the later join with the neighbours drops the rest.
+    The filter is exact for everything grouped by station. The distinct stations are a
+    stage table, whose exact size decides how the semi join is done.
     """
-    if neighbours.count() > BROADCAST_STATIONS:
-        return daily
-    return daily.join(F.broadcast(neighbours.select("station")), "station", "left_semi")
+    used = materialize(neighbours.select("station").distinct(), "used-stations")
+    return daily.join(used, "station", "left_semi")
 
 
 def nearest_reporting(
@@ -48,13 +44,14 @@ def nearest_reporting(
 
     Since a station has one row per period, this equals widening the neighbour list
     step by step until ``m`` of them report. A region-period has at most as many
-    candidates as the region has neighbours, so the ranking groups stay small.
+    candidates as the region has neighbours, so the ranking groups stay small. A
+    station listed twice for a region counts once, at its least distance.
     """
+    near = neighbours.groupBy(*REGION, "station").agg(F.min("dist").alias("dist"))
     keys = [*REGION, *time_keys(grain)]
     order = Window.partitionBy(*keys).orderBy("dist", "station")
     return (
-        neighbours.select(*REGION, "station", "dist")
-        .join(rollup.select("station", *time_keys(grain), *MEASURES), "station")
+        near.join(rollup.select("station", *time_keys(grain), *MEASURES), "station")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= m)
     )

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import nan_to_null
+from .clean import one_row_per_station
 from ..sources.tables import materialize
 
 NEIGHBOURS = 10
@@ -36,12 +37,29 @@ def _distance(dlat: Column, dlng: Column) -> Column:
     return F.sqrt(dlat * dlat + dlng * dlng)
 
 
+def _degrees(c: str, limit: float) -> Column:
+    """A coordinate; null where it is missing, infinite or no degree of its axis."""
+    value = nan_to_null(c)
+    return F.when(F.abs(value) <= limit, value)
+
+
+def located_regions(regions: DataFrame) -> DataFrame:
+    """(wide, region, lat, lng) of regions with coordinates; a region with two rows is an error."""
+    problem = F.raise_error(F.lit("more than one row for a region"))
+    single = F.count(F.lit(1)) == 1
+    one = regions.groupBy("wide", "region").agg(
+        F.when(single, F.first(_degrees("lat", 90.0))).otherwise(problem.cast("double")).alias("lat"),
+        F.when(single, F.first(_degrees("lng", 180.0))).otherwise(problem.cast("double")).alias("lng"),
+    )
+    return one.dropna(subset=POINT)
+
+
 def station_places(stations: DataFrame, k: int) -> DataFrame:
     """Distinct station coordinates with their (at most ``k``) lowest station numbers."""
-    located = stations.select(
+    located = one_row_per_station(stations).select(
         "station",
-        nan_to_null("latitude").alias("latitude"),
-        nan_to_null("longitude").alias("longitude"),
+        _degrees("latitude", 90.0).alias("latitude"),
+        _degrees("longitude", 180.0).alias("longitude"),
     ).dropna()
     order = Window.partitionBy("latitude", "longitude").orderBy("station")
     return (
@@ -150,7 +168,9 @@ def nearest_stations(
     """(wide, region, rank, station, dist) of the ``k`` nearest stations per region.
 
     Distance is Euclidean in degrees; equal distances rank by station number.
-    Regions or stations without coordinates take no part. Runs small jobs of its own:
+    Regions or stations without coordinates take no part; coordinates beyond 90 and 180
+    degrees count as missing. Of a station's history the latest entry counts; a region
+    with two rows, or a station with two and no ``date_start``, is an error. Runs small jobs:
     the distinct places become a stage table, whose bounding box and fullest cells
     decide the depth of the grid.
     """
@@ -161,8 +181,7 @@ def nearest_stations(
         F.min("longitude").alias("lng0"),
         F.max("longitude").alias("lng1"),
     ).first()
-    located = regions.select("wide", "region", nan_to_null("lat").alias("lat"),
-                             nan_to_null("lng").alias("lng")).dropna(subset=POINT)
+    located = materialize(located_regions(regions), "regions")
     if box["lat0"] is None:
         return located.select(
             "wide", "region", F.lit(0).alias("rank"), F.lit(0).alias("station"),

@@ -11,7 +11,6 @@ from ..operators.clean import (
     PROVINCES,
     date_complete,
     fill_precip,
-    in_provinces,
     safe_station,
     station_join,
 )
@@ -25,11 +24,17 @@ from ..operators.phenology import (
 
 
 def region_daily(
-    weather: DataFrame, stations: DataFrame, provinces: Sequence[str] = PROVINCES
+    weather: DataFrame,
+    stations: DataFrame,
+    provinces: Sequence[str] = PROVINCES,
+    years: tuple[int, int | None] | None = None,
 ) -> DataFrame:
-    """Cleaned daily weather of the wanted provinces with ten-day keys."""
-    clean = date_complete(safe_station(fill_precip(calendar_parts(weather))))
-    joined = in_provinces(station_join(clean, stations), provinces)
+    """Cleaned daily weather of the wanted provinces with ten-day keys.
+
+    Of a station's history the latest entry counts. ``years`` limits the scan.
+    """
+    clean = date_complete(safe_station(fill_precip(calendar_parts(weather, years=years))))
+    joined = station_join(clean, stations, one_per_station=True, provinces=provinces)
     return tenday_key(joined.drop("rad_sum"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.calendar import in_years
+from ..operators.clean import region_coordinates
 from ..operators.interpolate import interpolate, region_grid, weather_of_neighbours
 from ..operators.rollup import complete_groups, rollup_climate
 from ..operators.spatial import NEIGHBOURS, nearest_stations
@@ -28,14 +29,21 @@ def interpolate_region_climate(
     k: int = NEIGHBOURS,
     pairing: str = "aligned",
     neighbours: DataFrame | None = None,
+    geo: DataFrame | None = None,
 ) -> DataFrame:
     """Region x period weather for the given years; ``daily`` carries calendar parts.
 
-    The neighbour list is a stage table of ``k`` rows per region. While it is short,
-    weather of all other stations is dropped before the rollup, whose shuffle then
-    grows with the neighbours, not with all stations. Several grains can share one
-    list by passing the ``neighbours`` stage table.
+    ``regions`` has coordinates, or is the region list and ``geo`` the coordinate table
+    (joined by ``region_coordinates``, which raises on double rows). Regions without
+    coordinates keep their rows, without values. ``stations`` may hold station history.
+
+    The neighbour list is a stage table of ``k`` rows per region. Weather of all other
+    stations is dropped before the rollup, whose shuffle then grows with the neighbours,
+    not with all stations. Several grains can share one list by passing the
+    ``neighbours`` stage table.
     """
+    if geo is not None:
+        regions = materialize(region_coordinates(regions, geo), "regions")
     if neighbours is None:
         neighbours = neighbour_table(regions, stations, k)
     wanted = weather_of_neighbours(in_years(daily, first_year, last_year), neighbours)

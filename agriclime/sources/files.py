@@ -45,38 +45,51 @@ def _schema(names: Sequence[str], types: Mapping[str, str]) -> T.StructType:
     return T.StructType([T.StructField(n, ddl[types.get(n, "string")], True) for n in names])
 
 
-def _csv_options(spark: SparkSession):
-    return spark.read.option("header", True).option("nullValue", "NA").option("nanValue", "NaN")
+# Quotes inside a quoted text are doubled, on reading and on writing.
+QUOTING = {"quote": '"', "escape": '"'}
 
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
+def _csv_options(spark: SparkSession, encoding: str):
+    """Options of every reader; a part file whose header differs from the schema is an error.
+
+    Columns are taken by position, so a file with the same names in another order would
+    otherwise be read into the wrong ones.
+    """
+    return spark.read.options(
+        header=True, nullValue="NA", nanValue="NaN", enforceSchema=False, encoding=encoding, **QUOTING
+    )
+
+
+def header_names(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
     """Column names of a CSV file; reads the header line only."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(header=True, encoding=encoding, **QUOTING).csv(path).columns
 
 
-def read_typed_csv(spark: SparkSession, path: str, types: Mapping[str, str]) -> DataFrame:
+def read_typed_csv(
+    spark: SparkSession, path: str, types: Mapping[str, str], encoding: str = "UTF-8"
+) -> DataFrame:
     """Read a CSV whose known columns are typed by name and whose others stay text.
 
     Types are never inferred: inference would turn a damaged date such as
     '2001-01' into a timestamp. Columns nobody selects are not parsed.
     """
-    names = header_names(spark, path)
+    names = header_names(spark, path, encoding)
     missing = [c for c in types if c not in names]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    df = _csv_options(spark).schema(_schema(names, types)).csv(path)
+    df = _csv_options(spark, encoding).schema(_schema(names, types)).csv(path)
     return null_out_nan(df)
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    names = set(header_names(spark, path))
+def read_weather(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    names = set(header_names(spark, path, encoding))
     wanted = {c: t for c, t in WEATHER_TYPES.items() if c != "ws_max" or c in names}
-    return read_typed_csv(spark, path, wanted)
+    return read_typed_csv(spark, path, wanted, encoding)
 
 
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_stations(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Station metadata with the year its history starts."""
-    df = read_typed_csv(spark, path, STATION_TYPES).select(*STATION_TYPES)
+    df = read_typed_csv(spark, path, STATION_TYPES, encoding).select(*STATION_TYPES)
     return with_year_start(df)
 
 
@@ -85,24 +98,32 @@ def with_year_start(stations: DataFrame) -> DataFrame:
     return stations.withColumn("year_start", start)
 
 
-def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    return read_typed_csv(spark, path, REGION_TYPES).select(*REGION_TYPES)
+def read_regions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    return read_typed_csv(spark, path, REGION_TYPES, encoding).select(*REGION_TYPES)
 
 
-def read_region_geo(spark: SparkSession, path: str) -> DataFrame:
-    return read_typed_csv(spark, path, REGION_GEO_TYPES).select(*REGION_GEO_TYPES)
+def read_region_geo(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    return read_typed_csv(spark, path, REGION_GEO_TYPES, encoding).select(*REGION_GEO_TYPES)
 
 
-def read_yields(spark: SparkSession, path: str) -> DataFrame:
+def read_yields(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """One yield file; its own header names are replaced by position."""
-    found = header_names(spark, path)
+    found = header_names(spark, path, encoding)
     if len(found) != len(YIELD_COLUMNS):
         raise ValueError(f"{path} has {len(found)} columns, expected {len(YIELD_COLUMNS)}")
-    schema = _schema(YIELD_COLUMNS, dict(zip(YIELD_COLUMNS, YIELD_TYPES)))
-    return null_out_nan(_csv_options(spark).schema(schema).csv(path))
+    schema = _schema(found, dict(zip(found, YIELD_TYPES)))
+    read = _csv_options(spark, encoding).schema(schema).csv(path)
+    return null_out_nan(yield_names(read))
+
+
+def yield_names(df: DataFrame) -> DataFrame:
+    """The yield columns' own names instead of those of the file, by position."""
+    return df.toDF(*YIELD_COLUMNS)
 
 
-def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] = ()) -> None:
+def write_csv(
+    df: DataFrame, path: str, sort_by: Sequence[str] = (), encoding: str = "UTF-8"
+) -> None:
     """Write part files with a header; missing values as NA.
 
     ``sort_by`` orders the rows over all part files (missing values last): rows are
@@ -110,7 +131,8 @@ def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] = ()) -> None:
     """
     if sort_by:
         df = df.orderBy(*[F.col(c).asc_nulls_last() for c in sort_by])
-    df.write.option("header", True).option("nullValue", "NA").mode("overwrite").csv(path)
+    writer = df.write.options(header=True, nullValue="NA", encoding=encoding, **QUOTING)
+    writer.mode("overwrite").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("year",)) -> None:

@@ -48,6 +48,7 @@ def weather(sparse: bool = False) -> str:
 DAMAGED = """damaged AS (
   SELECT CASE CAST(tm_avg AS BIGINT) % 7 WHEN 0 THEN 'junk'
               WHEN 1 THEN CAST(station AS VARCHAR) || '.7' WHEN 2 THEN NULL
+              WHEN 4 THEN CAST(station AS VARCHAR) || 'd'
               ELSE CAST(station AS VARCHAR) END AS station,
          CASE WHEN CAST(tm_avg AS BIGINT) % 7 = 3 THEN substring("date", 1, 7)
               ELSE "date" END AS "date",
@@ -97,6 +98,15 @@ ABBREVIATED = """CASE WHEN wide IN ('경기도', '강원도', '제주도') THEN
          ELSE substring(wide, 1, 1) || substring(wide, 3, 1) END"""
 
 
+YEARS = """years AS (
+  SELECT unnest(range(first, last + 1)) AS y
+  FROM (SELECT min("year") AS first, max("year") AS last FROM daily))"""
+
+ALL_REGIONS = """listed AS (
+  SELECT DISTINCT wide, region FROM stations UNION ALL
+  SELECT DISTINCT wide, region || '_NEW' FROM stations)"""
+
+
 def calendar(source: str = "weather", name: str = "daily") -> str:
     return f"""{name} AS (
   SELECT *, CASE WHEN "day" >= 15 THEN 1 WHEN "day" IS NOT NULL THEN 2 END AS half,
@@ -166,14 +176,13 @@ def stage_a() -> dict[str, str]:
              count(CASE WHEN ws > 9 OR ws IS NULL THEN 1 END) AS n_gt_or_null
              FROM (SELECT ws_avg + ss_dura_sum AS ws_max,
                           CASE WHEN hm_avg IS NOT NULL THEN ws_avg END AS ws FROM weather)""",
-        "region_geo_join": with_(STATIONS, GEO)
+        "region_geo_join": with_(STATIONS, GEO, ALL_REGIONS)
         + """SELECT a.wide, a.region, round(b.lat, 6) + 0.0 AS lat, round(b.lng, 6) + 0.0 AS lng
-             FROM (SELECT DISTINCT wide, region FROM stations) a LEFT JOIN (SELECT * FROM geo WHERE wide <> 'ASIA') b
+             FROM listed a LEFT JOIN geo b
              ON a.wide = b.wide AND a.region = b.region""",
-        "region_grid": with_(STATIONS)
+        "region_grid": with_(STATIONS, weather(), calendar(), YEARS)
         + """SELECT wide, region, CAST(y AS INTEGER) AS "year", CAST(m AS INTEGER) AS "month"
-             FROM (SELECT DISTINCT wide, region FROM stations), range(1995, 2002) ys(y),
-                  range(1, 13) ms(m)""",
+             FROM (SELECT DISTINCT wide, region FROM stations), years, range(1, 13) ms(m)""",
     }
     for grain in GRAIN_PART:
         k, suffix = commas(keys(grain)), "" if grain == "month" else f"_{grain}"
@@ -246,11 +255,11 @@ def chosen(grain: str) -> str:
     FROM neighbours n JOIN rolled r ON n.station = r.station) WHERE place <= 3)"""
 
 
-def idw(grain: str, station_order: bool = False) -> str:
+def idw(grain: str, station_order: bool = False, regions: str = "geo") -> str:
     time = keys(grain)[1:]
     by = commas(["wide", "region", *time])
-    parts = [weather(True), calendar(), rollup(grain, True), STATIONS, GEO, NEIGHBOURS,
-             chosen(grain)]
+    parts = [weather(True), calendar(), YEARS, rollup(grain, True), STATIONS, GEO, ALL_REGIONS,
+             NEIGHBOURS, chosen(grain)]
     if station_order:
         parts.append(
             f"""by_dist AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY dist) AS p FROM chosen),
@@ -270,7 +279,7 @@ paired AS (SELECT {commas('v.' + c for c in ['wide', 'region', *time])}, d.dist,
     extra_col = "".join(f", CAST(p AS INTEGER) AS {c}" for c in GRAIN_PART[grain])
     parts.append(
         f"""grid AS (SELECT wide, region, CAST(y AS INTEGER) AS "year", CAST(m AS INTEGER) AS "month"{extra_col}
-           FROM geo, range(1995, 2002) ys(y), range(1, 13) ms(m){extra})"""
+           FROM {regions}, years, range(1, 13) ms(m){extra})"""
     )
     return with_(*parts) + f"SELECT {by}, {rnd(*IDW_MEASURES)} FROM grid LEFT JOIN filled USING ({by})"
 
@@ -304,6 +313,8 @@ def spatial() -> dict[str, str]:
         "idw_half": idw("half"),
         "idw_station_order": idw("month", station_order=True),
         "csv_roundtrip": idw("month"),
+        "idw_month_history": idw("month"),
+        "idw_unlocated_region": idw("month", regions="listed"),
     }
 
 
@@ -353,6 +364,9 @@ def cleaning() -> dict[str, str]:
         )
         + """, round(max(ws_avg), 6) + 0.0 AS ws_max
              FROM weather LEFT JOIN stations USING (station) GROUP BY "date", region, wide""",
+        "since_year_damaged": with_(w, DAMAGED, calendar("damaged"))
+        + f"""SELECT station, CASE WHEN CAST(tm_avg AS BIGINT) % 5 <> 0 THEN "date" END AS "date", "year",
+             {rnd('tm_avg')} FROM daily WHERE "year" >= 1998""",
         "tenday_tally": with_(w, calendar())
         + """SELECT ("month" - 1) * 3 + ten_day AS tenday_no, "month", ten_day, count(*) AS n
              FROM daily GROUP BY 1, 2, 3""",
@@ -474,7 +488,7 @@ def phenology() -> dict[str, str]:
         )
     shown = rnd(*FEATURE_COLUMNS)
     for name, rule, start in (
-        ("feature_table", "m5", 15), ("feature_table_m5_literal", "m5_literal", 15),
+        ("feature_table", "m5", 15), ("feature_table_history", "m5", 15), ("feature_table_m5_literal", "m5_literal", 15),
         ("feature_table_m7", "m7", 19),
     ):
         out[name] = (

@@ -28,7 +28,6 @@ from agriclime.sources.tables import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FIRST_YEAR, LAST_YEAR = 1995, 2001
 FEATURE_YEAR, TRANSPLANT_MONTH, TRANSPLANT_TENDAY = 1996, 5, 3
 SOME_PROVINCES = ("AMERICA", "ASIA", "EUROPE")
 NEAR_ROW, FAR_ROW = 700, 12_345
@@ -60,6 +59,7 @@ def _damaged(spark, d):
             "station": F.when(line == 0, F.lit("junk"))
             .when(line == 1, F.concat(station, F.lit(".7")))
             .when(line == 2, F.lit(None).cast("string"))
+            .when(line == 4, F.concat(station, F.lit("d")))
             .otherwise(station),
             "date": F.when(line == 3, F.substring("date", 1, 7)).otherwise(F.col("date")),
         }
@@ -92,8 +92,8 @@ def _drop_at(spark, d):
 
 
 def _rename(spark, d):
-    names = [f"c{i}" for i in range(6)]
-    return sample.yields(spark, d).toDF(*names).toDF(*files.YIELD_COLUMNS)
+    foreign = ("province", "county", "jahr", "area", "per_10a", "tons")
+    return files.yield_names(sample.yields(spark, d).toDF(*foreign))
 
 
 def _placeholders(spark, d):
@@ -159,10 +159,14 @@ def _wind_profile(spark, d):
     return coverage.wind_profile(w, ["ws_max", "ws_avg"])
 
 
+def _all_regions(spark, d):
+    """The regions with a station, and as many that have no coordinates on file."""
+    known = sample.region_list(spark, d)
+    return known.unionByName(known.withColumn("region", F.concat("region", F.lit("_NEW"))))
+
+
 def _region_geo_join(spark, d):
-    # A fifth of the regions has no coordinates on file.
-    known = sample.region_geo(spark, d).where(F.col("wide") != "ASIA")
-    return clean.region_coordinates(sample.region_list(spark, d), known)
+    return clean.region_coordinates(_all_regions(spark, d), sample.region_geo(spark, d))
 
 
 def _neighbours(spark, d):
@@ -177,8 +181,15 @@ def _knn_wide(spark, d):
     return spatial.neighbours_wide(_neighbours(spark, d))
 
 
+def _years(spark, d):
+    """First and last year of the weather."""
+    year = F.col("year")
+    years = calendar_parts(sample.weather(spark, d)).agg(F.min(year).alias("a"), F.max(year).alias("b"))
+    return tuple(years.first())
+
+
 def _region_grid(spark, d):
-    return interpolate.region_grid(sample.region_list(spark, d), FIRST_YEAR, LAST_YEAR)
+    return interpolate.region_grid(sample.region_list(spark, d), *_years(spark, d))
 
 
 def _nearest_reporting(spark, d):
@@ -193,12 +204,26 @@ def _idw(grain, pairing="aligned"):
     def query(spark, d):
         return interpolate_region_climate(
             _daily(spark, d, sparse=True), sample.region_geo(spark, d),
-            sample.stations(spark, d), FIRST_YEAR, LAST_YEAR, grain, pairing=pairing,
+            sample.stations(spark, d), *_years(spark, d), grain, pairing=pairing,
         )
 
     return query
 
 
+def _idw_history(spark, d):
+    return interpolate_region_climate(
+        _daily(spark, d, sparse=True), sample.region_geo(spark, d),
+        sample.station_history(spark, d), *_years(spark, d),
+    )
+
+
+def _idw_unlocated(spark, d):
+    return interpolate_region_climate(
+        _daily(spark, d, sparse=True), _all_regions(spark, d), sample.stations(spark, d),
+        *_years(spark, d), geo=sample.region_geo(spark, d),
+    )
+
+
 def _csv_roundtrip(spark, d):
     path = new_path(spark, "region-month-csv")
     region_month = _idw("month")(spark, d)
@@ -244,8 +269,8 @@ def _date_length(spark, d):
 
 
 def _province_in(spark, d):
-    return clean.in_provinces(
-        clean.station_join(sample.weather(spark, d), sample.stations(spark, d)), SOME_PROVINCES
+    return clean.station_join(
+        sample.weather(spark, d), sample.stations(spark, d), provinces=SOME_PROVINCES
     ).select("station", "date", "wide", "tm_avg")
 
 
@@ -260,6 +285,14 @@ def _since_year(spark, d):
     return since_year(_daily(spark, d), 1998).select("station", "date", "year", "tm_avg")
 
 
+def _since_year_damaged(spark, d):
+    """Years count, not date texts: some rows have lost theirs."""
+    daily = calendar_parts(_damaged(spark, d))
+    lost = F.pmod(F.col("tm_avg"), F.lit(5.0)) == 0
+    daily = daily.withColumn("date", F.when(~lost, F.col("date")))
+    return since_year(daily, 1998).select("station", "date", "year", "tm_avg")
+
+
 def _region_day_mean(spark, d):
     return clean.region_day_mean(
         clean.station_join(sample.weather(spark, d), sample.stations(spark, d))
@@ -386,6 +419,14 @@ def _feature_table(spark, d):
     return phenology.feature_table(_classified(spark, d))
 
 
+def _feature_table_history(spark, d):
+    places = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    daily = region_daily(
+        sample.weather(spark, d), sample.station_history(spark, d), places, years=(FEATURE_YEAR, None)
+    )
+    return period_features(daily, FEATURE_YEAR, TRANSPLANT_MONTH, TRANSPLANT_TENDAY)
+
+
 def _feature_yield(spark, d, exclude_year=2001):
     return period_features_with_yield(
         _region_daily(spark, d), sample.yields(spark, d), FEATURE_YEAR, TRANSPLANT_MONTH,
@@ -461,6 +502,10 @@ def registered() -> dict[str, Query]:
         "region_grid": _region_grid,
         "nearest_reporting": _nearest_reporting,
         "idw_month": _idw("month"),
+        "idw_month_history": _idw_history,
+        "idw_unlocated_region": _idw_unlocated,
+        "since_year_damaged": _since_year_damaged,
+        "feature_table_history": _feature_table_history,
         "idw_tenday": _idw("tenday"),
         "idw_half": _idw("half"),
         "idw_station_order": _idw("month", "station_order"),

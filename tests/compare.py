@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 
 
-TYPE_NAMES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
+TYPE_NAMES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:

@@ -28,6 +28,21 @@ def test_drop_row_at(spark, monkeypatch, limit):
         assert edges.drop_row_at(df, KEYS, n).count() == 50
 
 
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_long_edges(spark, monkeypatch, limit):
+    monkeypatch.setattr(edges, "TOP_N_LIMIT", limit)
+    df = frame(spark, 60)
+    kept = sorted(r.v for r in edges.trim_edge_groups(df, KEYS, 20, 7).collect())
+    assert kept == list(range(20, 53))
+    assert edges.trim_edge_groups(df, KEYS, 50, 20).count() == 0
+
+
+def test_twenty_thousand_rows_are_trimmed(spark):
+    df = spark.range(50_000).selectExpr("cast(id as int) station", "2000 year", "cast(id as int) v")
+    kept = edges.trim_edge_groups(df, KEYS, 20_000, 1).selectExpr("min(v) a", "max(v) b", "count(*) n").first()
+    assert tuple(kept) == (20_000, 49_998, 29_999)
+
+
 def test_coverage_forms_agree(spark):
     rows = [(s, 2000 + y, m) for s in (3, 7, 101) for y in range(2) for m in (1, 2) if (s + y + m) % 3]
     rolled = spark.createDataFrame(rows, "station int, year int, month int")

@@ -128,3 +128,31 @@ def test_csv_to_interpolation_and_features(spark, tmp_path):
     assert (row.tm_avg_P1, row.pr_day_P1, row.ws_avg_P1) == (18.0, 12.0, 6.0)
     assert row.gdd10c_P1 == pytest.approx(3 * 5 + 3 * 11) and row.tm_avg_P2 is None
     assert len(row) == 44
+
+
+TEXTS = [('a "q" b', 1.0), ('"quoted, all"', 2.0), ("서울, 부산", None), ("plain", 3.5), ("line", 4.0), (None, 5.0)]
+
+
+def test_csv_keeps_quotes_commas_and_hangul(spark, tmp_path):
+    path = str(tmp_path / "quotes")
+    files.write_csv(spark.createDataFrame(TEXTS, "name string, v double"), path)
+    written = "".join(p.read_text() for p in (tmp_path / "quotes").glob("part-*"))
+    assert '"a ""q"" b"' in written and "\\" not in written
+    back = files.read_typed_csv(spark, path, {"name": "string", "v": "double"})
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(TEXTS, key=str)
+
+
+def test_csv_header_order_is_checked_in_every_file(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("lat,lng\n1.0,2.0\n")
+    (folder / "b.csv").write_text("lng,lat\n3.0,4.0\n")
+    with pytest.raises(Exception):
+        files.read_typed_csv(spark, str(folder), {"lat": "double", "lng": "double"}).collect()
+
+
+def test_csv_encoding(spark, tmp_path):
+    path = tmp_path / "latin.csv"
+    path.write_bytes("wide,region\nÎle,Évry\n".encode("latin-1"))
+    row = files.read_regions(spark, str(path), encoding="ISO-8859-1").first()
+    assert tuple(row) == ("Évry", "Île")

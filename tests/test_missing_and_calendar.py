@@ -1,9 +1,12 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from agriclime.functions import missing as ms
 from agriclime.functions.calendar import calendar_parts, in_years, since_year, tenday_key
+from agriclime.functions.missing import safe_int
 from agriclime.operators import clean, phenology
 from agriclime.operators.rollup import complete_groups, rollup_climate, valid_keys
 
@@ -43,6 +46,29 @@ def test_year_filter_matches_integer_comparison(spark):
         assert {r.date for r in in_years(df, first, last).collect()} == want
 
 
+@pytest.mark.parametrize("first", [999, 1998])
+def test_year_filter_does_not_look_at_the_date_text(spark, first):
+    df = spark.createDataFrame([(None, 2001), ("15-03-2001", 2001), ("1990-01-01", 900)], "date string, year int")
+    assert {r.year for r in since_year(df, first).collect()} == {2001}
+    assert since_year(df, first).count() == in_years(df, first, 2001).count() == 2
+
+
+def test_years_of_calendar_parts_equal_the_filter(spark):
+    dates = ["1997-12-31", "1998-01-01", " 199", "+200", "2001", "abcd", "", None, "19980101", "9998-01-01"]
+    raw = spark.createDataFrame([(d,) for d in dates], "date string")
+    for first, last in ((1998, None), (1998, 2001), (1, None), (1998, 9999)):
+        plain = calendar_parts(raw)
+        plain = since_year(plain, first) if last is None else in_years(plain, first, last)
+        assert sorted(map(str, calendar_parts(raw, years=(first, last)).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_safe_int_takes_no_java_suffix(spark):
+    texts = ["90", "90.7", " 90 ", "+9e1", "90d", "90f", "90D", "0x5A", "NaN", "Infinity", "", None, ".", "-.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "station string")
+    got = [r[0] for r in df.select(safe_int("station")).collect()]
+    assert got == [90, 90, 90, 90] + [None] * 9 + [0]
+
+
 def test_mean_skips_null_and_nan(spark):
     nan = float("nan")
     rows = [

@@ -5,15 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from agriclime.functions.calendar import calendar_parts
 from agriclime.operators import clean, phenology
 from agriclime.operators import rollup as ru
 from agriclime.operators.interpolate import nearest_reporting
 from agriclime.sources import sample
+from catalog import queries as catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
+QUERIES = catalog.registered()
 
 
 def plan(df):
@@ -56,9 +56,7 @@ def test_no_query_compares_all_pairs(spark, name):
 def test_columns_and_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "weather")
     sample.weather(spark, FOLDER).write.parquet(path)
-    from agriclime.functions.calendar import since_year
-
-    daily = since_year(calendar_parts(spark.read.parquet(path)), 1998)
+    daily = calendar_parts(spark.read.parquet(path), years=(1998, None))
     text = plan(daily.groupBy("station", "year").agg(F.max("ws_avg")))
     assert "GreaterThanOrEqual(date,1998)" in text
     assert "ReadSchema: struct<station:int,date:string,ws_avg:double>" in text
@@ -139,15 +137,15 @@ def test_shuffled_interpolation_gives_the_same_rows(shuffled):
     assert got == sorted(want)
 
 
-def test_long_neighbour_lists_are_not_joined_to_raw_rows(spark, monkeypatch):
-    from agriclime.operators import interpolate
+def test_weather_of_other_stations_is_dropped_before_the_rollup(spark):
+    assert "LeftSemi" in plan(QUERIES["idw_month"](spark, FOLDER))
+
 
-    def rows(df):
-        return sorted(map(str, df.collect()))
+JOINED = ("station_join", "province_in", "equal_filter", "feature_table", "period_gdd10c", "region_day_mean")
 
-    short = QUERIES["idw_month"](spark, FOLDER)
-    assert "LeftSemi" in plan(short)
-    monkeypatch.setattr(interpolate, "BROADCAST_STATIONS", 0)
-    long = QUERIES["idw_month"](spark, FOLDER)
-    assert "LeftSemi" not in plan(long)
-    assert rows(short) == rows(long)
+
+@pytest.mark.parametrize("name", JOINED)
+def test_weather_is_neither_broadcast_nor_shuffled_for_its_stations(spark, name):
+    text = plan(QUERIES[name](spark, FOLDER))
+    assert "BroadcastHashJoin" in text and "BuildLeft" not in text
+    assert "SortMergeJoin" not in text

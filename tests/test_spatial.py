@@ -83,6 +83,67 @@ def test_plan_has_no_all_pairs_join(spark):
     assert "Cartesian" not in text and "NestedLoop" not in text and "Cross" not in text
 
 
+ONE = [("w", "r", 0.0, 0.0)]
+FOUR = [(i, 0.0, float(i)) for i in range(1, 5)]
+VALUES = {1: 10.0, 2: 20.0, 3: 40.0, 4: 80.0}
+
+
+def one_cell(spark, regions, stations, schema=STATION, geo=None):
+    from agriclime.functions.calendar import calendar_parts
+    from agriclime.plans.interpolation import interpolate_region_climate
+
+    rows = [(s, "2001-05-01", v, v, v, v, v, v, v) for s, v in VALUES.items()]
+    daily = calendar_parts(spark.createDataFrame(rows, (
+        "station int, date string, tm_avg double, tm_min double, tm_max double, pr_day double, "
+        "hm_avg double, ss_dura_sum double, rad_sum double")))
+    regions = spark.createDataFrame(regions, REGION) if geo is None else spark.createDataFrame(regions, "wide string, region string")
+    out = interpolate_region_climate(
+        daily, regions, spark.createDataFrame(stations, schema), 2001, 2001,
+        geo=None if geo is None else spark.createDataFrame(geo, REGION))
+    return {r.region: r.tm_avg for r in out.where("month = 5").collect()}
+
+
+def test_one_row_of_everything(spark):
+    assert one_cell(spark, ONE, FOUR)["r"] == pytest.approx(18.1818, abs=1e-3)
+
+
+def test_double_rows_raise(spark):
+    with pytest.raises(Exception, match="more than one row for a region"):
+        one_cell(spark, ONE * 2, FOUR)
+    with pytest.raises(Exception, match="more than one row for a station"):
+        one_cell(spark, ONE, [*FOUR, FOUR[0]])
+    with pytest.raises(Exception, match="more than one coordinate row"):
+        one_cell(spark, [("w", "r")], FOUR, geo=[*ONE, ("w", "r", 5.0, 5.0)])
+
+
+def test_station_history_counts_once(spark):
+    history = [(*s, "1990-01-01") for s in FOUR] + [(1, 0.0, 0.5, "1980-01-01"), (2, 0.5, 0.0, "1981-01-01")]
+    found = one_cell(spark, ONE, history, STATION + ", date_start string")
+    assert found["r"] == pytest.approx(18.1818, abs=1e-3)
+
+
+def test_region_without_coordinates_keeps_its_rows(spark):
+    found = one_cell(spark, [("w", "r"), ("w", "new")], FOUR, geo=ONE)
+    assert found["new"] is None and found["r"] == pytest.approx(18.1818, abs=1e-3)
+
+
+def test_a_station_listed_twice_counts_once(spark):
+    near = [("w", "r", 1, 1, 1.0), ("w", "r", 2, 1, 1.0), ("w", "r", 3, 2, 2.0), ("w", "r", 4, 3, 3.0)]
+    obs = [(s, 2001, 5, *[VALUES[s]] * 6) for s in (1, 2, 3)]
+    chosen = ip.nearest_reporting(spark.createDataFrame(near, NEIGHBOURS), spark.createDataFrame(obs, OBS))
+    assert sorted((r.place, r.station) for r in chosen.collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("odd", [(9000, 1e9, 127.0), (9000, float("inf"), float("-inf")), (9000, 35.0, 181.0)])
+def test_coordinates_that_are_none_change_nothing(spark, odd):
+    rnd = random.Random(6)
+    stations = [(i, *p) for i, p in enumerate(layout("uniform", rnd, 600))]
+    regions = [("w", f"r{i}", *p) for i, p in enumerate(layout("uniform", rnd, 10))]
+    assert run(spark, regions, [*stations, odd], 10) == brute_force(regions, stations, 10)
+    frame = spark.createDataFrame([*stations, odd], STATION)
+    assert spatial.station_places(frame, 10).count() == 600
+
+
 def test_no_stations_at_all(spark):
     assert run(spark, [("w", "r", 1.0, 1.0)], [(1, None, None)], 3) == {}
 
