@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Bytes of text that one vectorised step works on; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 # Tables of up to so many rows of two numbers may be broadcast (some 10 MB).
 BROADCAST_ROWS = 200_000
 
