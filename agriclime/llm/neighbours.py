@@ -10,6 +10,10 @@ their rows in double precision, and the windows' best rows are merged.
 The window follows from the data: for a bounded sample of queries (``SAMPLE``) the exact
 neighbours are found, and the window is the least rank distance that holds the share
 ``RECALL`` of them on the nearest of the curves.
+
+Equal vectors are one row of all this, known by their least ``vec_id``; it carries the least
+``k + 1`` ids, which take its place once the best vectors are known. A vector's own copies
+are candidates of it wherever the curves lead.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ CURVES, DIMS, BITS = 12, 6, 10
 SAMPLE = 256
 RECALL = 0.96
 TILE = 4_096
-_MORE = 8  # candidates a tile keeps beyond k until scores are taken pair by pair
+_PAIRS = 1 << 14  # pairs whose products are taken at once
+_ROUNDING = 1e-12  # by which products of matrices may differ from those taken pair by pair
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -86,16 +91,25 @@ def _order(dims: int, norm: float, seed: int):
     return run
 
 
-def _best(scores: np.ndarray, k: int):
-    """Row and column of the ``k`` greatest of each row; -inf never."""
+def _best(scores: np.ndarray, k: int, q: np.ndarray, c: np.ndarray, ids: np.ndarray):
+    """Row, column and score of the ``k`` greatest of each row, ties by id; -inf never.
+
+    Of ``scores`` all that may belong to them are kept, and taken again pair by pair.
+    """
+    held = scores > -np.inf
     if scores.shape[1] > k:
-        column = np.argpartition(-scores, k - 1, 1)[:, :k]
-    else:
-        column = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    row = np.repeat(np.arange(len(scores)), column.shape[1])
-    column = column.ravel()
-    held = scores[row, column] > -np.inf
-    return row[held], column[held]
+        least = np.partition(scores, -k, 1)[:, -k]
+        size = np.sqrt((q * q).sum(1)) * np.sqrt((c * c).sum(1).max(initial=0))
+        held &= scores >= (least - _ROUNDING * size)[:, None]
+    row, column = np.nonzero(held)
+    score = np.empty(len(row))
+    for i in range(0, len(row), _PAIRS):
+        at = slice(i, i + _PAIRS)
+        score[at] = (q[row[at]] * c[column[at]]).sum(1)
+    order = np.lexsort((ids[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k], score[place < k]
 
 
 def _exact(batches_of, k: int):
@@ -106,9 +120,9 @@ def _exact(batches_of, k: int):
             x = _matrix(batch.column("v"))
             scores = q @ x.T
             scores[ids[:, None] == own[None, :]] = -np.inf
-            row, column = _best(scores, k)
+            row, column, score = _best(scores, k, q, x, own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), pa.array(own[column]), pa.array(scores[row, column])], ["query_id", "vec_id", "score"]
+                [pa.array(ids[row]), pa.array(own[column]), pa.array(score)], ["query_id", "vec_id", "score"]
             )
 
     return run
@@ -131,8 +145,7 @@ def _searched(window: int, k: int):
             scores = x[at] @ c.T
             scores[np.abs(ranks[at][:, None] - ranks[c_at][None, :]) > window] = -np.inf
             scores[ids[at][:, None] == ids[c_at][None, :]] = -np.inf
-            row, column = _best(scores, k + _MORE)
-            score = (x[at[row]] * c[column]).sum(1)
+            row, column, score = _best(scores, k, x[at], c, ids[c_at])
             out.append((ids[at[row]], ids[c_at[column]], score))
         columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3)]
         kinds = (pa.int64(), pa.int64(), pa.float64())
@@ -148,13 +161,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, s
     smaller ``vec_id``. No usable rows: no result rows.
     """
     spark = vectors.sparkSession
-    rows = materialize(taking_part(vectors), "vectors")
+    every = materialize(taking_part(vectors), "vectors")
+    least = Window.partitionBy("v").orderBy("vec_id")  # tasks cut a vector's ids before the shuffle
+    rows = every.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1).groupBy("v")
+    rows = rows.agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    copies = materialize(rows.select("vec_id", "v", "ids"), "distinct-vectors")
+    rows = copies.select("vec_id", "v")
+    queries = every.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    queries = queries.join(copies.select("v", F.col("vec_id").alias("group")), "v").select("query_id", "group")
+    queries = materialize(queries, "queries")
+    asking = queries.select(F.col("group").alias("vec_id")).distinct()
+    asking = materialize(rows.join(asking, "vec_id"), "asking")
     seen = rows.select(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("n"), "v")
     seen = seen.agg(F.max("n").alias("n"), F.max(F.size("v")).alias("d"), F.count("*").alias("rows")).first()
     if not seen["rows"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm, dims = float(np.sqrt(seen["n"])), seen["d"]
-    both = rows.withColumn("is_query", F.lit(False)).unionByName(rows.where(is_query).withColumn("is_query", F.lit(True)))
+    both = rows.withColumn("is_query", F.lit(False)).unionByName(asking.withColumn("is_query", F.lit(True)))
     kind = rows.schema["v"].dataType.simpleString()
     spread = both.mapInArrow(_order(dims, norm, seed), f"curve int, key long, vec_id long, is_query boolean, v {kind}")
     parts = max(CURVES, -(-seen["rows"] * CURVES // (8 * TILE)))
@@ -168,7 +191,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, s
     ranked = spread.withColumn("part", part).join(small(materialize(sizes, "offsets")), ["curve", "part"])
     ranked = ranked.withColumn("rank", F.col("at") - F.col("low") + F.col("before")).drop("at", "low", "before", "part", "key")
 
-    picked = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).toArrow()
+    picked = asking.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE).toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast((picked["vec_id"].to_numpy(), _matrix(picked["v"])))
@@ -186,5 +209,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, s
     asked = ranked.where("is_query").withColumn("tile", F.explode(F.sequence(tile - reach, tile + reach)))
     tiles = ranked.where("not is_query").withColumn("tile", tile).unionByName(asked)
     found = tiles.groupBy("curve", "tile").applyInArrow(_searched(window, k), "query_id long, vec_id long, score double")
+    own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    found = found.unionByName(asking.select(F.col("vec_id").alias("query_id"), "vec_id", own.alias("score")))
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return _top(merged, k).select("query_id", "rank", "vec_id", "score")
+    # A query may be one of the ids itself, so one more is kept until then.
+    best = materialize(_top(merged, k + 1).drop("rank"), "best-vectors")
+    best = best.join(copies.select("vec_id", "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    best = materialize(_top(best, k + 1).select(F.col("query_id").alias("group"), "vec_id", "score"), "best")
+    pairs = queries.join(best, "group").where("vec_id <> query_id")
+    return _top(pairs, k).select("query_id", "rank", "vec_id", "score")

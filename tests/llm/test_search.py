@@ -59,6 +59,27 @@ def test_fewer_candidates_than_asked(spark):
     assert sorted(found) == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
 
 
+def test_ties_of_many_copies_go_to_the_least_ids(spark):
+    rng = np.random.default_rng(5)
+    hot = [3.0, 0.0, 0.0, 0.0]
+    rows = [(i, hot if i % 3 else rng.normal(size=4).tolist()) for i in rng.permutation(900).tolist()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    expected = exact(rows, 20)
+    assert set(found) == set(expected)
+    copies = [q for q in expected if q % 3]
+    assert len(copies) == 30 and all(found[q] == [i for i, _ in expected[q]] for q in copies)
+
+
+def test_equal_scores_at_the_cut_are_kept_by_id():
+    ids = np.random.default_rng(2).permutation(800)
+    q, c = np.array([[1.0, 0.0]]), np.column_stack([np.ones(800), ids])
+    _, column, score = neighbours._best(q @ c.T, 20, q, c, ids)
+    assert ids[column].tolist() == list(range(20)) and (score == 1).all()
+
+
 def test_recall_on_sample_table(spark):
     folder = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
