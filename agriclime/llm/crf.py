@@ -2,17 +2,18 @@
 
 Labels mark whole documents, so tokens get theirs by distant supervision. A word's
 features are itself and its first 4 to 8 bytes, hashed to a fixed number of buckets. Over
-all learning texts (equal texts once) a bucket is a *cue* if it occurs in at least
-``support`` of the toxic texts and at least ``ratio`` times as often per word in toxic
-texts as in clean ones; its strength is the logarithm of that ratio. In a toxic text the
+all learning texts (equal texts once) a bucket is a *cue* if it occurs in at least ``TEXTS``
+toxic texts, at least ``RATIO`` times as often per word in toxic texts as in clean ones, and
+in more toxic texts than chance would give (``_by_chance``); its strength is the logarithm of that ratio. In a toxic text the
 words with a cue are labelled toxic, all other words clean.
 
 The field has the states clean and toxic. Emission features of a word are its strongest
 cue, whether it has one, and the neighbours' strongest cue; the text begins in the clean
-state. It is fitted on windows of a bounded sample of learning documents (``sample``).
+state. It is fitted on windows of a bounded sample of learning documents (``sample``), half
+of each label if there are so many; windows are weighted by the labels' true shares.
 Forward-backward marginals give each word its probability of being toxic; their sum, their
 density and their maximum give the document's score by a logistic regression that is
-fitted on the same sample. Words of probability 0.5 or more are the offending spans.
+fitted on the same sample, its constant corrected for the shares. Words of probability 0.5 or more are the offending spans.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from agriclime.llm.hashing import LOWER, prefix, seeds, span_hash, words
 from agriclime.sources.tables import materialize
 
 BUCKETS = 1 << 20
-SUPPORT = 0.005
+TEXTS = 3
+CHANCE = 0.05  # of any bucket becoming a cue by chance
 RATIO = 10.0
 SAMPLE = 6_000
 WINDOW = 64
@@ -181,7 +183,15 @@ def marginals(score: np.ndarray, first: np.ndarray, transition: np.ndarray) -> n
     return out.T[held.T]
 
 
-def fit_field(features: np.ndarray, labels: np.ndarray, held: np.ndarray, rounds: int = 300):
+def _by_chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Bound (Chernoff) of the log probability of so many toxic ones among a bucket's texts."""
+    n = np.maximum(toxic + clean, 1)
+    p = toxic / n
+    apart = p * np.log(np.maximum(p, 1e-300) / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-300) / (1 - share))
+    return np.where(p > share, -n * apart, 0.0)
+
+
+def fit_field(features: np.ndarray, labels: np.ndarray, held: np.ndarray, rounds: int = 300, weight: np.ndarray | None = None):
     """Weights of the field by gradient ascent on windows (window x word), L2 penalty."""
     count, length = labels.shape
     theta = np.array([-3.0, 0.5, 0.5, 0.0])
@@ -189,9 +199,10 @@ def fit_field(features: np.ndarray, labels: np.ndarray, held: np.ndarray, rounds
     y = labels.astype(int)
     before = np.concatenate([np.zeros((count, 1), int), y[:, :-1]], 1)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (before[held], y[held]), 1)
+    w = np.ones(count) if weight is None else weight
+    np.add.at(seen, (before[held], y[held]), np.broadcast_to(w[:, None], held.shape)[held])
     m, v = np.zeros(8), np.zeros(8)
-    total = held.sum()
+    total = (held * w[:, None]).sum()
     for step in range(1, rounds + 1):
         weights = np.exp(trans)
         g = np.where(held, np.exp(np.clip(features @ theta, -50, 50)), 1.0)
@@ -209,11 +220,11 @@ def fit_field(features: np.ndarray, labels: np.ndarray, held: np.ndarray, rounds
             joint = alpha[t][:, :, None] * weights * right[:, None, :]
             joint /= joint.sum((1, 2), keepdims=True)
             joint[~held[:, t]] = 0
-            pairs += joint.sum(0)
+            pairs += (joint * w[:, None, None]).sum(0)
             p[:, t] = joint[:, :, 1].sum(1)
             nxt = right @ weights.T
             beta = np.where(held[:, t, None], nxt / nxt.sum(1, keepdims=True), beta)
-        grad_theta = np.einsum("ct,ctf->f", (labels - p) * held, features) / total - 1e-4 * theta
+        grad_theta = np.einsum("ct,ctf->f", (labels - p) * held * w[:, None], features) / total - 1e-4 * theta
         grad_trans = (seen - pairs) / total - 1e-4 * trans
         grad = np.concatenate([grad_theta, grad_trans.ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -285,8 +296,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    least = max(2, SUPPORT * sizes[1])
-    cues = counted(1).where((F.col("bucket") < 0) | (F.col("texts") >= least)).toPandas()
+    cues = counted(1).where((F.col("bucket") < 0) | (F.col("texts") >= TEXTS)).toPandas()
     all_toxic = max(1, cues.loc[cues.bucket < 0, "occurs"].sum())
     cues = cues[cues.bucket >= 0]
     wanted = np.zeros(BUCKETS, bool)
@@ -296,12 +306,21 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     clean = clean[clean.bucket >= 0]
     in_clean = np.zeros(BUCKETS)
     in_clean[clean.bucket] = clean.occurs
+    clean_texts = np.zeros(BUCKETS)
+    clean_texts[clean.bucket] = clean.texts
     ratio = ((cues.occurs.to_numpy() + 0.5) / all_toxic) / ((in_clean[cues.bucket] + 0.5) / all_clean)
     strength = np.zeros(BUCKETS, np.float32)
-    strength[cues.bucket] = np.where(ratio >= RATIO, np.log(ratio), 0)
+    share = sizes[1] / (sizes[0] + sizes[1])
+    chance = _by_chance(cues.texts.to_numpy(), clean_texts[cues.bucket], share)
+    sure = chance <= np.log(CHANCE / max(1, len(cues)))
+    strength[cues.bucket] = np.where((ratio >= RATIO) & sure, np.log(ratio), 0)
 
     # ``sample`` bounds the broadcast; texts stay where they are.
-    drawn = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    wanted_toxic = min(sizes[1], max(sample // 2, sample - sizes[0]))
+    drawn = None
+    for toxic, count in ((1, wanted_toxic), (0, sample - wanted_toxic)):
+        one = rows.where(F.col("toxic") == toxic).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(count)
+        drawn = one if drawn is None else drawn.unionByName(one)
     picked = rows.join(F.broadcast(drawn), "doc_id")
     shared = spark.sparkContext.broadcast(strength)
 
@@ -328,13 +347,17 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     edge[:, 0] = True
     features = _emissions(cue.ravel(), edge.ravel()).reshape(*held.shape, 4).astype(float)
     labels = (cue > 0) & (found.toxic.to_numpy()[:, None] == 1)
-    theta, trans = fit_field(features, labels, held)
+    marks = found.toxic.to_numpy()
+    times = np.array([sizes[k] / max(1, (marks == k).sum()) for k in (0, 1)])
+    weight = times[marks] / times[marks].mean()
+    theta, trans = fit_field(features, labels, held, weight=weight)
     model = Model(strength, theta, trans)
 
     scored = score(picked, model).select("toxic", "n_words", "expected", "most").toPandas()
     inputs = _document_inputs(scored.expected.to_numpy(), scored.n_words.to_numpy(), scored.most.to_numpy())
     model.centre, model.spread = inputs.mean(0), inputs.std(0) + 1e-9
     model.document = _logistic((inputs - model.centre) / model.spread, scored.toxic.to_numpy())
+    model.document[0] += np.log(times[1] / times[0])
     return model
 
 

@@ -86,6 +86,26 @@ def test_scores_and_spans(documents, model):
     assert len(by[None, "é n"]["spans"]) == 3
 
 
+def test_cues_and_sample_hold_rare_toxic_texts(spark, documents):
+    rng = np.random.default_rng(9)
+    words = ["river", "stone", "under", "green", "table", "winter", "music", "paper"]
+    usual = lambda: " ".join(rng.choice(words, 12))
+    rows = [(i, f"{usual()} {i}", 0) for i in range(3000)]
+    rows += [(3000 + i, f"{usual()} grumblefool {i}", 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = crf.learn(df, sample=40)  # a blind draw holds no toxic text more often than not
+    out = {r["doc_id"]: r["score"] for r in crf.score(documents([(1, usual() + " grumblefool"), (2, usual())]), model).collect()}
+    assert out[1] > 20 * out[2], out  # the ridge keeps ten texts well under certainty
+
+
+def test_support_does_not_grow_with_the_texts():
+    # 900 of 200,000 toxic texts and no clean one; seven of seven at a share of a tenth; three of three
+    sure = np.log(crf.CHANCE / crf.BUCKETS)
+    assert crf._by_chance(np.array([900]), np.array([0]), 0.5)[0] < sure
+    assert crf._by_chance(np.array([3, 7]), np.array([0, 0]), 0.1) == pytest.approx(np.array([3, 7]) * np.log(0.1))
+    assert crf._by_chance(np.array([1]), np.array([99]), 0.1)[0] == 0
+
+
 def test_nothing_to_learn(spark, documents):
     from pyspark.sql import functions as F
 
