@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, ppm, repeats, sharding
+from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, ppm, prefixes, repeats, sharding
 from agriclime.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,11 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefixes.prefix_trie(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the corpus pipeline."""
     return corpus_pipeline.run(spark, folder)
@@ -123,6 +128,7 @@ def registered() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_language_id": op9_language_id,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "pipeline": pipeline,
     }
 
@@ -157,6 +163,54 @@ FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
+# Unsigned crc32 by its table; needs the CTE ``crc_table``.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+    SELECT list(v ORDER BY b) AS crc FROM (
+        SELECT b, list_reduce([b] || range(8), lambda x, i:
+            CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v
+        FROM range(256) r(b)))"""
+
+
+def crc32_sql(octets: str) -> str:
+    """SQL of the crc32 of a list of byte values (BIGINT)."""
+    return (
+        f"xor(4294967295, list_reduce([4294967295] || {octets}, "
+        "lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))"
+    )
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE}, turns AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), cut AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, l, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE
+        {crc32_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 END AS h
+    FROM turns, crc_table
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.l, [])[1:c.h], c.l[c.h + 1:]) AS l
+    FROM cut c LEFT JOIN turns b ON b.conv_id = c.base
+), prefix AS (
+    SELECT conv_id, d, l[1:d] AS node, len(l) = d AS is_end FROM rebuilt, unnest(range(0, len(l) + 1)) u(d)
+), nodes AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(
+        CASE WHEN is_end THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM prefix GROUP BY node, d
+), children AS (
+    SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+), counted AS (
+    SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node, d)
+), below AS (
+    SELECT node[1:u.a] AS node, u.a AS d, count(*) FILTER (n_children = 0) AS n_leaves,
+        sum(CASE WHEN d > 0 THEN (n_convs - 1) * strlen(node[d].t) ELSE 0 END)::BIGINT AS saved_tokens
+    FROM counted, unnest(range(0, d + 1)) u(a) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens,
+    n.ends_sha256
+FROM counted n JOIN below b USING (node, d) LEFT JOIN nodes p ON p.node = n.node[1:n.d - 1] AND p.d = n.d - 1
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL}
+    return {"op2_minhash": OP2_SQL, "op11_prefix_trie": OP11_SQL}
