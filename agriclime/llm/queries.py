@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, ppm, prefixes, repeats, sharding
+from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, packing, ppm, prefixes, repeats, sharding
 from agriclime.llm.common import fold, table
+from agriclime.sources.tables import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +112,16 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 1024 tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        content = file.read()
+    found = packing.pieces(table(spark, folder, "documents").select("doc_id", "text"), content)
+    return packing.pack(materialize(found, "pieces")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the corpus pipeline."""
     return corpus_pipeline.run(spark, folder)
@@ -129,6 +140,7 @@ def registered() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_prefix_trie": op11_prefix_trie,
+        "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
 
