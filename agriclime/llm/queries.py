@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, packing, ppm, prefixes, repeats, sharding
+from agriclime.llm import bpe, crf, decontaminate, licenses, lines, minhash, neighbours, packing, ppm, prefixes, repeats, sharding, variants
 from agriclime.llm.common import fold, table
 from agriclime.sources.tables import materialize
 
@@ -112,6 +112,11 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents with their near words and the roots of their spellings."""
+    return variants.variants(table(spark, folder, "documents"))
+
+
 def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 1024 tokens."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
@@ -140,6 +145,7 @@ def registered() -> dict[str, Query]:
         "op9_language_id": op9_language_id,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
@@ -223,6 +229,44 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_chil
 FROM counted n JOIN below b USING (node, d) LEFT JOIN nodes p ON p.node = n.node[1:n.d - 1] AND p.d = n.d - 1
 """
 
+_LETTERS = "lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195, ord(x)::BIGINT - 64] END"
+_KEYED = "coalesce(doc_id::VARCHAR, '') || ':' || r"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, found AS (
+    SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)
+), runs AS (
+    SELECT doc_id, r, count(*) AS times FROM found WHERE length(r) >= 7 GROUP BY doc_id, r
+), hashed AS (
+    SELECT r, times, {crc32_sql(f"flatten(list_transform(string_split({_KEYED}, ''), {_LETTERS}))")} AS h
+    FROM runs, crc_table
+), words AS MATERIALIZED (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, times
+        FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), cuts AS (
+    SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) u(i)
+), longer AS (
+    SELECT DISTINCT c.word AS long, w.word AS short FROM cuts c JOIN words w ON w.word = c.rest
+), near AS (
+    SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT long, short FROM longer UNION ALL SELECT short, long FROM longer
+), best AS (
+    SELECT near.word, count(*) AS n_near, first(struct_pack(w := o.word, n := o.n) ORDER BY o.n DESC, o.word) AS b
+    FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.w END AS form,
+        CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS at, form AS onward FROM formed
+    UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN formed f ON f.word = chain.onward
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word AND c.onward IS NULL
+"""
+
 
 def oracle() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op2_minhash": OP2_SQL, "op11_prefix_trie": OP11_SQL, "op12_spelling_variants": OP12_SQL}
