@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
-from .rollup import PARTS_PER_MONTH, time_keys
+from .rollup import GRAIN_TIME, GRAINS, PARTS_PER_MONTH, time_keys
 
 MEASURES = ("tm_avg", "tm_min", "tm_max", "pr_sum", "hm_avg", "ss_dura")
 STATIONS_USED = 3
@@ -27,6 +27,20 @@ def region_grid(
     return grid
 
 
+def region_grid_grains(
+    regions: DataFrame, first_year: int, last_year: int, grains: Sequence[str] = tuple(GRAINS)
+) -> DataFrame:
+    """The grids of several grains on top of each other, keyed by region and ``GRAIN_TIME``."""
+    parts = [
+        (grain, part)
+        for grain in grains
+        for part in (range(1, PARTS_PER_MONTH[GRAINS[grain][0]] + 1) if GRAINS[grain] else [0])
+    ]
+    at = F.array(*[F.struct(F.lit(g).alias("grain"), F.lit(p).alias("part")) for g, p in parts])
+    grid = region_grid(regions, first_year, last_year).withColumn("at", F.explode(at))
+    return grid.select(*REGION, F.col("at.grain").alias("grain"), "year", "month", F.col("at.part").alias("part"))
+
+
 def weather_of_neighbours(daily: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Weather of the stations that are somebody's neighbour; ``neighbours`` is a stage table.
 
@@ -38,20 +52,27 @@ def weather_of_neighbours(daily: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def nearest_reporting(
-    neighbours: DataFrame, rollup: DataFrame, grain: str = "month", m: int = STATIONS_USED
+    neighbours: DataFrame,
+    rollup: DataFrame,
+    grain: str = "month",
+    m: int = STATIONS_USED,
+    time: Sequence[str] | None = None,
 ) -> DataFrame:
     """Of each region's neighbours, the ``m`` nearest with a row in the period.
 
+    ``time`` names the time keys if they are not those of ``grain``.
+
     Since a station has one row per period, this equals widening the neighbour list
     step by step until ``m`` of them report. A region-period has at most as many
     candidates as the region has neighbours, so the ranking groups stay small. A
     station listed twice for a region counts once, at its least distance.
     """
     near = neighbours.groupBy(*REGION, "station").agg(F.min("dist").alias("dist"))
-    keys = [*REGION, *time_keys(grain)]
+    time = list(time or time_keys(grain))
+    keys = [*REGION, *time]
     order = Window.partitionBy(*keys).orderBy("dist", "station")
     return (
-        near.join(rollup.select("station", *time_keys(grain), *MEASURES), "station")
+        near.join(rollup.select("station", *time, *MEASURES), "station")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= m)
     )
@@ -118,9 +139,10 @@ def interpolate(
     grain: str = "month",
     m: int = STATIONS_USED,
     pairing: str = "aligned",
+    time: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fill a region-period grid; periods without any reporting neighbour stay null."""
-    keys = [*REGION, *time_keys(grain)]
-    filled = idw_weighted_mean(nearest_reporting(neighbours, rollup, grain, m), keys, MEASURES,
+    keys = [*REGION, *(time or time_keys(grain))]
+    filled = idw_weighted_mean(nearest_reporting(neighbours, rollup, grain, m, time), keys, MEASURES,
                                pairing)
     return grid.join(filled, keys, "left")

@@ -92,35 +92,43 @@ SQUARED_MODELS = tuple(squared_model(n) for n in MODEL_VARIABLES)
 
 
 def _complete_cases(df: DataFrame, models: Sequence[Model], groups: Sequence[str]) -> DataFrame:
-    """(groups, model, y, x0..) rows of every model, without rows missing a used value."""
-    width = {len(m.xs) for m in models}
-    if len(width) != 1:
-        raise ValueError("models fitted together need the same number of predictors")
-    size = width.pop()
-    cases = F.array(
-        *[
+    """(groups, model, y, x0..) rows of every model, without rows missing a used value.
+
+    Models may differ in width; a narrower one has null in the columns that it lacks.
+    """
+    size = max(len(m.xs) for m in models)
+    cases = []
+    for m in models:
+        y, xs = nan_to_null(F.col(m.y).cast("double")), m.columns()
+        complete = y.isNotNull()
+        for x in xs:
+            complete = complete & x.isNotNull()
+        padded = [*xs, *[F.lit(None).cast("double")] * (size - len(xs))]
+        cases.append(
             F.struct(
                 F.lit(m.name).alias("model"),
-                nan_to_null(F.col(m.y).cast("double")).alias("y"),
-                *[c.alias(f"x{i}") for i, c in enumerate(m.columns())],
+                complete.alias("complete"),
+                y.alias("y"),
+                *[x.alias(f"x{i}") for i, x in enumerate(padded)],
             )
-            for m in models
-        ]
-    )
-    values = ["y", *[f"x{i}" for i in range(size)]]
+        )
     return (
-        df.select(*groups, F.explode(cases).alias("case"))
+        df.select(*groups, F.explode(F.array(*cases)).alias("case"))
         .select(*groups, "case.*")
-        .dropna(how="any", subset=values)
+        .where("complete")
+        .drop("complete")
     )
 
 
 def _moments(cases: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Count, means and co-moments (upper triangle) of (y, x0..) per group and model.
+
+    Columns that a narrower model lacks have no moments; without these nulls its arrays
+    are those of its own width.
+    """
     values = [c for c in cases.columns if c not in groups and c != "model"]
-    means = F.array(*[F.avg(v) for v in values])
-    pairs = F.array(
-        *[F.covar_pop(a, b) for a, b in combinations_with_replacement(values, 2)]
-    )
+    means = F.array_compact(F.array(*[F.avg(v) for v in values]))
+    pairs = F.array_compact(F.array(*[F.covar_pop(a, b) for a, b in combinations_with_replacement(values, 2)]))
     return cases.groupBy(*groups, "model").agg(
         F.count(F.lit(1)).alias("n"), means.alias("means"), pairs.alias("covariances")
     )
@@ -139,11 +147,67 @@ def fit_models(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = (
     All models share one scan and one aggregation. A predictor that is a linear
     combination of earlier ones gets no coefficient (null), like a constant one.
     """
+    return fit_states(moment_states(df, models, groups), models, groups)
+
+
+def moment_states(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> DataFrame:
+    """What all fits of these models need: ``n``, ``means`` and ``covariances`` of the response
+    and predictors per group and model.
+
+    A state is a few numbers, however many rows it stands for. Stored, states of new years,
+    other tables or finer groups are united by :func:`merge_states` without the rows.
+    """
+    groups = list(groups)
+    return _moments(_complete_cases(df, models, groups), groups)
+
+
+def merge_states(states: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """One state per model and ``groups`` from any number of states (union them first).
+
+    ``groups`` may be fewer columns than the states have: provinces unite to the country.
+    Co-moments are shifted from each state's means to the common ones, so nothing is lost to
+    cancellation. Both steps are aggregates that combine on the map side.
+    """
+    groups, keys = list(groups), [*groups, "model"]
+    stored = materialize(states.select(*keys, "n", "means", "covariances"), "moment-states")
+    at = stored.select(*keys, "n", F.posexplode("means").alias("i", "mean"))
+    common = at.groupBy(*keys, "i").agg(
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")
+    )
+    # A model's width bounds these lists.
+    common = common.groupBy(*keys).agg(
+        F.max("n").alias("all_n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda x: x["mean"]).alias("all_means"),
+    )
+    common = common.select(*[F.col(k).alias(f"of_{k}") for k in keys], "all_n", "all_means")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    joined = stored.join(materialize(common, "moment-means"), same)
+    joined = joined.withColumn("off", F.zip_with("means", "all_means", lambda a, b: a - b))
+    width = F.size("means")
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), width - 1),
+            lambda i: F.transform(F.sequence(i, width - 1), lambda j: F.get("off", i) * F.get("off", j)),
+        )
+    )
+    part = F.zip_with("covariances", pairs, lambda c, shift: F.col("n") * (c + shift))
+    summed = joined.select(*keys, "all_n", "all_means", F.posexplode(part).alias("i", "part"))
+    summed = summed.groupBy(*keys, "all_n", "all_means", "i").agg(F.sum("part").alias("total"))
+    return summed.groupBy(*keys, F.col("all_n").alias("n"), F.col("all_means").alias("means")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "total"))), lambda x: x["total"] / F.col("all_n")).alias(
+            "covariances"
+        )
+    )
+
+
+def fit_states(states: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> DataFrame:
+    """The fits of :func:`fit_models` from moment states."""
     groups = list(groups)
-    moments = _moments(_complete_cases(df, models, groups), groups)
-    keys = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in [*groups])
+    keys = ", ".join(f"`{g}` {states.schema[g].dataType.simpleString()}" for g in groups)
     schema = (keys + ", " if keys else "") + "model string, " + _FITTED
-    fitted = moments.mapInPandas(moment_solver([*groups, "model"]), schema)
+    fitted = states.mapInPandas(moment_solver([*groups, "model"]), schema)
     terms = F.create_map(
         *[
             part
@@ -156,7 +220,11 @@ def fit_models(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = (
 
 def ols(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> DataFrame:
     """Coefficient table: one row per model, group and term, the intercept included."""
-    fitted = fit_models(df, models, groups)
+    return coefficients(fit_models(df, models, groups), groups)
+
+
+def coefficients(fitted: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The coefficient table of fits."""
     zipped = F.arrays_zip("terms", "coefficients", "std_errors", "t_values", "p_values")
     return fitted.select(*groups, "model", F.explode(zipped).alias("row")).select(
         *groups,
@@ -171,7 +239,11 @@ def ols(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> D
 
 def vif(df: DataFrame, models: Sequence[Model], groups: Sequence[str] = ()) -> DataFrame:
     """Variance inflation factor per predictor, on the model's complete cases."""
-    fitted = fit_models(df, models, groups)
+    return inflation(fit_models(df, models, groups), groups)
+
+
+def inflation(fitted: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The variance inflation factors of fits."""
     predictors = F.slice("terms", 2, F.size("vifs"))
     zipped = F.arrays_zip(predictors.alias("terms"), F.col("vifs"))
     return fitted.select(*groups, "model", F.explode(zipped).alias("row")).select(
@@ -188,7 +260,7 @@ def ols_summary(df: DataFrame, models: Sequence[Model], groups: Sequence[str] =
     keys = [*groups, "model"]
     fitted = materialize(fit_models(df, models, groups), "fits")
     cases = _complete_cases(df, models, groups)
-    values = [f"x{i}" for i in range(len(models[0].xs))]
+    values = [f"x{i}" for i in range(max(len(m.xs) for m in models))]
     lines = fitted.select(
         *[F.col(k).alias(f"fit_{k}") for k in keys], F.col("coefficients").alias("b")
     )
@@ -197,8 +269,8 @@ def ols_summary(df: DataFrame, models: Sequence[Model], groups: Sequence[str] =
         same = same & F.col(k).eqNullSafe(F.col(f"fit_{k}"))
     predicted = F.get("b", F.lit(0))
     for i, v in enumerate(values):
-        # A predictor without coefficient takes no part in the prediction.
-        predicted = predicted + F.coalesce(F.get("b", F.lit(i + 1)), F.lit(0.0)) * F.col(v)
+        # A predictor without coefficient, or that the model lacks, takes no part.
+        predicted = predicted + F.coalesce(F.get("b", F.lit(i + 1)) * F.col(v), F.lit(0.0))
     residuals = cases.join(lines, same).select(*keys, (F.col("y") - predicted).alias("residual"))
     quantiles = exact_quantiles(residuals, keys, "residual", RESIDUAL_QUANTILES)
     return fitted.join(quantiles, keys, "left").select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.calendar import calendar_parts, since_year, tenday_key
+from ..operators.calendars import feature_table_calendars
 from ..operators.clean import (
     PROVINCES,
     date_complete,
@@ -66,3 +67,28 @@ def period_features_with_yield(
 ) -> DataFrame:
     features = period_features(daily, year_from, month, ten_day, keys=keys, **options)
     return feature_yield(features, yields, keys, exclude_year)
+
+
+def calendar_features(
+    daily: DataFrame,
+    rules: DataFrame,
+    year_from: int,
+    keys: Sequence[str] = DEFAULT_KEYS,
+    by: Sequence[str] = ("wide",),
+) -> DataFrame:
+    """All period statistics of many calendars (rows of ``rules``) in one pass."""
+    return feature_table_calendars(since_year(daily, year_from), rules, keys=keys, by=by)
+
+
+def calendar_features_with_yield(
+    daily: DataFrame,
+    yields: DataFrame,
+    rules: DataFrame,
+    year_from: int,
+    keys: Sequence[str] = DEFAULT_KEYS,
+    by: Sequence[str] = ("wide",),
+    exclude_year: int | None = 2021,
+) -> DataFrame:
+    """The data sets of all calendars, keyed by ``calendar``, with the yields."""
+    features = calendar_features(daily, rules, year_from, keys, by)
+    return feature_yield(features, yields, keys, exclude_year)

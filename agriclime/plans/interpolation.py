@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.calendar import in_years
 from ..operators.clean import region_coordinates
-from ..operators.interpolate import interpolate, region_grid, weather_of_neighbours
-from ..operators.rollup import complete_groups, rollup_climate
+from ..operators.interpolate import interpolate, region_grid, region_grid_grains, weather_of_neighbours
+from ..operators.rollup import (
+    GRAIN_TIME,
+    GRAINS,
+    climate_states,
+    complete_groups,
+    rollup_climate,
+    rollup_grains,
+    spread_part,
+)
 from ..operators.spatial import NEIGHBOURS, nearest_stations
 from ..sources.tables import materialize
 
@@ -50,3 +61,38 @@ def interpolate_region_climate(
     rollup = complete_groups(rollup_climate(wanted, grain))
     grid = region_grid(regions, first_year, last_year, grain)
     return interpolate(neighbours, rollup, grid, grain, pairing=pairing)
+
+
+def interpolate_region_climate_grains(
+    daily: DataFrame,
+    regions: DataFrame,
+    stations: DataFrame,
+    years: tuple[int, int] | None = None,
+    grains: Sequence[str] = tuple(GRAINS),
+    k: int = NEIGHBOURS,
+    pairing: str = "aligned",
+    neighbours: DataFrame | None = None,
+    geo: DataFrame | None = None,
+) -> DataFrame:
+    """Region weather of several grains on top of each other: ``grain``, year, month, ten_day,
+    half (null for other grains) and the measures.
+
+    One scan of the weather makes the states of all stations, a stage table of at most four
+    rows per station and month; grains, the range of years (if ``years`` is not given, that
+    of the weather) and the neighbours' share are all taken from it. One neighbour table
+    serves all grains.
+    """
+    if geo is not None:
+        regions = materialize(region_coordinates(regions, geo), "regions")
+    if neighbours is None:
+        neighbours = neighbour_table(regions, stations, k)
+    if years is not None:
+        daily = in_years(daily, *years)
+    states = materialize(climate_states(daily), "climate-states")
+    if years is None:
+        years = tuple(states.agg(F.min("year"), F.max("year")).first())
+    wanted = weather_of_neighbours(states, neighbours)
+    rolled = complete_groups(rollup_grains(wanted, grains))
+    known = years[0] is not None  # no weather, no periods
+    grid = region_grid_grains(regions, *(years if known else (1, 1)), grains).where(F.lit(known))
+    return spread_part(interpolate(neighbours, rolled, grid, pairing=pairing, time=GRAIN_TIME))

@@ -12,10 +12,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Temporary folders of local applications; no session setting is touched.
+_LOCAL_FOLDERS: dict[str, str] = {}
+# The run that owns the stage tables made now (see sources.stages), if any.
+OWNER: ContextVar = ContextVar("stage tables' owner", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="agriclime-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="agriclime-")
+    return _LOCAL_FOLDERS[application]
 
 
 def application_folder(spark: SparkSession) -> str:
@@ -64,8 +72,15 @@ def materialize(
     partition_by: Sequence[str] = (),
     rebalance: bool = True,
 ) -> DataFrame:
-    """Write ``df`` as Parquet and return a scan of what was written."""
+    """Write ``df`` as Parquet and return a scan of what was written.
+
+    Inside a ``StageRun`` a table without ``path`` belongs to that run, which may hold it
+    already.
+    """
     spark = df.sparkSession
+    owner = OWNER.get()
+    if owner is not None and path is None:
+        return owner.stage(df, label, partition_by, rebalance)
     target = path or new_path(spark, label)
     writer = partitioned_writer(df, partition_by, rebalance)
     writer.mode("overwrite" if path else "error").parquet(target)

@@ -121,6 +121,12 @@ def keys(grain: str) -> list[str]:
     return ["station", '"year"', '"month"', *GRAIN_PART[grain]]
 
 
+def labelled(grain: str) -> str:
+    """The grain's name, and null for the time keys of other grains."""
+    others = [p for g, parts in GRAIN_PART.items() if g != grain for p in parts]
+    return commas([f"'{grain}' AS grain", *[f"CAST(NULL AS INTEGER) AS {p}" for p in others]])
+
+
 def rollup(grain: str, complete: bool = False, name: str = "rolled") -> str:
     having = (
         "HAVING count(rad_sum) > 0 AND count(hm_avg) > 0 AND count(ss_dura_sum) > 0"
@@ -204,6 +210,9 @@ def stage_a() -> dict[str, str]:
             + f"""SELECT {commas(keys(grain))}, {rnd(*ROLLUP_MEASURES)} FROM (SELECT *,
                  row_number() OVER (ORDER BY {commas(keys(grain))}) AS i FROM rolled) WHERE i <> {n}"""
         )
+    out["rollup_all_grains"] = "\nUNION ALL BY NAME\n".join(
+        f"SELECT {labelled(grain)}, * FROM ({out[f'rollup_{grain}']})" for grain in GRAIN_PART
+    )
     out["valid_keys"] = (
         with_(w, DAMAGED, calendar("damaged"), rollup("tenday", True))
         + f"""SELECT {commas(keys('tenday'))}, {rnd(*ROLLUP_MEASURES)} FROM rolled
@@ -314,6 +323,9 @@ def spatial() -> dict[str, str]:
         "idw_station_order": idw("month", station_order=True),
         "csv_roundtrip": idw("month"),
         "idw_month_history": idw("month"),
+        "idw_all_grains": "\nUNION ALL BY NAME\n".join(
+            f"SELECT {labelled(grain)}, * FROM ({idw(grain)})" for grain in GRAIN_PART
+        ),
         "idw_unlocated_region": idw("month", regions="listed"),
     }
 
@@ -454,6 +466,30 @@ def pivoted(features: Sequence[tuple[str, str]], by: Sequence[str]) -> str:
 
 REGION_YEAR = ("wide", "region", '"year"')
 
+# Period offsets, transplant ten-days and (sample) provinces of the six calendars.
+RULES |= {
+    "early": (("P1", 0, 0), ("P2", 1, 6), ("P3", 7, 9), ("P4", 10, 12), ("P5", 13, 14)),
+    "late": (("P1", 0, 0), ("P2", 1, 5), ("P3", 6, 8), ("P4", 9, 10), ("P5", 11, 13)),
+}
+CALENDARS = (
+    ("south_may", "'AMERICA', 'ASIA'", "m5", 15),
+    ("south_june", "'AMERICA', 'ASIA'", "m6", 16),
+    ("middle_may", "'EUROPE', 'AFRICA'", "m5", 15),
+    ("middle_june", "'EUROPE', 'AFRICA'", "m6", 16),
+    ("mountain_early", "'MIDDLE EAST'", "early", 13),
+    ("mountain_late", "'MIDDLE EAST'", "late", 14),
+)
+
+
+def classified_calendars(where: str = "") -> list[str]:
+    each = "\nUNION ALL\n".join(
+        f"SELECT *, '{name}' AS calendar, {period_case(rule, start)} AS period FROM daily "
+        f"JOIN stations USING (station) WHERE wide IN ({provinces})"
+        for name, provinces, rule, start in CALENDARS
+    )
+    return [weather(), calendar(), STATIONS,
+            f"classified AS (SELECT * FROM ({each}) WHERE period IS NOT NULL {where})"]
+
 
 def phenology() -> dict[str, str]:
     out = {}
@@ -495,6 +531,21 @@ def phenology() -> dict[str, str]:
             with_(*classified(rule, start), pivoted(FEATURES, REGION_YEAR))
             + f'SELECT wide, region, "year", {shown} FROM features'
         )
+    by_calendar = ("calendar", *REGION_YEAR)
+    out["classify_calendars"] = (
+        with_(*classified_calendars())
+        + """SELECT station, "date", wide, ("month" - 1) * 3 + ten_day AS tenday_no, calendar, period
+             FROM classified"""
+    )
+    each = [*classified_calendars('AND "year" >= 1996'), pivoted(FEATURES, by_calendar)]
+    out["feature_table_calendars"] = (
+        with_(*each) + f'SELECT calendar, wide, region, "year", {shown} FROM features'
+    )
+    out["feature_yield_calendars"] = (
+        with_(*each, YIELDS)
+        + f"""SELECT calendar, wide, region, "year", {rnd('prod_10a_kg')}, {shown}
+             FROM features LEFT JOIN yields USING (wide, region, "year") WHERE "year" <> 2001"""
+    )
     out["feature_yield"] = (
         with_(*classified(), pivoted(FEATURES, REGION_YEAR), YIELDS)
         + f"""SELECT wide, region, "year", {rnd('prod_10a_kg')}, {shown}
@@ -608,12 +659,12 @@ F_TAIL = """2 * exp(lgamma((df + 5) / 2.0) - lgamma(df / 2.0) - lgamma(2.5))
       * pow(sin(atan(sqrt(5 * f_value / df)) + (pi() / 2 - atan(sqrt(5 * f_value / df))) * i / 1000.0), 4) FOR i IN range(0, 1001)])"""
 
 
-def trend_fit() -> dict[str, str]:
+def trend_fit(source: Sequence[str] = (YIELDS,), table: str = "yields") -> dict[str, str]:
     """The one-variable regression of yield on year, from its sums of squares."""
-    fit = """fit AS (SELECT regr_slope(prod_10a_kg, "year") AS b, regr_intercept(prod_10a_kg, "year") AS a,
+    fit = f"""fit AS (SELECT regr_slope(prod_10a_kg, "year") AS b, regr_intercept(prod_10a_kg, "year") AS a,
            regr_sxx(prod_10a_kg, "year") AS sxx, regr_syy(prod_10a_kg, "year") AS syy,
-           avg("year") AS mx, count(*) AS n FROM yields)"""
-    rest = "residuals AS (SELECT prod_10a_kg - a - b * \"year\" AS e FROM yields, fit)"
+           avg("year") AS mx, count(*) AS n FROM {table})"""
+    rest = f"residuals AS (SELECT prod_10a_kg - a - b * \"year\" AS e FROM {table}, fit)"
     error = "errors AS (SELECT sum(e * e) AS rss FROM residuals)"
     terms = """terms AS (
   SELECT '(Intercept)' AS term, a AS estimate, n, sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS std_error
@@ -622,10 +673,10 @@ def trend_fit() -> dict[str, str]:
 tested AS (SELECT *, estimate / std_error AS t, CAST(n - 2 AS DOUBLE) AS df FROM terms)"""
     slope = "tested_slope AS (SELECT t, df FROM tested WHERE term = 'year')"
     return {
-        "yield_trend_ols": with_(YIELDS, fit, rest, error, terms)
+        "yield_trend_ols": with_(*source, fit, rest, error, terms)
         + f"""SELECT 'trend' AS model, term, {rnd('estimate', 'std_error')},
              round(t, 6) + 0.0 AS t_value, round({T_TAIL}, 6) + 0.0 AS p_value FROM tested""",
-        "yield_trend_summary": with_(YIELDS, fit, rest, error, terms, slope)
+        "yield_trend_summary": with_(*source, fit, rest, error, terms, slope)
         + f"""SELECT 'trend' AS model, n, n - 2 AS df, round(1 - rss / syy, 6) + 0.0 AS r2,
              round(1 - rss / syy * (n - 1) / (n - 2), 6) + 0.0 AS adj_r2,
              round(sqrt(rss / (n - 2)), 6) + 0.0 AS sigma, round(t * t, 6) + 0.0 AS f_value,
@@ -689,30 +740,32 @@ def ols(models: Sequence[tuple[str, bool]], group: str = "") -> str:
     )
 
 
-def vif(models: Sequence[tuple[str, bool]]) -> str:
+def vif(models: Sequence[tuple[str, bool]], group: str = "") -> str:
+    by, lead = (f"{group}, m", f"{group}, ") if group else ("m", "")
     total = "CASE j " + " ".join(f"WHEN {i} THEN v{i}" for i in range(1, 6)) + " END"
     return (
-        with_(*OBSERVATIONS, cases(models), *regression_parts("m"))
-        + f"""SELECT m AS model, {term_case(models)} AS term, round({total} / own, 6) + 0.0 AS vif
-             FROM slopes JOIN sizes USING (m)"""
+        with_(*OBSERVATIONS, cases(models, group), *regression_parts(by))
+        + f"""SELECT {lead}m AS model, {term_case(models)} AS term, round({total} / own, 6) + 0.0 AS vif
+             FROM slopes JOIN sizes USING ({by})"""
     )
 
 
-def summary(models: Sequence[tuple[str, bool]]) -> str:
+def summary(models: Sequence[tuple[str, bool]], group: str = "") -> str:
+    by, lead = (f"{group}, m", f"{group}, ") if group else ("m", "")
     parts = [
         *OBSERVATIONS,
-        cases(models),
-        *regression_parts("m"),
-        """spread AS (SELECT m, min(y) AS resid_min, quantile_cont(y, 0.25) AS resid_q1,
+        cases(models, group),
+        *regression_parts(by),
+        f"""spread AS (SELECT {by}, min(y) AS resid_min, quantile_cont(y, 0.25) AS resid_q1,
            quantile_cont(y, 0.5) AS resid_median, quantile_cont(y, 0.75) AS resid_q3,
-           max(y) AS resid_max FROM full4 GROUP BY m)""",
-        """fitted AS (SELECT *, (r2 / 5) / ((1 - r2) / df) AS f_value FROM (
-  SELECT *, 1 - rss / tss AS r2, n - 6 AS df FROM sizes JOIN errors USING (m) JOIN spread USING (m)))""",
+           max(y) AS resid_max FROM full4 GROUP BY {by})""",
+        f"""fitted AS (SELECT *, (r2 / 5) / ((1 - r2) / df) AS f_value FROM (
+  SELECT *, 1 - rss / tss AS r2, n - 6 AS df FROM sizes JOIN errors USING ({by}) JOIN spread USING ({by})))""",
     ]
     quantiles = rnd("resid_min", "resid_q1", "resid_median", "resid_q3", "resid_max")
     return (
         with_(*parts)
-        + f"""SELECT m AS model, n, CAST(df AS BIGINT) AS df, {rnd('r2')},
+        + f"""SELECT {lead}m AS model, n, CAST(df AS BIGINT) AS df, {rnd('r2')},
              round(1 - (1 - r2) * (n - 1) / df, 6) + 0.0 AS adj_r2,
              round(sqrt(rss / df), 6) + 0.0 AS sigma, {rnd('f_value')},
              CAST(5 AS BIGINT) AS f_df, round({F_TAIL}, 6) + 0.0 AS f_p_value, {quantiles}
@@ -726,6 +779,14 @@ def regression() -> dict[str, str]:
         "ols_all": ols(everything),
         "ols_summary": summary(everything),
         "ols_by_province": ols([("tm_avg", False)], "wide"),
+        "ols_summary_by_province": summary(everything, "wide"),
+        "vif_by_province": vif(everything, "wide"),
+        "ols_merged_states": ols(everything),
+        "ols_mixed_widths": "SELECT * FROM (" + ols([("tm_avg", False)]) + ")\nUNION ALL BY NAME\nSELECT * FROM ("
+        + trend_fit([*OBSERVATIONS, "paired AS (SELECT * FROM observed WHERE prod_10a_kg IS NOT NULL)"], "paired")[
+            "yield_trend_ols"
+        ]
+        + ")",
         "trend_points": with_(*OBSERVATIONS)
         + """SELECT region, "year", round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y,
              round(fitted, 6) + 0.0 AS fitted, round(y - fitted, 6) + 0.0 AS residual FROM (

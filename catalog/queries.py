@@ -7,21 +7,28 @@ different order compare equal.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agriclime.functions.calendar import calendar_parts, since_year, tenday_key
-from agriclime.operators import clean, coverage, edges, interpolate, phenology, regression
+from agriclime.operators import calendars, clean, coverage, edges, interpolate, phenology, regression
 from agriclime.operators import rollup as ru
 from agriclime.operators import spatial, yields as yl
 from agriclime.plans.features import (
+    calendar_features,
+    calendar_features_with_yield,
     period_features,
     period_features_with_yield,
     region_daily,
 )
-from agriclime.plans.interpolation import interpolate_region_climate, neighbour_table
+from agriclime.plans.interpolation import (
+    interpolate_region_climate,
+    interpolate_region_climate_grains,
+    neighbour_table,
+)
 from agriclime.plans.regression import ALL_MODELS, regression_tables
 from agriclime.sources import files, sample
 from agriclime.sources.tables import materialize, new_path
@@ -210,6 +217,16 @@ def _idw(grain, pairing="aligned"):
     return query
 
 
+def _rollup_all_grains(spark, d):
+    return ru.spread_part(ru.rollup_grains(ru.climate_states(_daily(spark, d))))
+
+
+def _idw_all_grains(spark, d):
+    return interpolate_region_climate_grains(
+        _daily(spark, d, sparse=True), sample.region_geo(spark, d), sample.stations(spark, d)
+    )
+
+
 def _idw_history(spark, d):
     return interpolate_region_climate(
         _daily(spark, d, sparse=True), sample.region_geo(spark, d),
@@ -395,6 +412,40 @@ def _classify_by_group(spark, d):
     )
 
 
+# The six data sets of the analysis with the sample's provinces: two transplant ten-days for
+# each of three groups, so that every row belongs to up to two calendars.
+SAMPLE_GROUPS = {
+    "south": ("AMERICA", "ASIA"),
+    "middle": ("EUROPE", "AFRICA"),
+    "mountain": ("MIDDLE EAST",),
+}
+
+
+def _sample_calendars():
+    return [
+        replace(c, provinces=SAMPLE_GROUPS[c.name.partition("_")[0]]) for c in calendars.RICE_CALENDARS
+    ]
+
+
+def _classify_calendars(spark, d):
+    rules = calendars.calendar_rules(spark, _sample_calendars())
+    return calendars.classify_calendars(_region_daily(spark, d), rules).select(
+        "station", "date", "wide", "tenday_no", "calendar", "period"
+    )
+
+
+def _feature_table_calendars(spark, d):
+    rules = calendars.calendar_rules(spark, _sample_calendars())
+    return calendar_features(_region_daily(spark, d), rules, FEATURE_YEAR)
+
+
+def _feature_yield_calendars(spark, d):
+    rules = calendars.calendar_rules(spark, _sample_calendars())
+    return calendar_features_with_yield(
+        _region_daily(spark, d), sample.yields(spark, d), rules, FEATURE_YEAR, exclude_year=2001
+    )
+
+
 def _classified(spark, d):
     recent = since_year(_region_daily(spark, d), FEATURE_YEAR)
     return phenology.classify_period(recent, TRANSPLANT_MONTH, TRANSPLANT_TENDAY)
@@ -470,6 +521,29 @@ def _ols_by_province(spark, d):
     return regression.ols(_observations(spark, d), [regression.LINEAR_MODELS[0]], ["wide"])
 
 
+def _ols_summary_by_province(spark, d):
+    return regression_tables(_observations(spark, d), groups=["wide"])["summary"]
+
+
+def _vif_by_province(spark, d):
+    return regression_tables(_observations(spark, d), groups=["wide"])["vif"]
+
+
+def _ols_merged_states(spark, d):
+    """All national fits from stored states per province: the early years' and the others'."""
+    seen = _stored_observations(spark, d)
+    early, late = (
+        regression.moment_states(seen.where(years), ALL_MODELS, ["wide"])
+        for years in (F.col("year") < 1999, F.col("year") >= 1999)
+    )
+    merged = regression.merge_states(early.unionByName(late))
+    return regression.coefficients(regression.fit_states(merged, ALL_MODELS))
+
+
+def _ols_mixed_widths(spark, d):
+    return regression.ols(_observations(spark, d), [TREND_MODEL, regression.LINEAR_MODELS[0]])
+
+
 def _trend_points(spark, d):
     return regression.trend_points(_stored_observations(spark, d), "tm_avg_P1")
 
@@ -549,6 +623,15 @@ def registered() -> dict[str, Query]:
         "ols_summary": _ols_summary,
         "ols_by_province": _ols_by_province,
         "trend_points": _trend_points,
+        "rollup_all_grains": _rollup_all_grains,
+        "idw_all_grains": _idw_all_grains,
+        "classify_calendars": _classify_calendars,
+        "feature_table_calendars": _feature_table_calendars,
+        "feature_yield_calendars": _feature_yield_calendars,
+        "ols_summary_by_province": _ols_summary_by_province,
+        "vif_by_province": _vif_by_province,
+        "ols_merged_states": _ols_merged_states,
+        "ols_mixed_widths": _ols_mixed_widths,
     }
     for grain in ru.GRAINS:
         out[f"rollup_{grain}"] = _rollup_query(grain)
