@@ -25,12 +25,7 @@ def test_normal_form():
 
 
 def least_distance(item, text):
-    row = [0] * (len(text) + 1)
-    for i, x in enumerate(item, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(text, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return min(row)
+    return distance(item, text, free=True)
 
 
 def corpus():
