@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import in_years
 from ..operators.clean import region_coordinates
+from ..operators.history import interpolate_as_of, moving_neighbours
 from ..operators.interpolate import interpolate, region_grid, region_grid_grains, weather_of_neighbours
 from ..operators.rollup import (
     GRAIN_TIME,
@@ -41,6 +42,7 @@ def interpolate_region_climate(
     pairing: str = "aligned",
     neighbours: DataFrame | None = None,
     geo: DataFrame | None = None,
+    moves: bool = False,
 ) -> DataFrame:
     """Region x period weather for the given years; ``daily`` carries calendar parts.
 
@@ -52,15 +54,19 @@ def interpolate_region_climate(
     stations is dropped before the rollup, whose shuffle then grows with the neighbours,
     not with all stations. Several grains can share one list by passing the
     ``neighbours`` stage table.
+
+    Of a station's history the latest entry counts for all years. With ``moves`` each period
+    takes the places that hold on its first day (``neighbours``, if given, then come from
+    ``history.moving_neighbours``).
     """
     if geo is not None:
         regions = materialize(region_coordinates(regions, geo), "regions")
     if neighbours is None:
-        neighbours = neighbour_table(regions, stations, k)
+        neighbours = (moving_neighbours if moves else neighbour_table)(regions, stations, k)
     wanted = weather_of_neighbours(in_years(daily, first_year, last_year), neighbours)
     rollup = complete_groups(rollup_climate(wanted, grain))
     grid = region_grid(regions, first_year, last_year, grain)
-    return interpolate(neighbours, rollup, grid, grain, pairing=pairing)
+    return (interpolate_as_of if moves else interpolate)(neighbours, rollup, grid, grain, pairing=pairing)
 
 
 def interpolate_region_climate_grains(

@@ -72,6 +72,20 @@ def station_history(spark: SparkSession, folder: str) -> DataFrame:
     return stations(spark, folder).withColumn("date_start", starts)
 
 
+def station_moves(spark: SparkSession, folder: str) -> DataFrame:
+    """Station history in which two stations of three have moved once during the weather's years."""
+    key, first = F.col("station"), stations(spark, folder)
+    later = first.where(key % 3 > 0).withColumns(
+        {
+            "latitude": F.lit(33) + ((key * 41 + 5) % 101) / F.lit(20.2),
+            "longitude": F.lit(126) + ((key * 59 + 13) % 103) / F.lit(25.7),
+            "station_name": F.concat("station_name", F.lit("_B")),
+            "date_start": F.concat(1992 + key % 6, F.lit("-0"), 1 + key % 9, F.lit("-1"), key % 10),
+        }
+    )
+    return first.withColumn("date_start", F.lit("1973-01-01")).unionByName(later)
+
+
 def region_geo(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("n_nationkey")
     return _places(spark, folder).select(

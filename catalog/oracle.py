@@ -70,6 +70,21 @@ HISTORY = (
   SELECT *, CAST(1980 + station % 20 AS VARCHAR) || '-05-01' AS date_start FROM stations)"""
 )
 
+MOVES = (
+    STATIONS
+    + """, moves AS (
+  SELECT *, '1973-01-01' AS valid_from,
+         CASE WHEN station % 3 > 0 THEN moved ELSE '9999' END AS valid_to
+  FROM (SELECT *, CAST(1992 + station % 6 AS VARCHAR) || '-0' || CAST(1 + station % 9 AS VARCHAR)
+                  || '-1' || CAST(station % 10 AS VARCHAR) AS moved FROM stations)
+  UNION ALL
+  SELECT station, 33 + ((station * 41 + 5) % 101) / CAST(20.2 AS DOUBLE),
+         126 + ((station * 59 + 13) % 103) / CAST(25.7 AS DOUBLE), wide, station_name || '_B', region,
+         NULL, CAST(1992 + station % 6 AS VARCHAR) || '-0' || CAST(1 + station % 9 AS VARCHAR)
+               || '-1' || CAST(station % 10 AS VARCHAR), '9999'
+  FROM stations WHERE station % 3 > 0)"""
+)
+
 GEO = """geo AS (
   SELECT r_name AS wide, n_name AS region,
          CAST(33.013 AS DOUBLE) + ((n_nationkey * 7 + 3) % 25) / CAST(5 AS DOUBLE) AS lat,
@@ -327,6 +342,35 @@ def spatial() -> dict[str, str]:
             f"SELECT {labelled(grain)}, * FROM ({idw(grain)})" for grain in GRAIN_PART
         ),
         "idw_unlocated_region": idw("month", regions="listed"),
+        "station_join_as_of": with_(weather(), MOVES)
+        + """SELECT w.station, w."date", round(w.tm_avg, 6) + 0.0 AS tm_avg, m.wide, m.station_name, m.region
+             FROM weather w LEFT JOIN moves m ON w.station = m.station
+             AND w."date" >= m.valid_from AND w."date" < m.valid_to""",
+        "idw_month_moved_station": with_(
+            weather(True), calendar(), YEARS, rollup("month", True), MOVES, GEO,
+            """grid AS (SELECT wide, region, lat, lng, CAST(y AS INTEGER) AS "year", CAST(m AS INTEGER) AS "month",
+           CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-01' AS start
+           FROM geo, years, range(1, 13) ms(m))""",
+            """neighbours AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY wide, region, start ORDER BY dist, station) AS rank FROM (
+    SELECT g.wide, g.region, g."year", g."month", g.start, s.station,
+           sqrt((s.latitude - g.lat) * (s.latitude - g.lat)
+                + (s.longitude - g.lng) * (s.longitude - g.lng)) AS dist
+    FROM grid g JOIN moves s ON s.valid_from <= g.start AND g.start < s.valid_to)) WHERE rank <= 10)""",
+            f"""chosen AS (SELECT * FROM (
+  SELECT n.wide, n.region, n."year", n."month", n.station, n.dist, {commas('r.' + m for m in IDW_MEASURES)},
+         row_number() OVER (PARTITION BY n.wide, n.region, n.start ORDER BY n.dist, n.station) AS place
+  FROM neighbours n JOIN rolled r ON n.station = r.station AND n."year" = r."year" AND n."month" = r."month")
+  WHERE place <= 3)""",
+            'filled AS (SELECT wide, region, "year", "month", '
+            + commas(
+                f"CASE WHEN count({m}) = count(*) THEN sum({m} / dist) / sum(1 / dist) END AS {m}"
+                for m in IDW_MEASURES
+            )
+            + ' FROM chosen GROUP BY wide, region, "year", "month")',
+        )
+        + f"""SELECT wide, region, "year", "month", {rnd(*IDW_MEASURES)}
+             FROM grid LEFT JOIN filled USING (wide, region, "year", "month")""",
     }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agriclime.functions.calendar import calendar_parts, since_year, tenday_key
-from agriclime.operators import calendars, clean, coverage, edges, interpolate, phenology, regression
+from agriclime.operators import calendars, clean, coverage, edges, history, interpolate, phenology, regression
 from agriclime.operators import rollup as ru
 from agriclime.operators import spatial, yields as yl
 from agriclime.plans.features import (
@@ -234,6 +234,22 @@ def _idw_history(spark, d):
     )
 
 
+def _idw_moved(spark, d):
+    return interpolate_region_climate(
+        _daily(spark, d, sparse=True), sample.region_geo(spark, d), sample.station_moves(spark, d),
+        *_years(spark, d), moves=True,
+    )
+
+
+def _moving_neighbours(spark, d):
+    return history.moving_neighbours(sample.region_geo(spark, d), sample.station_moves(spark, d))
+
+
+def _station_as_of(spark, d):
+    joined = history.station_join_as_of(sample.weather(spark, d), sample.station_moves(spark, d))
+    return joined.select("station", "date", "tm_avg", "wide", "station_name", "region")
+
+
 def _idw_unlocated(spark, d):
     return interpolate_region_climate(
         _daily(spark, d, sparse=True), _all_regions(spark, d), sample.stations(spark, d),
@@ -577,6 +593,8 @@ def registered() -> dict[str, Query]:
         "nearest_reporting": _nearest_reporting,
         "idw_month": _idw("month"),
         "idw_month_history": _idw_history,
+        "idw_month_moved_station": _idw_moved,
+        "station_join_as_of": _station_as_of,
         "idw_unlocated_region": _idw_unlocated,
         "since_year_damaged": _since_year_damaged,
         "feature_table_history": _feature_table_history,
