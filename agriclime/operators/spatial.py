@@ -1,8 +1,8 @@
 """Nearest stations of every region, without comparing all pairs.
 
 Stations are first reduced to distinct places (keeping the ``k`` lowest station
-numbers of each, more can never be needed), and the places are put on a grid that
-is refined eightfold per axis and level, until no cell holds many places. All
+numbers of each, more can never be needed), and the places are put on a grid, cut where the
+places are, that is refined eightfold per axis and level, until no cell holds many. All
 regions walk down the levels together. At each level a region knows, for its
 candidate cells, how many places they hold and the least and greatest possible
 distance. The cells of smallest greatest-distance that together hold ``k`` places
@@ -23,6 +23,9 @@ from ..sources.tables import materialize
 
 NEIGHBOURS = 10
 BITS_PER_LEVEL = 3
+# Quantiles at which each axis is cut, and the accuracy of their ranks (1 / n).
+CUTS = 64
+CUT_ACCURACY = 10_000
 MAX_LEVELS = 7
 # The grid is refined until its fullest cell holds at most this many places.
 CELL_CAPACITY = 32
@@ -74,41 +77,70 @@ def station_places(stations: DataFrame, k: int) -> DataFrame:
 
 
 class _Grid:
-    """Cell numbers of a fixed bounding box at every level."""
+    """Cell numbers at every level, by cuts that follow the data.
+
+    Each axis is cut at the quantiles of the places, evenly between two cuts. So a cell
+    holds a share of the places whatever the distances: one far place costs no level, and
+    a dense spot is cut as finely as its share asks for. Cells need no exactness: what is
+    compared is the extent of the places in them.
+    """
 
     bits = BITS_PER_LEVEL * MAX_LEVELS
 
-    def __init__(self, box):
-        self.lat0, self.lat_span = box["lat0"], box["lat1"] - box["lat0"]
-        self.lng0, self.lng_span = box["lng0"], box["lng1"] - box["lng0"]
-
-    def _axis(self, c: str, start: float, span: float, level: int) -> Column:
-        if not span > 0:
-            return F.col(c).cast("int") * 0
-        last = (1 << self.bits) - 1
-        fine = F.floor((F.col(c) - F.lit(start)) / F.lit(span) * F.lit(float(last + 1)))
-        return F.shiftright(
-            F.least(fine, F.lit(last)).cast("int"), self.bits - BITS_PER_LEVEL * level
-        )
+    def __init__(self, places: int, lat: list[float], lng: list[float]):
+        self.places = places
+        self.axes = {"cell_y": ("latitude", sorted(set(lat))), "cell_x": ("longitude", sorted(set(lng)))}
+
+    @staticmethod
+    def of(places: DataFrame) -> _Grid | None:
+        """The grid of these places, from one aggregation of bounded size; None without places."""
+        shares = [i / CUTS for i in range(CUTS + 1)]
+        found = places.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("latitude", shares, CUT_ACCURACY).alias("lat"),
+            F.percentile_approx("longitude", shares, CUT_ACCURACY).alias("lng"),
+        ).first()
+        return _Grid(found["n"], found["lat"], found["lng"]) if found["n"] else None
+
+    def _fine(self, name: str) -> Column:
+        """The finest cell number of an axis."""
+        column, cuts = self.axes[name]
+        c, last = F.col(column), (1 << self.bits) - 1
+        if len(cuts) < 2:
+            return c.cast("int") * 0
+        listed = F.array(*[F.lit(x) for x in cuts])
+        at = F.least(F.size(F.filter(listed, lambda x: x <= c)), F.lit(len(cuts) - 1))
+        low, high = F.get(listed, at - 1), F.get(listed, at)
+        inside = (at - 1 + (c - low) / (high - low)) / F.lit(float(len(cuts) - 1))
+        return F.least(F.floor(inside * F.lit(float(last + 1))), F.lit(last)).cast("int")
+
+    def located(self, places: DataFrame) -> DataFrame:
+        """The places with their finest cells."""
+        return places.withColumns({f"fine_{name}": self._fine(name) for name in self.axes})
 
     def place_cell(self, level: int) -> dict[str, Column]:
         return {
-            "cell_y": self._axis("latitude", self.lat0, self.lat_span, level),
-            "cell_x": self._axis("longitude", self.lng0, self.lng_span, level),
+            name: F.shiftright(F.col(f"fine_{name}"), self.bits - BITS_PER_LEVEL * level) for name in self.axes
         }
 
     def levels_needed(self, places: DataFrame) -> int:
-        """The first level whose fullest cell is small enough (one row per level is read)."""
+        """The first level whose fullest cell is small enough.
+
+        A strip of level n holds about an eighth to the n-th of the places, so of a few
+        places nothing is counted.
+        """
+        few = next((n for n in (1, 2) if self.places <= CELL_CAPACITY << (BITS_PER_LEVEL * n)), None)
+        if few:
+            return few
         finest = places.select(
-            *[c.alias(name) for name, c in self.place_cell(MAX_LEVELS).items()],
+            *[F.col(f"fine_{name}") for name in self.axes],
             F.explode(F.sequence(F.lit(1), F.lit(MAX_LEVELS))).alias("level"),
         )
         coarser = F.lit(self.bits) - F.lit(BITS_PER_LEVEL) * F.col("level")
         fullest = (
             finest.groupBy(
                 "level",
-                F.call_function("shiftright", F.col("cell_y"), coarser).alias("cell_y"),
-                F.call_function("shiftright", F.col("cell_x"), coarser).alias("cell_x"),
+                *[F.call_function("shiftright", F.col(f"fine_{name}"), coarser).alias(name) for name in self.axes],
             )
             .agg(F.count(F.lit(1)).alias("places"))
             .groupBy("level")
@@ -122,8 +154,7 @@ class _Grid:
     def cells(self, places: DataFrame, level: int) -> DataFrame:
         """Occupied cells: their places and the extent of those places."""
         return (
-            places.select("latitude", "longitude")
-            .withColumns(self.place_cell(level))
+            places.select("latitude", "longitude", *[c.alias(name) for name, c in self.place_cell(level).items()])
             .groupBy("cell_y", "cell_x")
             .agg(
                 F.count(F.lit(1)).alias("places"),
@@ -171,24 +202,19 @@ def nearest_stations(
     Regions or stations without coordinates take no part; coordinates beyond 90 and 180
     degrees count as missing. Of a station's history the latest entry counts; a region
     with two rows, or a station with two and no ``date_start``, is an error. Runs small jobs:
-    the distinct places become a stage table, whose bounding box and fullest cells
-    decide the depth of the grid.
+    the distinct places become a stage table, whose quantiles and fullest cells decide
+    the cuts and the depth of the grid.
     """
-    places = materialize(station_places(stations, k), "places")
-    box = places.agg(
-        F.min("latitude").alias("lat0"),
-        F.max("latitude").alias("lat1"),
-        F.min("longitude").alias("lng0"),
-        F.max("longitude").alias("lng1"),
-    ).first()
-    located = materialize(located_regions(regions), "regions")
-    if box["lat0"] is None:
+    stored = materialize(station_places(stations, k), "places")
+    located = located_regions(regions)
+    grid = _Grid.of(stored)
+    if grid is None:
         return located.select(
             "wide", "region", F.lit(0).alias("rank"), F.lit(0).alias("station"),
             F.lit(0.0).alias("dist"),
         ).limit(0)
 
-    grid = _Grid(box)
+    places = grid.located(stored)
     levels = grid.levels_needed(places)
     points = located.select(*POINT).distinct()
 

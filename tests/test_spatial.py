@@ -76,6 +76,29 @@ def test_deep_grid_is_exact(spark, monkeypatch):
     assert run(spark, regions, stations, 3) == brute_force(regions, stations, 3)
 
 
+def depth(spark, places):
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in places], "latitude double, longitude double")
+    grid = spatial._Grid.of(df)
+    return grid.levels_needed(grid.located(df))
+
+
+def test_one_far_place_costs_no_level(spark):
+    """Cuts follow the places: neither an outlier nor a dense spot makes the grid deeper."""
+    rnd = random.Random(6)
+    near = [(35 + rnd.random() * 4, 126 + rnd.random() * 4) for _ in range(4000)]
+    dense = [(35 + rnd.random() * 5e-5, 126 + rnd.random() * 5e-5) for _ in range(4000)]
+    assert depth(spark, near) == depth(spark, [*near, (-60.0, -170.0)]) == 2
+    assert depth(spark, dense) == depth(spark, [*dense, (80.0, 170.0)]) == 2
+    assert spatial._Grid.of(spark.createDataFrame([], "latitude double, longitude double")) is None
+
+
+def test_dense_places_are_exact(spark):
+    rnd = random.Random(7)
+    stations = [(i, 35 + rnd.random() * 5e-5, 126 + rnd.random() * 5e-5) for i in range(3000)] + [(9999, -60.0, -170.0)]
+    regions = [("w", f"r{i}", 35 + rnd.random() * 5e-5, 126 + rnd.random() * 5e-5) for i in range(20)] + [("w", "far", -59.0, 100.0)]
+    assert run(spark, regions, stations, 5) == brute_force(regions, stations, 5)
+
+
 def test_plan_has_no_all_pairs_join(spark):
     stations = spark.createDataFrame([(i, 33.0 + i % 89, 120.0 + i % 97) for i in range(3000)], STATION)
     regions = spark.createDataFrame([("w", "r", 40.0, 130.0)], REGION)
