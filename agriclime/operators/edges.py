@@ -6,7 +6,7 @@ The keys are read on their own to find a position and stored once; pass a stage
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,3 +108,58 @@ def row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 def drop_row_at(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Drop the ``n``-th row in key order; nothing happens when there is no such row."""
     return without_keys(df, F.broadcast(row_at(df, keys, n)), keys)
+
+
+def _spans(positions: Iterable[int], total: int) -> list[tuple[int, int]]:
+    """Ascending spans (first, last) of the positions from 1; negative ones count from the end."""
+    out: list[tuple[int, int]] = []
+    for n in sorted({p if p > 0 else total + 1 + p for p in positions if p}):
+        if not 1 <= n <= total:
+            continue
+        if out and n == out[-1][1] + 1:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
+
+
+def rows_at(df: DataFrame, keys: Sequence[str], positions: Iterable[int]) -> DataFrame:
+    """``keys`` and ``ordinal`` of the rows at these positions in key order, missing keys last.
+
+    Positions count from 1, negative ones from the end (-1 is the last row); those that do
+    not exist, and 0, have no row. ``keys`` must identify a row. One range shuffle of the
+    keys serves all positions: only the slices that hold one are numbered, each in a task of
+    its own.
+    """
+    stored, counts = _sliced(df.select(*keys), keys)
+    # One row per range partition, as small as the partitions are few.
+    slices = sorted((r["slice"], r["rows"]) for r in counts.collect())
+    total = sum(n for _, n in slices)
+    spans, wanted, before = _spans(positions, total), [], 0
+    for number, n in slices:
+        while spans and spans[0][0] <= before + n:
+            first, last = spans[0]
+            wanted.append((number, before, first, min(last, before + n)))
+            if last > before + n:
+                spans[0] = (before + n + 1, last)
+                break
+            spans.pop(0)
+        before += n
+    spark = df.sparkSession
+    asked = spark.createDataFrame(wanted, "slice int, before long, first long, last long")
+    held = spark.createDataFrame(sorted({w[:2] for w in wanted}), "slice int, before long")
+    within = Window.partitionBy("slice").orderBy(*_ascending(keys))
+    ranked = stored.join(F.broadcast(held), "slice").withColumn(
+        "ordinal", F.col("before") + F.row_number().over(within)
+    )
+    met = ranked.join(
+        asked.select(F.col("slice").alias("at"), "first", "last"),
+        (F.col("slice") == F.col("at")) & F.col("ordinal").between(F.col("first"), F.col("last")),
+        "left_semi",
+    )
+    return met.select(*keys, "ordinal")
+
+
+def drop_rows_at(df: DataFrame, keys: Sequence[str], positions: Iterable[int]) -> DataFrame:
+    """Drop the rows at several positions at once (see :func:`rows_at`), both edges included."""
+    return without_keys(df, materialize(rows_at(df, keys, positions), "rows-at").select(*keys), keys)

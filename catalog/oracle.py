@@ -228,6 +228,12 @@ def stage_a() -> dict[str, str]:
     out["rollup_all_grains"] = "\nUNION ALL BY NAME\n".join(
         f"SELECT {labelled(grain)}, * FROM ({out[f'rollup_{grain}']})" for grain in GRAIN_PART
     )
+    k = commas(keys("tenday"))
+    out["drop_rows_at"] = (
+        with_(w, calendar(), rollup("tenday"))
+        + f"""SELECT {k}, {rnd(*ROLLUP_MEASURES)} FROM (SELECT *, row_number() OVER (ORDER BY {k}) AS i,
+             count(*) OVER () AS total FROM rolled) WHERE i > 5 AND i < total AND i <> 12345"""
+    )
     out["valid_keys"] = (
         with_(w, DAMAGED, calendar("damaged"), rollup("tenday", True))
         + f"""SELECT {commas(keys('tenday'))}, {rnd(*ROLLUP_MEASURES)} FROM rolled

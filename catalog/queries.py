@@ -140,6 +140,15 @@ def _drop_row(grain, n):
     )
 
 
+# The rows that the analysis drops by hand, both edges and one in the middle, at once.
+DROPPED_ROWS = (1, 2, 3, 4, 5, FAR_ROW, -1)
+
+
+def _drop_rows(spark, d):
+    rolled = materialize(_rollup(spark, d, "tenday"), "rollup")
+    return edges.drop_rows_at(rolled, ru.group_keys("tenday"), DROPPED_ROWS)
+
+
 def _station_tally(spark, d):
     return ru.station_tally(sample.weather(spark, d))
 
@@ -656,6 +665,7 @@ def registered() -> dict[str, Query]:
         suffix = "" if grain == "month" else f"_{grain}"
         out[f"complete_groups{suffix}"] = _complete_query(grain)
         out[f"trim_edge_groups{suffix}"] = _trim(grain)
+    out["drop_rows_at"] = _drop_rows
     out["drop_row_at"] = _drop_row("month", NEAR_ROW)
     out["drop_row_at_far"] = _drop_row("tenday", FAR_ROW)
     for name in regression.MODEL_VARIABLES:

@@ -70,3 +70,30 @@ def test_wind_counts(spark):
     df = spark.createDataFrame([(10.0,), (9.0,), (None,), (float("nan"),)], "ws_avg double")
     row = coverage.wind_profile(df).first()
     assert (row.ws_avg_mean, row.ws_avg_max, row.n_gt, row.n_gt_or_null) == (9.5, 10.0, 1, 3)
+
+
+@pytest.mark.parametrize("positions", [[1, 2, 3, 4, 5, 150, -1], [], [0, 301, -301, 10**9], range(1, 301), [-300, -2, 7, 7]])
+def test_several_positions_at_once(spark, positions):
+    """Also across slices, from the end, missing, repeated, and all of them; null keys last."""
+    rows = [(i % 7 if i % 11 else None, i, i * 1.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, v double").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    gone = {p if p > 0 else 301 + p for p in positions if p}
+    kept = edges.drop_rows_at(df, ["a", "b"], positions)
+    assert {tuple(r) for r in kept.collect()} == {r for i, r in enumerate(order, 1) if i not in gone}
+    found = {(r["a"], r["b"]): r["ordinal"] for r in edges.rows_at(df, ["a", "b"], positions).collect()}
+    assert found == {order[i - 1][:2]: i for i in gone if 1 <= i <= 300}
+
+
+def test_positions_share_one_range_shuffle(spark, monkeypatch):
+    made, real = [], edges.materialize
+
+    def seen(df, label):
+        made.append(df._jdf.queryExecution().executedPlan().toString().count("rangepartitioning"))
+        return real(df, label)
+
+    monkeypatch.setattr(edges, "materialize", seen)
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    assert edges.drop_rows_at(df, ["k"], [1, 2, 500, -1]).count() == 996
+    assert sum(made) == 1
+    assert edges.drop_rows_at(df.limit(0), ["k"], [1, -1]).count() == 0
