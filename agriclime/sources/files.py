@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import null_out_nan
-from .tables import partitioned_writer
+from .tables import materialize, partitioned_writer
 
 # Column names and types of the input files.
 WEATHER_TYPES = {
@@ -40,6 +41,9 @@ YIELD_COLUMNS = ("wide", "region", "year", "area_ha", "prod_10a_kg", "prod_ton")
 YIELD_TYPES = ("string", "string", "int", "double", "double", "double")
 
 
+DAMAGED, FILE = "_damaged", "_file"
+
+
 def _schema(names: Sequence[str], types: Mapping[str, str]) -> T.StructType:
     ddl = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
     return T.StructType([T.StructField(n, ddl[types.get(n, "string")], True) for n in names])
@@ -81,6 +85,66 @@ def read_typed_csv(
     return null_out_nan(df)
 
 
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, folder or glob names, without hidden ones, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for found in files.globStatus(hadoop) or []:
+        listed = files.listStatus(found.getPath()) if found.isDirectory() else [found]
+        out += [f.getPath().toString() for f in listed if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return sorted(out)
+
+
+def header_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """The first line of a file, without reading on."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hadoop)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def read_csv_files(
+    spark: SparkSession, path: str, types: Mapping[str, str], encoding: str = "UTF-8"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, damaged) of all files of a folder, whatever the order of their columns.
+
+    Files are grouped by their header, each group is read with its own schema, and the groups
+    are united by name; a known column that a file lacks is null there, unknown ones stay
+    text. ``damaged`` has ``file`` and ``line`` of every row that does not parse: a text
+    where a number belongs, or too few or too many fields. Such rows are not among ``rows``,
+    so every row of every file is in exactly one of both. The parsed rows are stored once.
+
+    The driver reads one line of each file. Quoted texts hold no line breaks.
+    """
+    by_header: dict[str, list[str]] = {}
+    for file in data_files(spark, path):
+        by_header.setdefault(header_line(spark, file, encoding).lstrip("\ufeff"), []).append(file)
+    parsed = None
+    for header, files in by_header.items():
+        names = next(csv.reader([header]), [])
+        if len(set(names)) < len(names) or not names:
+            raise ValueError(f"{files[0]} has a header with missing or double names: {header!r}")
+        schema = _schema(names, types).add(DAMAGED, T.StringType())
+        reader = _csv_options(spark, encoding).options(mode="PERMISSIVE", columnNameOfCorruptRecord=DAMAGED)
+        part = null_out_nan(reader.schema(schema).csv(files)).select(
+            *names, F.col(DAMAGED), F.col("_metadata.file_path").alias(FILE)
+        )
+        parsed = part if parsed is None else parsed.unionByName(part, allowMissingColumns=True)
+    if parsed is None:
+        parsed = spark.createDataFrame([], _schema(list(types), types).add(DAMAGED, "string").add(FILE, "string"))
+    absent = {c: F.lit(None).cast(t) for c, t in types.items() if c not in parsed.columns}
+    # Stored: else a query of the damaged rows alone would parse no other column.
+    stored = materialize(parsed.withColumns(absent), "csv-rows")
+    rows = stored.where(F.col(DAMAGED).isNull()).drop(DAMAGED, FILE)
+    damaged = stored.where(F.col(DAMAGED).isNotNull()).select(F.col(FILE).alias("file"), F.col(DAMAGED).alias("line"))
+    return rows.select(*types, *[c for c in rows.columns if c not in types]), damaged
+
+
 def read_weather(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     names = set(header_names(spark, path, encoding))
     wanted = {c: t for c, t in WEATHER_TYPES.items() if c != "ws_max" or c in names}

@@ -178,6 +178,14 @@ def stage_a() -> dict[str, str]:
         "projection_at": with_(w, calendar())
         + f"""SELECT station, "date", "year", "month", "day", half, ten_day,
              {rnd(*WEATHER_MEASURES)} FROM daily""",
+        "csv_mixed_headers": with_(STATIONS)
+        + """SELECT station, round(round(latitude, 4), 6) + 0.0 AS latitude, wide, station_name, region
+             FROM stations WHERE station % 7 <> 3""",
+        "csv_damaged_rows": with_(STATIONS)
+        + """SELECT station, CAST(5 AS INTEGER) AS fields, CASE WHEN station % 2 = 0
+             THEN CAST(station AS VARCHAR) || ',unknown,' || wide || ',' || station_name || ',' || region
+             ELSE region || ',' || station_name || ',' || wide || ',unknown,' || CAST(station AS VARCHAR)
+             END AS line FROM stations WHERE station % 7 = 3""",
         "drop_column": with_(HISTORY)
         + f"""SELECT station, {rnd('latitude', 'longitude')}, wide, region, date_start
              FROM history""",

@@ -274,6 +274,29 @@ def _csv_roundtrip(spark, d):
     return files.read_typed_csv(spark, path, types)
 
 
+def _mixed_files(spark, d):
+    """Station files of two header orders in one folder, some with damaged rows, read back."""
+    path = new_path(spark, "station-files")
+    columns = ["station", "latitude", "wide", "station_name", "region"]
+    stations = sample.stations(spark, d).select(*columns)
+    damaged = F.when(F.col("station") % 7 == 3, F.lit("unknown")).otherwise(F.format_number("latitude", 4))
+    stations = materialize(stations.withColumn("latitude", damaged), "stations")
+    for half, order in ((0, columns), (1, columns[::-1])):
+        part = stations.where(F.col("station") % 2 == half).select(*order)
+        part.write.options(header=True, **files.QUOTING).mode("append").csv(path)
+    return files.read_csv_files(spark, path, {c: files.STATION_TYPES[c] for c in columns})
+
+
+def _csv_mixed_headers(spark, d):
+    return _mixed_files(spark, d)[0]
+
+
+def _csv_damaged_rows(spark, d):
+    fields = F.split("line", ",")
+    number = F.coalesce(fields[0].try_cast("int"), fields[4].try_cast("int"))
+    return _mixed_files(spark, d)[1].select(number.alias("station"), F.size(fields).alias("fields"), "line")
+
+
 def _parquet_stage(spark, d):
     joined = clean.station_join(
         clean.date_complete(clean.safe_station(clean.fill_precip(_daily(spark, d)))),
@@ -611,6 +634,8 @@ def registered() -> dict[str, Query]:
         "idw_half": _idw("half"),
         "idw_station_order": _idw("month", "station_order"),
         "csv_roundtrip": _csv_roundtrip,
+        "csv_mixed_headers": _csv_mixed_headers,
+        "csv_damaged_rows": _csv_damaged_rows,
         "parquet_stage": _parquet_stage,
         "fill_precip": _fill_precip,
         "safe_station": _safe_station,

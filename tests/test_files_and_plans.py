@@ -157,3 +157,32 @@ def test_csv_encoding(spark, tmp_path):
     path.write_bytes("wide,region\nÎle,Évry\n".encode("latin-1"))
     row = files.read_regions(spark, str(path), encoding="ISO-8859-1").first()
     assert tuple(row) == ("Évry", "Île")
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    """Two orders, a missing and an unknown column, quotes, NA; every row is accounted for."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('station,latitude,name\n1,1.5,"x, ""y"""\n2,NA,b\nthree,2.0,c\n4,2.5\n')
+    (folder / "b.csv").write_text("name,latitude,station\nd,3.5,5\ne,bad,6\nf,1.0,7,too,many\n,NaN,8\n")
+    (folder / "c.csv").write_text("latitude,station,more\n9.5,9,kept\n")
+    (folder / "_hidden.csv").write_text("nothing\n1\n")
+    (folder / "d.csv").write_text("station,latitude,name\n")
+    types = {"station": "int", "latitude": "double", "name": "string"}
+    rows, damaged = files.read_csv_files(spark, str(folder), types)
+    assert rows.columns == ["station", "latitude", "name", "more"]
+    assert sorted(tuple(r) for r in rows.collect()) == [
+        (1, 1.5, 'x, "y"', None), (2, None, "b", None), (5, 3.5, "d", None), (8, None, None, None), (9, 9.5, None, "kept"),
+    ]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["line"]) for r in damaged.collect()) == [
+        ("a.csv", "4,2.5"), ("a.csv", "three,2.0,c"), ("b.csv", "e,bad,6"), ("b.csv", "f,1.0,7,too,many"),
+    ]
+    assert damaged.count() + rows.count() == 9
+
+
+def test_folders_without_files_and_bad_headers(spark, tmp_path):
+    rows, damaged = files.read_csv_files(spark, str(tmp_path), {"station": "int"})
+    assert rows.collect() == [] and damaged.collect() == [] and rows.dtypes == [("station", "int")]
+    (tmp_path / "x.csv").write_text("station,station\n1,2\n")
+    with pytest.raises(ValueError, match="double names"):
+        files.read_csv_files(spark, str(tmp_path), {"station": "int"})
