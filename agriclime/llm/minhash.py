@@ -98,8 +98,8 @@ def _sketched(batches):
                 pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel())
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(starts)), pa.array(sequence.view(np.int64)), lists],
-                ["doc_id", "n_shingles", "node", "bands"],
+                [part.column("doc_id"), part.column("hash"), pa.array(np.diff(starts)), pa.array(sequence.view(np.int64)), lists],
+                ["doc_id", "hash", "n_shingles", "node", "bands"],
             )
 
 
@@ -142,18 +142,19 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     do (their ``component_id`` is null and they are kept). Repeated rows share a component.
     Other columns are not read.
     """
-    documents = df.select(F.col("doc_id").cast("long"), "text")
-    rows = documents.mapInArrow(_sketched, "doc_id long, n_shingles long, node long, bands array<long>")
+    # An id may be repeated with another text: a node's text is told by both.
+    documents = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    rows = documents.mapInArrow(_sketched, "doc_id long, hash long, n_shingles long, node long, bands array<long>")
     rows = materialize(rows, "sketches")
     texts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node")
-    texts = texts.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    texts = materialize(texts, "texts")
-    one = rows.join(texts, ["doc_id", "node"]).dropDuplicates(["node"])
+    texts = texts.agg(F.min(F.struct("doc_id", "hash")).alias("of"), F.first("n_shingles").alias("n"))
+    texts = materialize(texts.select("node", "of.doc_id", "of.hash", "n"), "texts")
+    one = rows.join(texts.drop("n"), ["doc_id", "hash", "node"]).dropDuplicates(["node"])
     members = one.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("info"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(texts.join(nodes, "node").select("node", "doc_id"), "wanted")
-        found = documents.join(small(wanted), "doc_id").where("text is not null")
+        wanted = materialize(texts.join(nodes, "node").select("node", "doc_id", "hash"), "wanted")
+        found = documents.join(small(wanted), ["doc_id", "hash"]).where("text is not null")
         return materialize(found.select("node", "text").dropDuplicates(["node"]), "wanted-texts")
 
     def prefixes(nodes: DataFrame) -> DataFrame:

@@ -159,3 +159,15 @@ def test_shingle_sets_equal_definition():
         words = tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
         same.setdefault(int(s), set()).add(words)
     assert all(len(x) == 1 for x in same.values())
+
+
+@pytest.mark.parametrize("swapped", [False, True])
+def test_texts_of_a_repeated_id_are_all_compared(documents, swapped):
+    """Two texts under one id: both keep their links, whichever comes first."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")]
+    if swapped:
+        rows[:2] = rows[1::-1]
+    for parts in (1, 3):
+        found = minhash.near_duplicates(documents(rows).repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (1, 1), (2, 1), (3, 1)]
