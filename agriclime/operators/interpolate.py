@@ -31,13 +31,18 @@ def region_grid_grains(
     regions: DataFrame, first_year: int, last_year: int, grains: Sequence[str] = tuple(GRAINS)
 ) -> DataFrame:
     """The grids of several grains on top of each other, keyed by region and ``GRAIN_TIME``."""
+    return month_parts(region_grid(regions, first_year, last_year), grains)
+
+
+def month_parts(months: DataFrame, grains: Sequence[str] = tuple(GRAINS)) -> DataFrame:
+    """The periods of several grains of each row of (wide, region, year, month)."""
     parts = [
         (grain, part)
         for grain in grains
         for part in (range(1, PARTS_PER_MONTH[GRAINS[grain][0]] + 1) if GRAINS[grain] else [0])
     ]
     at = F.array(*[F.struct(F.lit(g).alias("grain"), F.lit(p).alias("part")) for g, p in parts])
-    grid = region_grid(regions, first_year, last_year).withColumn("at", F.explode(at))
+    grid = months.withColumn("at", F.explode(at))
     return grid.select(*REGION, F.col("at.grain").alias("grain"), "year", "month", F.col("at.part").alias("part"))
 
 

@@ -55,7 +55,7 @@ PERIOD_RULES = {
         PeriodRule("P4", 8, 10),
     ),
 }
-# The month-5 rule as literally written: P3 never ends, so P4 and P5 stay empty.
+# The month-5 rule as literally written; P3 never ends, so P4 and P5 stay empty.
 MONTH5_LITERAL = (
     PeriodRule("P1", 0, 0),
     PeriodRule("P2", 1, 5),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.missing import mean_present, sum_or_zero
-from ..functions.states import final, make_states
+from ..functions.states import final, make_states, merge_states
 
 # Extra time key of each grain below year and month.
 GRAINS = {"month": (), "tenday": ("ten_day",), "half": ("half",)}
@@ -60,6 +60,11 @@ def climate_states(daily: DataFrame) -> DataFrame:
     return daily.groupBy(*STATE_KEYS).agg(*make_states((v, s) for _, v, s in ROLLUP_STATISTICS))
 
 
+def merge_climate_states(states: DataFrame) -> DataFrame:
+    """One state per station and common grain from the states of several deliveries."""
+    return states.groupBy(*STATE_KEYS).agg(*merge_states((v, s) for _, v, s in ROLLUP_STATISTICS))
+
+
 def grain_parts(grains: Sequence[str]) -> Column:
     """The (grain, part) pairs that a row with ``half`` and ``ten_day`` belongs to."""
     part = {"month": F.lit(0), "tenday": F.col("ten_day"), "half": F.col("half")}

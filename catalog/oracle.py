@@ -322,6 +322,12 @@ paired AS (SELECT {commas('v.' + c for c in ['wide', 'region', *time])}, d.dist,
     return with_(*parts) + f"SELECT {by}, {rnd(*IDW_MEASURES)} FROM grid LEFT JOIN filled USING ({by})"
 
 
+def idw_all_grains() -> str:
+    return "\nUNION ALL BY NAME\n".join(
+        f"SELECT {labelled(grain)}, * FROM ({idw(grain)})" for grain in GRAIN_PART
+    )
+
+
 def spatial() -> dict[str, str]:
     base = with_(STATIONS, GEO, NEIGHBOURS)
     wide = commas(
@@ -352,9 +358,8 @@ def spatial() -> dict[str, str]:
         "idw_station_order": idw("month", station_order=True),
         "csv_roundtrip": idw("month"),
         "idw_month_history": idw("month"),
-        "idw_all_grains": "\nUNION ALL BY NAME\n".join(
-            f"SELECT {labelled(grain)}, * FROM ({idw(grain)})" for grain in GRAIN_PART
-        ),
+        "idw_all_grains": idw_all_grains(),
+        "idw_late_reports": idw_all_grains(),
         "idw_unlocated_region": idw("month", regions="listed"),
         "station_join_as_of": with_(weather(), MOVES)
         + """SELECT w.station, w."date", round(w.tm_avg, 6) + 0.0 AS tm_avg, m.wide, m.station_name, m.region
@@ -471,6 +476,7 @@ def yield_tables() -> dict[str, str]:
     }
 
 
+# Period offsets per transplant month.
 RULES = {
     "m5": (("P1", 0, 0), ("P2", 1, 5), ("P3", 6, 6), ("P4", 7, 8), ("P5", 9, 10)),
     "m5_literal": (("P1", 0, 0), ("P2", 1, 5), ("P3", 6, 99)),
@@ -487,6 +493,7 @@ def period_case(rule: str, start: int) -> str:
     return f"CASE {whens} END"
 
 
+# Variable and statistic of each feature.
 FEATURES = (
     ("tm_avg", "avg(tm_avg)"),
     ("tm_min", "avg(tm_min)"),
@@ -619,6 +626,7 @@ def phenology() -> dict[str, str]:
 
 # ------------------------------------------------------------------ stage C
 
+# Predictor variable and squared periods of each model.
 MODELS = {
     "tm_avg": ("tm_avg", ("P4",)),
     "tm_min": ("tm_min", ("P3",)),

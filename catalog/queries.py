@@ -24,6 +24,7 @@ from agriclime.plans.features import (
     period_features_with_yield,
     region_daily,
 )
+from agriclime.plans.incremental import add_reports, create_store, read_climate
 from agriclime.plans.interpolation import (
     interpolate_region_climate,
     interpolate_region_climate_grains,
@@ -236,6 +237,16 @@ def _idw_all_grains(spark, d):
     )
 
 
+def _idw_late_reports(spark, d):
+    """A kept interpolation, made without one ninth of the stations' spring of one year."""
+    daily, folder = _daily(spark, d, sparse=True), new_path(spark, "climate-store")
+    late = (F.col("station") % 9 == 4) & (F.col("year") == 1996) & F.col("month").between(3, 5)
+    late = F.coalesce(late, F.lit(False))
+    create_store(folder, daily.where(~late), sample.region_geo(spark, d), sample.stations(spark, d), *_years(spark, d))
+    add_reports(folder, daily.where(late), "late")
+    return ru.spread_part(read_climate(spark, folder))
+
+
 def _idw_history(spark, d):
     return interpolate_region_climate(
         _daily(spark, d, sparse=True), sample.region_geo(spark, d),
@@ -625,6 +636,7 @@ def registered() -> dict[str, Query]:
         "nearest_reporting": _nearest_reporting,
         "idw_month": _idw("month"),
         "idw_month_history": _idw_history,
+        "idw_late_reports": _idw_late_reports,
         "idw_month_moved_station": _idw_moved,
         "station_join_as_of": _station_as_of,
         "idw_unlocated_region": _idw_unlocated,
