@@ -10,7 +10,9 @@ from catalog import queries as catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # In the smallest tables a province has too few complete rows for five predictors.
-LARGER = {"ols_by_province": "/root/testdata/sf0.01"}
+LARGER = {
+    name: "/root/testdata/sf0.01" for name in ("ols_by_province", "ols_summary_by_province", "vif_by_province")
+}
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 TABLES = catalog.registered()
 
