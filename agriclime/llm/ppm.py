@@ -8,13 +8,16 @@ context, whose probabilities are renormalised over the bytes not seen here (excl
 below the empty context all 256 bytes are equally likely. A text's code length in a
 language is the sum of ``-log2 p`` of its bytes; the shortest code wins.
 
-Counting covers all learning texts. The tree is one table of code lengths whose size is
-bounded (``table_bytes``): all contexts of at most one byte, then the most frequent
-longer ones of all languages together; others use their longest suffix that is kept.
+Counting covers all learning texts and no context is thrown away. The code lengths of the
+bytes seen after a context, and its escape, are what a table holds; contexts are cut into
+shards by their last two bytes, each of at most ``shard_bytes``, and the texts pass over one
+shard at a time. A usual model is one shard; a larger one takes more passes, never more
+memory. Contexts of at most one byte are in every shard.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agriclime.llm.common import append_columns, flat, steps
+from agriclime.llm.common import flat, quoted, steps, without
 from agriclime.sources.tables import materialize
 
 UNKNOWN = "und"
-TABLE_BYTES = 24 << 20
+SHARD_BYTES = 32 << 20
 _WIDEST = 3
+_PIECE = 1 << 18  # places scored at once
 
 
 def contexts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -76,45 +80,83 @@ def _merged(parts):
     return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+@dataclass
+class Order:
+    """Contexts of one length: sorted (context, byte) keys and contexts, language x each."""
+
+    keys: np.ndarray
+    bits: np.ndarray  # code length of the byte
+    contexts: np.ndarray
+    escape: np.ndarray  # bits added to the code length after the next shorter context
+
+
+@dataclass
+class Shard:
+    languages: list[str]
+    low: int  # last two bytes of its contexts, from here to before ``high``
+    high: int
+    short: np.ndarray  # language x (byte before, byte): code length after at most one byte
+    orders: list[Order]  # contexts of 2 and of 3 bytes
+
+
 @dataclass
 class Model:
     languages: list[str]
-    order: np.ndarray  # of each kept context, and the context itself
-    context: np.ndarray
-    column: np.ndarray  # of each byte in the table; bytes never learned share the last
-    bits: np.ndarray  # language x (context, byte): code length
-
-    def rows(self) -> np.ndarray:
-        """Row of the longest kept suffix of every three bytes."""
-        out = np.zeros((1,), np.int32)
-        for order in range(_WIDEST + 1):
-            if order:
-                out = np.tile(out, 256)
-            at = np.flatnonzero(self.order == order)
-            out[self.context[at]] = at
-        return out
-
-
-def _table(counts: np.ndarray, parent: np.ndarray, kinds: int) -> np.ndarray:
-    """Code lengths from counts (language, context, column); the last column is unseen."""
-    p = np.empty(counts.shape)
-    for row in range(counts.shape[1]):
-        n = counts[:, row]
-        seen = n > 0
-        q, total = seen.sum(1, keepdims=True), n.sum(1, keepdims=True)
-        if parent[row] < 0:
-            shorter = np.full(n.shape, 1 / 256)
-            shorter[:, -1] = (257 - kinds) / 256
-        else:
-            shorter = p[:, parent[row]]
-        rest = np.maximum(1 - np.where(seen, shorter, 0).sum(1, keepdims=True), 1e-12)
-        escaped = np.where(total > 0, q / np.maximum(total + q, 1) / rest, 1) * shorter
-        p[:, row] = np.where(seen, n / np.maximum(total + q, 1), escaped)
-    p[:, :, -1] /= 257 - kinds  # one of the unseen bytes
-    return -np.log2(p)
-
-
-def learn(texts: DataFrame, table_bytes: int = TABLE_BYTES) -> Model | None:
+    counts: DataFrame  # (order, context, low, byte, lang, n)
+    cuts: list[int]  # borders of the shards
+
+    def shards(self) -> Iterator[Shard]:
+        for low, high in zip(self.cuts, self.cuts[1:]):
+            wanted = self.counts.where(f"order < 2 or (low >= {low} and low < {high})")
+            found = wanted.select("order", "context", "byte", "lang", "n").toArrow()
+            yield _shard(self.languages, low, high, found)
+
+
+def _node(n: np.ndarray, owner: np.ndarray, count: int, shorter: np.ndarray):
+    """Probabilities of (context, byte) cells and each context's escape factor.
+
+    ``n`` and ``shorter`` (counts, and probabilities after the shorter context) are language
+    x cell, ``owner`` is each cell's context.
+    """
+    p, factor = np.empty(n.shape), np.empty((len(n), count))
+    for k, own in enumerate(n):
+        seen = own > 0
+        total = np.bincount(owner, own, count)
+        q = np.bincount(owner[seen], minlength=count)
+        rest = np.maximum(1 - np.bincount(owner[seen], shorter[k][seen], count), 1e-12)
+        factor[k] = np.where(total > 0, q / np.maximum(total + q, 1) / rest, 1)
+        p[k] = np.where(seen, own / np.maximum(total + q, 1)[owner], factor[k][owner] * shorter[k])
+    return p, factor
+
+
+def _shard(languages: list[str], low: int, high: int, found: pa.Table) -> Shard:
+    order, context, byte, n = (np.asarray(found[c], np.int64) for c in ("order", "context", "byte", "n"))
+    names = found["lang"].combine_chunks().dictionary_encode()
+    number = {x: i for i, x in enumerate(languages)}
+    lang = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[np.asarray(names.indices)]
+    cells = (context << 8) | byte
+    p = np.full((len(languages), 256), 1 / 256)
+    for k in (0, 1):
+        own = order == k
+        counts = np.zeros((len(languages), 256 << 8 * k))
+        counts[lang[own], cells[own]] = n[own]
+        p, _ = _node(counts, np.arange(256 << 8 * k) >> 8, 1 << 8 * k, np.tile(p, 256**k))
+    short, keys, orders = p, np.arange(1 << 16), []
+    for k in (2, 3):
+        own = order == k
+        shorter_keys = keys
+        keys, at = np.unique(cells[own], return_inverse=True)
+        counts = np.zeros((len(languages), len(keys)))
+        counts[lang[own], at] = n[own]
+        nodes, owner = np.unique(keys >> 8, return_inverse=True)
+        # A byte seen after a context was seen after each shorter one, so all keys are found.
+        p, factor = _node(counts, owner, len(nodes), p[:, np.searchsorted(shorter_keys, keys & ((1 << 8 * k) - 1))])
+        bits = [-np.log2(x).astype(np.float32) for x in (p, factor)]
+        orders.append(Order(keys.astype(np.uint32), bits[0], nodes.astype(np.uint32), bits[1]))
+    return Shard(languages, low, high, -np.log2(short).astype(np.float32), orders)
+
+
+def learn(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model | None:
     """A model of all rows of (text, lang); null texts and languages teach nothing."""
     known = texts.select("text", "lang").where("text is not null and lang is not null")
     grams = known.mapInArrow(_count, "lang string, key long, n long")
@@ -127,84 +169,123 @@ def learn(texts: DataFrame, table_bytes: int = TABLE_BYTES) -> Model | None:
         grams.select("lang", (F.col("key") % 256).alias("byte"), "n", F.explode(F.array(*level)).alias("c"))
         .groupBy("c.order", "c.context", "byte", "lang")
         .agg(F.sum("n").alias("n"))
+        .withColumn("low", F.col("context").bitwiseAND(F.lit((1 << 16) - 1)))
     )
-    empty = levels.where("order = 0").select("lang", "byte").toArrow()
-    if not empty.num_rows:
+    counts = materialize(levels.repartitionByRange("low").sortWithinPartitions("low"), "ppm-counts")
+    languages = sorted(r["lang"] for r in counts.where("order = 0").select("lang").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(set(empty["lang"].to_pylist()))
-    column = np.full(256, len(set(empty["byte"].to_pylist())), np.int64)
-    column[sorted(set(empty["byte"].to_pylist()))] = np.arange(column.max())
-    kinds = int(column.max()) + 1
-    rows = max(257, table_bytes // (4 * kinds * len(languages)))
-    kept = (
-        levels.groupBy("order", "context")
-        .agg(F.sum("n").alias("_all"))
-        .orderBy(F.col("order") > 1, F.desc("_all"), "order", "context")
-        .limit(rows)
-    )
-    found = levels.join(kept, ["order", "context"]).toArrow()
-    order, context = (np.asarray(found[c], np.int64) for c in ("order", "context"))
-    nodes, row = np.unique((order << 32) | context, return_inverse=True)
-    counts = np.zeros((len(languages), len(nodes), kinds))
-    at = {x: i for i, x in enumerate(languages)}
-    lang = np.array([at[x] for x in found["lang"].to_pylist()], np.int64)
-    counts[lang, row, column[np.asarray(found["byte"], np.int64)]] = np.asarray(found["n"])
-    order, context = nodes >> 32, nodes & 0xFFFFFFFF
-    shorter = ((order - 1) << 32) | (context & ((1 << 8 * np.maximum(order - 1, 0)) - 1))
-    parent = np.where(order > 0, np.searchsorted(nodes, shorter), -1)
-    bits = _table(counts, parent, kinds).astype(np.float32).reshape(len(languages), -1)
-    return Model(languages, order, context, column, bits)
-
-
-def code_lengths(model: Model, rows: np.ndarray, texts: pa.Array) -> np.ndarray:
-    """Bits of each text (first axis) in each language."""
+    sizes = counts.where("order > 1").select("low", "order", "context", "byte").distinct().groupBy("low")
+    sizes = sizes.count().orderBy("low").collect()  # at most 2^16 rows
+    cuts, held = [0], 0
+    for r in sizes:
+        own = 8 * r["count"] * (1 + len(languages))  # a key or context, and its bits by language
+        if held and held + own > shard_bytes:
+            cuts.append(r["low"])
+            held = 0
+        held += own
+    return Model(languages, counts, [*cuts, 1 << 16])
+
+
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray):
+    """Place of each wanted key, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == wanted
+
+
+def code_lengths(shard: Shard, texts: pa.Array) -> np.ndarray:
+    """Bits of each text (first axis) in each language, of the bytes whose context is in the shard."""
     data, starts = flat(texts)
-    out = np.zeros((len(starts) - 1, len(model.languages)))
-    if len(data):
-        at = rows[contexts(data, starts)].astype(np.int64) * (model.column.max() + 1) + model.column[data]
-        full = np.flatnonzero(starts[1:] > starts[:-1])
-        for k in range(len(model.languages)):
-            out[full, k] = np.add.reduceat(model.bits[k][at], starts[full], dtype=np.float64)
+    out = np.zeros((len(starts) - 1, len(shard.languages)))
+    before = contexts(data, starts)
+    for begin in range(0, len(data), _PIECE):
+        context = before[begin : begin + _PIECE]
+        low = context & np.uint32(0xFFFF)
+        inside = np.flatnonzero((low >= shard.low) & (low < shard.high))
+        if not len(inside):
+            continue
+        at = inside + begin
+        text = np.searchsorted(starts, at, "right") - 1
+        bits = _bits(shard, context[inside], data[at].astype(np.uint32))
+        heads = np.flatnonzero(np.diff(text, prepend=-1))
+        out[text[heads]] += np.add.reduceat(bits, heads, axis=1, dtype=np.float64).T
+    return out
+
+
+def _bits(shard: Shard, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Language x place: code length after the longest context, over the escapes it takes."""
+    out = np.zeros((len(shard.languages), len(context)), np.float32)
+    left = np.arange(len(context))
+    for k, order in ((3, shard.orders[1]), (2, shard.orders[0])):
+        own = context[left] & np.uint32((1 << 8 * k) - 1)
+        at, there = _find(order.keys, (own << np.uint32(8)) | byte[left])
+        found = left[there]
+        for row, bits in zip(out, order.bits):
+            row[found] += bits[at[there]]
+        left, own = left[~there], own[~there]
+        at, there = _find(order.contexts, own)
+        escaped = left[there]
+        for row, bits in zip(out, order.escape):
+            row[escaped] += bits[at[there]]
+    cell = ((context[left] & np.uint32(255)) << np.uint32(8)) | byte[left]
+    for row, bits in zip(out, shard.short):
+        row[left] += bits[cell]
     return out
 
 
+def _passes(df: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    """``df`` with the column ``name``: bits in each language, summed over all shards."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    for turn, shard in enumerate(model.shards()):
+        shared = df.sparkSession.sparkContext.broadcast(shard)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for part in steps(batch, text):
+                    bits = code_lengths(shared.value, part.column(text)).ravel()
+                    if name in part.schema.names:
+                        bits = bits + np.asarray(part.column(name).flatten())
+                    ends = pa.array(np.arange(part.num_rows + 1) * len(shared.value.languages), pa.int32())
+                    added = pa.ListArray.from_arrays(ends, pa.array(bits))
+                    kept = [c for c in part.schema.names if c != name]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), added], [*kept, name])
+
+        if turn:
+            df = materialize(df, "ppm-bits")
+        df = df.mapInArrow(run, schema)
+    return df
+
+
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (the winner's share, equal priors) and ``bits``.
 
     ``bits`` is the winning code length. ``und`` with score 0 for a null text, one without
     a letter, and if nothing was learned. Equal code lengths: the first language by name.
     """
-    fields = [
-        T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("bits", T.DoubleType()),
-    ]
-    shared = df.sparkSession.sparkContext.broadcast(model) if model else None
-    held: list = []
-
-    def compute(texts):
-        import regex
-
-        n = len(texts)
-        if shared is None:
-            return [pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n))]
-        own = shared.value
-        if not held:
-            held.append(own.rows())
-        bits = code_lengths(own, held[0], texts)
-        best = bits.argmin(1)
-        least = bits.min(1)
-        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-        letter = regex.compile(r"\p{L}").search
-        known = np.array([t is not None and letter(t) is not None for t in texts.to_pylist()], bool)
-        names = [own.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)]
-        return [
-            pa.array(names, pa.string()),
-            pa.array(np.where(known, share, 0.0)),
-            pa.array(np.where(known, least, 0.0)),
-        ]
-
-    return append_columns(df, text, fields, compute)
+    kept = without(df, ["lang_pred", "score", "bits"])
+    rated = F.lit(None).cast("array<double>")
+    known = F.lit(False)
+    name = "_bits"
+    while name in {c.lower() for c in kept.columns}:
+        name += "_"
+    names = F.array(F.lit(UNKNOWN))
+    if model is not None:
+        names = F.array(*map(F.lit, model.languages))
+        full = _passes(kept, model, text, name)
+        rated, known = F.col(name), F.coalesce(quoted(text).rlike(r"\p{L}"), F.lit(False))
+    else:
+        full = kept
+    least = F.array_min(rated)
+    share = 1 / F.aggregate(rated, F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(least - x, F.lit(-1000.0))))
+    best = F.element_at(names, F.array_position(rated, least).cast("int"))
+    return full.select(
+        *[quoted(c) for c in kept.columns],
+        F.when(known, best).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, share).otherwise(0.0).alias("score"),
+        F.when(known, least).otherwise(0.0).alias("bits"),
+    )
 
 
 def learning_rows(documents: DataFrame, held_out: Column) -> DataFrame:

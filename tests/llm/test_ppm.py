@@ -41,20 +41,53 @@ def model(spark):
     return ppm.learn(spark.createDataFrame(TEXTS, "doc_id long, text string, lang string"))
 
 
-def test_code_lengths_equal_the_definition(model):
+def lengths(model, texts):
+    return sum(ppm.code_lengths(s, pa.array(texts)) for s in model.shards())
+
+
+@pytest.mark.parametrize("shard_bytes", [1, 400, 1 << 30])
+def test_code_lengths_equal_the_definition(spark, shard_bytes):
+    model = ppm.learn(spark.createDataFrame(TEXTS, "doc_id long, text string, lang string"), shard_bytes)
+    assert (len(model.cuts) > 2) == (shard_bytes < 1 << 30)
     texts = ["the man", "der mann über", "qz#", "", "t", "the cat and the hat"]
-    found = ppm.code_lengths(model, model.rows(), pa.array(texts))
+    found = lengths(model, texts)
     for text, row in zip(texts, found):
         for lang, bits in zip(model.languages, row):
             assert bits == pytest.approx(brute(TEXTS, lang, text), rel=1e-4, abs=1e-4)
 
 
-def test_bounded_table_keeps_short_contexts(spark):
-    rows = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string")
-    small = ppm.learn(rows, table_bytes=1)
-    assert len(small.order) <= 257 and (small.order <= 1).sum() >= 20
-    bits = ppm.code_lengths(small, small.rows(), pa.array(["the man", "der mann"]))
-    assert bits.shape == (2, 2) and np.isfinite(bits).all() and (bits > 0).all()
+def test_every_context_is_kept(spark):
+    """Also those of a rare language beside a large one, whatever the size of a shard."""
+    from agriclime.llm import queries
+
+    rows = queries.table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null and text is not null")
+    rare = spark.createDataFrame([("zw\u00fclf xylophonk\u00e4fig qu\u00e4len", "rare")], "text string, lang string")
+    model = ppm.learn(rows.select("text", "lang").unionByName(rare), 1 << 16)
+    held = sum(len(s.orders[1].keys) for s in model.shards())
+    counted = model.counts.where("order = 3").select("context", "byte").distinct().count()
+    assert held == counted and len(model.cuts) > 3
+    own = [(None, "zw\u00fclf xylophonk\u00e4fig qu\u00e4len", "rare")]
+    found = lengths(model, ["xylophonk\u00e4fig"])[0, model.languages.index("rare")]
+    assert found == pytest.approx(brute(own, "rare", "xylophonk\u00e4fig"), rel=1e-4)
+
+
+def test_passes_agree(spark, documents, monkeypatch):
+    """Many shards, many passes: the same result as one."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "the hat"), (2, "und die"), (3, None), (4, ""), (5, "12 !?"), (6, "zzz \u00fc"), (8, "die " * 5000)]
+    df = documents(rows).withColumn("_bits", F.lit("mine"))
+    learned = spark.createDataFrame(TEXTS, "doc_id long, text string, lang string")
+    one, many = (ppm.identify(df, ppm.learn(learned, size)).orderBy("doc_id").collect() for size in (1 << 30, 900))
+    assert [r["_bits"] for r in many] == ["mine"] * len(rows)
+    for a, b in zip(one, many, strict=True):
+        assert a["lang_pred"] == b["lang_pred"]
+        assert (a["score"], a["bits"]) == pytest.approx((b["score"], b["bits"]))
+    model = ppm.learn(learned)
+    texts = [r[1] for r in rows]
+    whole = lengths(model, texts)
+    monkeypatch.setattr(ppm, "_PIECE", 7)
+    assert lengths(model, texts) == pytest.approx(whole)
 
 
 def test_predictions_and_defined_cases(documents, model):
@@ -75,9 +108,9 @@ def test_nothing_learned(documents):
     assert ppm.identify(documents([]), None).count() == 0
 
 
-def test_long_texts_cross_step_borders(model, monkeypatch):
+def test_long_texts_cross_step_borders(model):
     text = "der hund und die katze " * 300
-    whole = ppm.code_lengths(model, model.rows(), pa.array([text, "a", text]))
+    whole = lengths(model, [text, "a", text])
     assert whole[0] == pytest.approx(whole[2]) and (whole[0] > 100 * whole[1]).all()
 
 
