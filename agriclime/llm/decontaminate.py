@@ -6,7 +6,8 @@ has the error budget ``k = floor(rate * m)`` and is cut into ``k + 1`` pieces; a
 within ``k`` edits holds at least one piece unchanged, so all piece hits of an automaton
 are all candidates. Each is verified with Myers' bit-parallel edit distance around the
 place where the item would lie, unless too few of the item's 4-grams lie there: an edit
-breaks 4 of them at most, so no match is lost.
+breaks 4 of them at most, so no match is lost. Items under ``MIN_BYTES`` normalised bytes
+are too general for edits: they match only as they are, between word borders.
 
 Test items are handled in blocks of bounded size: each block's items are broadcast and
 meet every text, so a benchmark of any size is searched whole.
@@ -102,17 +103,18 @@ class Items:
     """A block of test items, ready to be looked up in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
-        self.ids, self.patterns, self.budgets, self.grams = [], [], [], []
+        self.ids, self.short, self.patterns, self.budgets, self.grams = [], [], [], [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
             own = normal(text)
-            if len(own) < least:
+            if not own:
                 continue
-            budget = int(rate * len(own))
+            budget = int(rate * len(own)) if len(own) >= least else 0
             cuts = [len(own) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(own[a:b].decode("latin-1"), []).append((len(self.ids), a))
             self.ids.append(key)
+            self.short.append(len(own) < least)
             self.patterns.append(Pattern(own))
             self.grams.append([own[i : i + _GRAM] for i in range(len(own) - _GRAM + 1)])
             self.budgets.append(budget)
@@ -131,6 +133,7 @@ class Items:
         if self.empty or not len(padded):
             return out
         places: dict[tuple[int, int], set[int]] = {}
+        exact: dict[tuple[int, int], int] = {}
         ends, found = [], []
         for end, value in self.automaton.iter(padded.tobytes().decode("latin-1")):
             ends.append(end)
@@ -138,12 +141,25 @@ class Items:
         owner = np.searchsorted(at, np.array(ends, np.int64), "right") - 1
         for text, end, (size, where) in zip(owner.tolist(), ends, found):
             for item, offset in where:
+                if self.short[item]:
+                    self._exact(padded, exact, text, item, end + 1 - size, end + 1)
+                    continue
                 places.setdefault((text, item), set()).add(end + 1 - size - offset)
         for (text, item), begins in places.items():
             if best := self._verified(padded, int(at[text]) + 1, int(at[text + 1]), item, sorted(begins)):
                 out[text].append(best)
+        for (text, item), begin in exact.items():
+            begin -= int(at[text]) + 1
+            out[text].append((self.ids[item], 0, begin, begin + len(self.patterns[item].text)))
         return out
 
+    @staticmethod
+    def _exact(padded, exact, text: int, item: int, begin: int, end: int):
+        """Remember the first place of a short item that no letter or digit goes on from."""
+        whole = padded[begin - 1] in (0, 32) and (end == len(padded) or padded[end] in (0, 32))
+        if whole and (text, item) not in exact:
+            exact[text, item] = begin
+
     def _verified(self, padded, low: int, high: int, item: int, begins: list[int]):
         pattern, budget = self.patterns[item], self.budgets[item]
         size, best, until = len(pattern.text), None, -1
@@ -182,9 +198,9 @@ def matches(
 ) -> DataFrame:
     """``df`` with ``matches``: array of (item_id, distance, start, end), best one per item.
 
-    Offsets count normalised bytes. Items (item_id, text) that are null, or of fewer than
-    ``least`` normalised bytes (too general to accuse a text), match nothing; a null text
-    has no match. Items with equal texts each give a match.
+    Offsets count normalised bytes. Items (item_id, text) that are null or have no letter or
+    digit match nothing, those of fewer than ``least`` normalised bytes only exactly, as whole
+    words; a null text has no match. Items with equal texts each give a match.
     """
     struct = T.StructType(
         [

@@ -42,6 +42,7 @@ def corpus():
                 passage = passage[:at] + rng.choice(["", "z", "zz"]) + passage[at + 1 :]
             parts += [passage.upper().replace(" ", ", "), make(rng.randint(0, 40))]
         docs.append((i, " ".join(parts)))
+    docs += [(92, "A Short!"), (93, "shortly, ashort"), (94, "ends in short"), (95, "shorts short-ish short")]
     return items, [*docs, (90, None), (91, ""), (None, items[0][1]), (0, docs[0][1])]
 
 
@@ -54,7 +55,11 @@ def test_equals_brute_force(spark, documents):
         own = dc.normal(text or "")
         for item, passage in items:
             pattern = dc.normal(passage or "")
-            if item is None or len(pattern) < dc.MIN_BYTES:
+            if item is None or not pattern:
+                continue
+            if len(pattern) < dc.MIN_BYTES:
+                if b" " + pattern + b" " in b" " + own + b" ":
+                    expected.append((str(doc), item, 0))
                 continue
             least = least_distance(pattern, own)
             if least <= int(dc.RATE * len(pattern)):
@@ -72,6 +77,13 @@ def test_equals_brute_force(spark, documents):
                 assert distance(pattern, own) == m["distance"]
 
 
+def test_short_items_match_whole_words(spark, documents):
+    items = spark.createDataFrame([(1, "Cat, dog"), (2, "x"), (3, " !? ")], "item_id long, text string")
+    docs = documents([(1, "a cat  dog."), (2, "cat dogs"), (3, "bobcat dog"), (4, "X"), (5, "xx x"), (6, "!?"), (7, None)])
+    out = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in dc.matches(docs, items).collect()}
+    assert out == {1: [(1, 0, 2, 9)], 2: [], 3: [], 4: [(2, 0, 0, 1)], 5: [(2, 0, 3, 4)], 6: [], 7: []}
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["matches"] for r in dc.matches(documents([(1, "text")]), none).collect()] == [[]]
