@@ -67,21 +67,22 @@ def shingle_sets(texts: pa.Array):
     return joined, np.concatenate([[0], np.cumsum(sizes)]), sequence
 
 
-def sketches(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of ``BINS`` numbers for each set; rows of empty sets hold no value."""
+def sketches(shingles: np.ndarray, starts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """A row of ``bins`` numbers (a power of two) for each set; rows of empty sets hold no value."""
     n = len(starts) - 1
-    out = np.full(n * BINS, _EMPTY)
+    shift = np.uint64(65 - bins.bit_length())
+    out = np.full(n * bins, _EMPTY)
     owner = np.repeat(np.arange(n), np.diff(starts))
-    for turn in range(2 * BINS):
+    for turn in range(2 * bins):
         if not len(owner):
             break
         x = mix(shingles ^ _ROUNDS[turn])
-        cell = (x >> np.uint64(57)).astype(np.int64) if turn < BINS else turn - BINS
+        cell = (x >> shift).astype(np.int64) if turn < bins else turn - bins
         value = (np.uint64(turn) << np.uint64(56)) | (x & np.uint64(2**56 - 1))
-        np.minimum.at(out, owner * BINS + cell, value)
-        open_rows = (out.reshape(n, BINS) == _EMPTY).any(1)[owner]
+        np.minimum.at(out, owner * bins + cell, value)
+        open_rows = (out.reshape(n, bins) == _EMPTY).any(1)[owner]
         shingles, owner = shingles[open_rows], owner[open_rows]
-    return out.reshape(n, BINS)
+    return out.reshape(n, bins)
 
 
 def bands(sketch: np.ndarray) -> np.ndarray:
