@@ -16,9 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agriclime.llm.common import small
+from agriclime.llm.common import small, store
 from agriclime.llm.components import components
-from agriclime.sources.tables import materialize
 
 
 def linked(
@@ -41,13 +40,13 @@ def linked(
     shared = members.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
     )
-    shared = materialize(shared.where("low < high"), "shared")
-    large = materialize(shared.where("n > 2").select("bucket", "n"), "large")
-    inside = materialize(members.join(small(large), "bucket"), "members")
-    degree = materialize(inside.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    shared = store(shared.where("low < high"), "shared")
+    large = store(shared.where("n > 2").select("bucket", "n"), "large")
+    inside = store(members.join(small(large), "bucket"), "members")
+    degree = store(inside.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
     central = inside.join(degree, "node").groupBy("bucket")
     central = central.agg(F.max_by("node", F.struct("degree", "node")).alias("pivot"))
-    first = materialize(central, "pivots")
+    first = store(central, "pivots")
     pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     pairs = pairs.unionByName(_pairs(inside.join(first, "bucket").where("node <> pivot"), "pivot", "node"))
     tested, links, names, apart = [], None, None, None
@@ -59,13 +58,13 @@ def linked(
                 named = named.withColumn("component", F.coalesce("component", "node"))
             else:
                 named = named.withColumn("component", F.col("node"))
-            named = materialize(named, "members-named")
+            named = store(named, "members-named")
             mixed = named.groupBy("bucket").agg(
                 F.min("component").alias("low"),
                 F.max("component").alias("high"),
                 F.max_by(F.struct("node", "component", "info"), F.xxhash64("component", "bucket")).alias("p"),
             )
-            mixed = materialize(mixed.where("low < high").select("bucket", "p.*"), "pivots")
+            mixed = store(mixed.where("low < high").select("bucket", "p.*"), "pivots")
             if not mixed.limit(1).count():
                 break
             near = named.join(first, "bucket")
@@ -87,23 +86,23 @@ def linked(
             else:
                 x = near.join(mixed.select("bucket"), "bucket", "left_semi")
                 apart_rule = "x.node < y.node and x.component <> y.component"
-            x = materialize(x, "askers").alias("x")
+            x = store(x, "askers").alias("x")
             pairs = x.join(y, F.expr(f"x.bucket = y.bucket and {apart_rule} and {fits}"))
             pairs = _pairs(pairs, "x.node", "y.node")
         pairs = pairs.distinct()
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = store(pairs, "pairs")
         if pairs.limit(1).count():
-            found = materialize(confirm(pairs), "found")
+            found = store(confirm(pairs), "found")
             if not turn:
                 known = found.where("apart is not null")
                 flipped = known.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "apart")
                 known = known.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "apart")
-                apart = materialize(known.unionByName(flipped).join(first.select("pivot").distinct(), "pivot"), "apart")
+                apart = store(known.unionByName(flipped).join(first.select("pivot").distinct(), "pivot"), "apart")
             alike = found.where("alike").select("a", "b")
             links = alike if links is None else links.unionByName(alike)
-            names = materialize(components(links), "components")
+            names = store(components(links), "components")
         tested.append(pairs)
     return names
 

@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from agriclime.sources.tables import materialize
+
 # Bytes of text that one vectorised step works on; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 # Tables of up to so many rows of two numbers may be broadcast (some 10 MB).
 BROADCAST_ROWS = 200_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +72,21 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         start = stop
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """A stage table whose shuffle files are deleted as soon as it is written.
+
+    Nothing reads them again: the table is in the shared folder. The setting is changed
+    for the write alone.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A stored table of two or three numbers a row; broadcast if its row count is bounded."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agriclime.llm.common import flat, small, steps
+from agriclime.llm.common import flat, small, steps, store
 from agriclime.llm.hashing import prefix, span_hash
 from agriclime.llm.suffixes import suffix_arrays
-from agriclime.sources.tables import materialize
 
 LENGTH = 50
 GRAM = 16
@@ -36,7 +35,6 @@ RUN = 200  # windows of a segment at most
 VARIANTS = 200
 BLOCK_ROWS = 400_000
 _BATCH = 1 << 21
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2")])
 
 
@@ -267,17 +265,6 @@ def _cleaned(batches):
             )
 
 
-def _store(df: DataFrame, label: str) -> DataFrame:
-    """A stage table whose shuffle files are deleted as soon as it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
-        return materialize(df, label)
-    finally:
-        conf.set(_CLEANUP, before)
-
-
 def remove_repeats(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of ``df`` (doc_id, text).
 
@@ -288,14 +275,14 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     documents = df.select(F.col("doc_id").cast("long"), "text")
     keys = documents.where("doc_id is not null and text is not null")
     keys = keys.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"), F.octet_length("text").alias("n"))
-    keys = _store(keys.distinct(), "keys")
+    keys = store(keys.distinct(), "keys")
     one = keys.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("k")).select("doc_id", "k.h", "k.n")
-    one = _store(one, "one")
-    lead = _store(one.groupBy("h").agg(F.min("doc_id").alias("lead")), "lead")
+    one = store(one, "one")
+    lead = store(one.groupBy("h").agg(F.min("doc_id").alias("lead")), "lead")
     named = one.join(lead, "h").select("doc_id", "h", "n", (F.col("doc_id") > F.col("lead")).alias("copy"))
-    named = _store(named, "named")
-    copies = _store(named.where("copy").select("doc_id"), "copies")
-    odd = _store(keys.join(one, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "odd")
+    named = store(named, "named")
+    copies = store(named.where("copy").select("doc_id"), "copies")
+    odd = store(keys.join(one, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "odd")
     texts = documents.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     texts = texts.join(small(copies), "doc_id", "left_anti")
     if odd.limit(1).count():
@@ -309,13 +296,13 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     spans = found.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_list(F.struct("hash", "start", F.col("count").cast("int").alias("count"))).alias("spans")
     )
-    spans = _store(spans, "spans")
+    spans = store(spans, "spans")
     pieces = texts.dropDuplicates(["doc_id", "text"]) if keys.count() < documents.count() else texts
     pieces = pieces.join(spans, "doc_id").mapInArrow(_cut_out, "hash long, doc long, start int, segment binary")
-    pieces = _store(pieces.withColumn("sid", F.xxhash64("segment")), "pieces")
+    pieces = store(pieces.withColumn("sid", F.xxhash64("segment")), "pieces")
 
     distinct = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
-    distinct = _store(distinct, "segments")
+    distinct = store(distinct, "segments")
     kinds = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     windows = F.octet_length("segment") - LENGTH
     counted = distinct.join(kinds, "hash")
@@ -327,11 +314,11 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     ordered = several.repartition("hash").sortWithinPartitions("n", "hash")
     ordered = ordered.mapInArrow(_sorted_groups, "hash long, sid long, first array<int>, last array<int>, least array<long>")
     many = counted.where(f"n > {VARIANTS}").select("hash", "sid", "doc", F.posexplode(_windows()).alias("at", "window"))
-    least = _store(many.groupBy("hash", "window").agg(F.min("doc").alias("least")), "windows")
+    least = store(many.groupBy("hash", "window").agg(F.min("doc").alias("least")), "windows")
     wide = many.join(least, ["hash", "window"]).select(
         "hash", "sid", F.array("at").alias("first"), F.array("at").alias("last"), F.array("least").alias("least")
     )
-    answers = _store(single.unionByName(ordered).unionByName(wide), "answers")
+    answers = store(single.unionByName(ordered).unionByName(wide), "answers")
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
     cuts = pieces.select("hash", "sid", "doc", "start").join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
@@ -341,7 +328,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         ).alias("cuts")
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
-    cuts = _store(cuts, "cuts")
+    cuts = store(cuts, "cuts")
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
