@@ -6,7 +6,7 @@ members that a chain of links then holds together need no comparison. Later roun
 other pivots in the buckets that still hold several components. What is then left, pairs of
 different components in a bucket that were never compared, is compared in full, but for
 those that cannot be linked by their attributes, by the triangle inequality over the first
-pivot (where ``apart`` is a metric), or by their prefixes (for sets).
+pivot (where ``apart`` is a metric), or by marks made for the members still left.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ def linked(
     confirm: Callable[[DataFrame], DataFrame],
     possible: str = "true",
     limit: float = float("inf"),
-    prefixes: Callable[[DataFrame], DataFrame] | None = None,
+    marks: Callable[[DataFrame], DataFrame] | None = None,
+    close: str = "true",
     rounds: int = 1,
 ) -> DataFrame | None:
     """(node, component) of all nodes with a confirmed link; None if there is no link.
@@ -33,9 +34,10 @@ def linked(
     ``members`` has the rows (bucket long, node long, info); ``possible`` is an SQL condition
     between ``x.info`` and ``y.info`` that every link fulfils. ``confirm`` gets (a, b) pairs,
     a < b, each once, and returns (a, b, alike, apart) of all that may be links; ``apart`` is
-    null or a distance, ``limit`` at most for links. ``prefixes`` gives (node, prefix, common)
-    of the nodes it gets: arrays of which linked nodes share ``common`` elements, the lesser. No link between two members of a bucket
-    is lost as far as components go.
+    null or a distance, ``limit`` at most for links. ``marks`` gives (node, mark) of the nodes
+    it gets, ``close`` is an SQL condition between ``x.info``, ``x.mark``, ``y.info`` and
+    ``y.mark`` that every link fulfils. No link between two members of a bucket is lost as far
+    as components go.
     """
     shared = members.groupBy("bucket").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")
@@ -75,10 +77,10 @@ def linked(
             fits = f"({possible}) and coalesce(abs(x.apart - y.apart) <= {limit}, true)"
             if limit == float("inf"):
                 fits = f"({possible})"
-            if turn == rounds and prefixes is not None:
+            if turn == rounds and marks is not None:
                 near = near.join(mixed.select("bucket"), "bucket", "left_semi")
-                near = near.join(prefixes(near.select("node").distinct()), "node")
-                fits += " and size(array_intersect(x.prefix, y.prefix)) >= least(x.common, y.common)"
+                near = near.join(marks(near.select("node").distinct()), "node")
+                fits += f" and ({close})"
             y = near.alias("y")
             if turn < rounds:
                 x = near.join(mixed.select("bucket", "node"), ["bucket", "node"])

@@ -10,7 +10,11 @@ bands of ``ROWS`` bins. Two sets of similarity 0.75 share no band with a probabi
 about (1 - 0.75^4)^32, 5 in a million.
 
 Texts of equal words are one node. Members of a band are compared by pivots (``buckets``)
-on the full shingle sets.
+on the full shingle sets. Where many sets of one band are left that are just too far from
+each other, they are told apart by parity marks: a mark has ``MARK`` bits, each the parity
+of the shingles that fall on it, so bits in which two marks differ are at most as many as
+shingles that only one of the sets has. Linked sets cannot differ in more shingles than a
+share of their sizes, whatever the hash.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from agriclime.sources.tables import materialize
 BINS, BANDS, ROWS = 128, 32, 4
 WORDS = 5
 PERCENT = 75
-COMMON = 16
+MARK = 1024
 _EMPTY = np.uint64(2**64 - 1)
 _PLACES = seeds(WORDS, 2) | np.uint64(1)
 _SHORT = seeds(WORDS, 3)
@@ -104,12 +108,25 @@ def _sketched(batches):
             )
 
 
-def _shingle_rows(batches):
+def parity_marks(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each set's parity bits (set x word of 64)."""
+    width = MARK // 64
+    place = shingles >> np.uint64(65 - MARK.bit_length())
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    out = np.zeros((len(starts) - 1) * width, np.uint64)
+    word = owner * width + (place >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(-1, width)
+
+
+def _marked(batches):
     for batch in batches:
         for part in steps(batch, "text"):
-            shingles, starts, _ = shingle_sets(part.column("text"))
-            node = np.repeat(np.asarray(part.column("node")), np.diff(starts))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(shingles.view(np.int64))], ["node", "shingle"])
+            found = parity_marks(*shingle_sets(part.column("text"))[:2])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.view(np.int64).ravel())
+            )
+            yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "mark"])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -158,20 +175,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         found = documents.join(small(wanted), ["doc_id", "hash"]).where("text is not null")
         return materialize(found.select("node", "text").dropDuplicates(["node"]), "wanted-texts")
 
-    def prefixes(nodes: DataFrame) -> DataFrame:
-        """Each set's rarest shingles, so many that two linked sets have ``COMMON`` of them in common.
-
-        Linked sets share ``least = 0.75 * size`` elements of either at least. In any one
-        order of all elements, the first ``size - least + c`` of both then hold ``c`` of them.
-        """
-        rows = materialize(texts_of(nodes).mapInArrow(_shingle_rows, "node long, shingle long"), "shingles")
-        counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-        sets = rows.join(counts, "shingle").groupBy("node")
-        sets = sets.agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-        least = F.ceil(F.size("s") * PERCENT / 100).cast("int")
-        common = F.least(F.lit(COMMON), least)
-        prefix = F.slice("s", F.lit(1), F.size("s") - least + common)["shingle"]
-        return materialize(sets.select("node", prefix.alias("prefix"), common.alias("common")), "prefixes")
+    def marks(nodes: DataFrame) -> DataFrame:
+        return materialize(texts_of(nodes).mapInArrow(_marked, "node long, mark array<long>"), "marks")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -186,7 +191,10 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         return both.sortWithinPartitions("a").mapInArrow(_confirmed, "a long, b long, alike boolean, apart double")
 
     larger = f"100 * least(x.info, y.info) >= {PERCENT} * greatest(x.info, y.info)"
-    names = linked(members, confirm, larger, 1 - PERCENT / 100 + 1e-9, prefixes)
+    # Sets of sizes s and t that differ in d shingles share (s + t - d) / 2 of (s + t + d) / 2.
+    bits = " + ".join(f"bit_count(x.mark[{i}] ^ y.mark[{i}])" for i in range(MARK // 64))
+    close = f"{100 + PERCENT} * ({bits}) <= {100 - PERCENT} * (x.info + y.info)"
+    names = linked(members, confirm, larger, 1 - PERCENT / 100 + 1e-9, marks, close)
     if names is None:
         names = texts.select("node", F.col("node").alias("component")).limit(0)
     slim = rows.select("doc_id", "n_shingles", "node").join(names, "node", "left")

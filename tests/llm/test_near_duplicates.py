@@ -146,6 +146,44 @@ def test_prefixes_lose_no_link(documents):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()} == expected
 
 
+def test_parity_marks_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for size, own in [(1, 0), (150, 3), (150, 60), (3000, 200)]:
+        both, left, right = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (size, own, own // 2))
+        sets = [np.unique(np.concatenate([both, x])) for x in (left, right)]
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        marks = minhash.parity_marks(np.concatenate(sets), starts)
+        bits = int(np.bitwise_count(marks[0] ^ marks[1]).sum())
+        assert bits <= own + own // 2
+        assert bits >= 0.7 * (own + own // 2)
+
+
+def test_texts_just_too_far_are_not_all_compared(documents, monkeypatch):
+    """A large group of copies and many texts that are each just too far from all of them."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        places = [rng.randrange(150)] if i < 160 else range(10 + i % 10, 150, 25)
+        for at in places:
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    compared, real = [], minhash.linked
+
+    def counted(members, confirm, *rest):
+        def counting(pairs):
+            compared.append(pairs.count())
+            return confirm(pairs)
+
+        return real(members, counting, *rest)
+
+    monkeypatch.setattr(minhash, "linked", counted)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert found == {i: 0 if i < 160 else i for i, _ in rows}
+    assert sum(compared[1:]) < 500, compared
+
+
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([])).collect() == []
 
