@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agriclime.sources.tables import materialize
+from agriclime.sources.tables import OWNER, materialize, new_path
 
 # Bytes of text that one vectorised step works on; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
@@ -80,11 +80,28 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, "false")
+    # A run's table stays with the run, which may read it again.
+    path = new_path(df.sparkSession, label) if OWNER.get() is None else None
     conf.set(_CLEANUP, "true")
     try:
-        return materialize(df, label)
+        out = materialize(df, label, path)
     finally:
         conf.set(_CLEANUP, before)
+    out._stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that no later step and no result reads.
+
+    Tables of a ``StageRun`` and those that ``store`` did not make stay.
+    """
+    for df in tables:
+        path = vars(df).get("_stage_path")
+        if path:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small(df: DataFrame) -> DataFrame:

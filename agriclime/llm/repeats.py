@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agriclime.llm.common import flat, small, steps, store
+from agriclime.llm.common import discard, flat, small, steps, store
 from agriclime.llm.hashing import prefix, span_hash
 from agriclime.llm.suffixes import suffix_arrays
 
@@ -283,6 +283,8 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     named = store(named, "named")
     copies = store(named.where("copy").select("doc_id"), "copies")
     odd = store(keys.join(one, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "odd")
+    repeated = keys.count() < documents.count()
+    discard(keys, one, lead)
     texts = documents.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
     texts = texts.join(small(copies), "doc_id", "left_anti")
     if odd.limit(1).count():
@@ -297,9 +299,10 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         F.collect_list(F.struct("hash", "start", F.col("count").cast("int").alias("count"))).alias("spans")
     )
     spans = store(spans, "spans")
-    pieces = texts.dropDuplicates(["doc_id", "text"]) if keys.count() < documents.count() else texts
+    pieces = texts.dropDuplicates(["doc_id", "text"]) if repeated else texts
     pieces = pieces.join(spans, "doc_id").mapInArrow(_cut_out, "hash long, doc long, start int, segment binary")
     pieces = store(pieces.withColumn("sid", F.xxhash64("segment")), "pieces")
+    discard(copies, odd, spans)
 
     distinct = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
     distinct = store(distinct, "segments")
@@ -319,6 +322,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
         "hash", "sid", F.array("at").alias("first"), F.array("at").alias("last"), F.array("least").alias("least")
     )
     answers = store(single.unionByName(ordered).unionByName(wide), "answers")
+    discard(distinct, least)
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
     cuts = pieces.select("hash", "sid", "doc", "start").join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
@@ -329,6 +333,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
     cuts = store(cuts, "cuts")
+    discard(named, pieces, answers)
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agriclime.llm import repeats
 from agriclime.llm.suffixes import suffix_arrays
+from agriclime.sources.tables import application_folder
 
 
 @settings(max_examples=300, deadline=None)
@@ -92,3 +94,14 @@ def test_segments_cover_all_windows():
     windows = sorted((t, s) for t, f, n in zip(text, first - starts[text], count) for s in range(f, f + n))
     assert windows == [(t, s) for t, n in enumerate(sizes) for s in range(n - 49)]
     assert count.max() <= repeats.RUN
+
+
+def test_only_what_the_result_reads_stays_stored(spark, documents):
+    folder = application_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = corpus()
+    found = repeats.remove_repeats(documents(rows))
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {"cuts"}
+    expected = sorted((str(i), n, gone) for i, n, gone, *_ in brute(rows))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in found.collect()) == expected
