@@ -17,7 +17,10 @@ from agriclime.sources.tables import OWNER, materialize, new_path
 STEP_BYTES = 2 << 20
 # Tables of up to so many rows of two numbers may be broadcast (some 10 MB).
 BROADCAST_ROWS = 200_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,18 +78,20 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
 def store(df: DataFrame, label: str) -> DataFrame:
     """A stage table whose shuffle files are deleted as soon as it is written.
 
-    Nothing reads them again: the table is in the shared folder. The setting is changed
-    for the write alone.
+    Nothing reads them again: the table is in the shared folder, packed by zstd. Both
+    settings are changed for the write alone.
     """
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
+    before = {name: conf.get(name) for name in _WRITING}
     # A run's table stays with the run, which may read it again.
     path = new_path(df.sparkSession, label) if OWNER.get() is None else None
-    conf.set(_CLEANUP, "true")
+    for name, value in _WRITING.items():
+        conf.set(name, value)
     try:
         out = materialize(df, label, path)
     finally:
-        conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            conf.set(name, value)
     out._stage_path = path
     return out
 

@@ -306,9 +306,13 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
     distinct = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
     distinct = store(distinct, "segments")
-    kinds = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    places = store(pieces.select("hash", "sid", "doc", "start"), "places")
+    discard(pieces)
+    kinds = store(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    # Stored, as three branches read it: the segments are shuffled once for all of them.
+    counted = store(distinct.join(kinds, "hash"), "counted")
+    discard(distinct, kinds)
     windows = F.octet_length("segment") - LENGTH
-    counted = distinct.join(kinds, "hash")
     single = counted.where("n = 1 and most > doc").select(
         "hash", "sid", F.array(F.lit(0)).alias("first"), F.array(windows).alias("last"), F.array("doc").alias("least")
     )
@@ -321,10 +325,12 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     wide = many.join(least, ["hash", "window"]).select(
         "hash", "sid", F.array("at").alias("first"), F.array("at").alias("last"), F.array("least").alias("least")
     )
-    answers = store(single.unionByName(ordered).unionByName(wide), "answers")
-    discard(distinct, least)
+    # Each in a step of its own, so that the shuffle files of one go before the next begins.
+    parts = [store(part, label) for part, label in ((single, "single"), (ordered, "sorted"), (wide, "wide"))]
+    discard(counted, least)
+    answers = parts[0].unionByName(parts[1]).unionByName(parts[2])
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
-    cuts = pieces.select("hash", "sid", "doc", "start").join(answers, ["hash", "sid"])
+    cuts = places.join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
     cuts = cuts.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_set(
@@ -333,7 +339,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
     cuts = store(cuts, "cuts")
-    discard(named, pieces, answers)
+    discard(named, places, *parts)
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
