@@ -11,8 +11,10 @@ other texts:
 3. The texts of the other segments are cut out, equal segments become one row with the
    least document, and each anchor's different segments are sorted together: their suffix
    array (``suffixes``) puts equal windows side by side, and gives each the least document.
-   An anchor with one segment needs no sorting. Anchors of more than ``VARIANTS`` segments
-   are compared window by window with a grouping instead, so no task gets them whole.
+   An anchor with one segment, or with segments of one document, needs no sorting. Segments
+   of an anchor that has more than ``VARIANTS`` are cut again, by anchors of longer pieces
+   (``FINER``), and go the same way, so no task gets them whole. Pieces of ``LENGTH`` bytes
+   are whole windows, which need no sorting at all.
 4. Windows of a smaller document go back to all texts that hold the segment.
 """
 
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agriclime.llm.common import discard, flat, small, steps, store
-from agriclime.llm.hashing import prefix, span_hash
+from agriclime.llm.hashing import mix, prefix, span_hash
 from agriclime.llm.suffixes import suffix_arrays
 
 LENGTH = 50
 GRAM = 16
+FINER = (33, LENGTH)
 RUN = 200  # windows of a segment at most
 VARIANTS = 200
 BLOCK_ROWS = 400_000
@@ -38,14 +41,14 @@ _BATCH = 1 << 21
 _PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2")])
 
 
-def segments(data: np.ndarray, starts: np.ndarray):
+def segments(data: np.ndarray, starts: np.ndarray, gram: int = GRAM):
     """(anchor, text, first window, windows) of every segment of all texts."""
     windows = len(data) - LENGTH + 1
     if windows <= 0:
         return (np.zeros(0, np.int64),) * 4
-    at = np.arange(len(data) - GRAM + 1)
-    least = span_hash(prefix(data), at, at + GRAM)
-    span, width = 1, LENGTH - GRAM + 1
+    at = np.arange(len(data) - gram + 1)
+    least = span_hash(prefix(data), at, at + gram)
+    span, width = 1, LENGTH - gram + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -152,6 +155,31 @@ def _cut_out(batches):
             )
 
 
+def _finer(gram: int):
+    """Segments cut again by anchors of ``gram`` bytes; ``whole`` and ``at`` tell where a piece lies."""
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, "segment"):
+                data, starts = flat(part.column("segment"))
+                anchor, text, first, windows = segments(data, starts, gram)
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(first.tolist(), (first + windows + LENGTH - 1).tolist())]
+                above = np.asarray(part.column("hash"))[text]
+                own = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(mix(anchor.view(np.uint64) ^ mix(above.view(np.uint64))).view(np.int64)),
+                        pa.array(texts, pa.binary()),
+                        part.column("doc").take(own), part.column("most").take(own),
+                        pa.array(above), part.column("sid").take(own), pa.array((first - starts[text]).astype(np.int32)),
+                    ],
+                    ["hash", "segment", "doc", "most", "whole_hash", "whole_sid", "at"],
+                )
+
+    return run
+
+
 def least_documents(anchor: np.ndarray, data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The least document of every window of all pieces in a row, among pieces of its anchor.
 
@@ -308,27 +336,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     distinct = store(distinct, "segments")
     places = store(pieces.select("hash", "sid", "doc", "start"), "places")
     discard(pieces)
-    kinds = store(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    # Stored, as three branches read it: the segments are shuffled once for all of them.
-    counted = store(distinct.join(kinds, "hash"), "counted")
-    discard(distinct, kinds)
-    windows = F.octet_length("segment") - LENGTH
-    single = counted.where("n = 1 and most > doc").select(
-        "hash", "sid", F.array(F.lit(0)).alias("first"), F.array(windows).alias("last"), F.array("doc").alias("least")
-    )
-    several = counted.where(f"n > 1 and n <= {VARIANTS}").select("n", "hash", "segment", "doc", "most", "sid")
-    # Anchors of about as many segments take their steps together.
-    ordered = several.repartition("hash").sortWithinPartitions("n", "hash")
-    ordered = ordered.mapInArrow(_sorted_groups, "hash long, sid long, first array<int>, last array<int>, least array<long>")
-    many = counted.where(f"n > {VARIANTS}").select("hash", "sid", "doc", F.posexplode(_windows()).alias("at", "window"))
-    least = store(many.groupBy("hash", "window").agg(F.min("doc").alias("least")), "windows")
-    wide = many.join(least, ["hash", "window"]).select(
-        "hash", "sid", F.array("at").alias("first"), F.array("at").alias("last"), F.array("least").alias("least")
-    )
-    # Each in a step of its own, so that the shuffle files of one go before the next begins.
-    parts = [store(part, label) for part, label in ((single, "single"), (ordered, "sorted"), (wide, "wide"))]
-    discard(counted, least)
-    answers = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    answers = _least_in_windows(distinct, FINER)
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
     cuts = places.join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
@@ -339,14 +347,59 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
     cuts = store(cuts, "cuts")
-    discard(named, places, *parts)
+    discard(named, places, answers)
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 
-def _windows():
-    """All windows of a segment, as an array."""
-    at = F.sequence(F.lit(1), F.octet_length("segment") - LENGTH + 1)
-    return F.transform(at, lambda i: F.substring(F.col("segment"), i, F.lit(LENGTH)))
+def _least_in_windows(distinct: DataFrame, finer: tuple[int, ...]) -> DataFrame:
+    """(hash, sid, first, last, least) of the segments some of whose windows an earlier document has.
+
+    ``distinct``: (hash, segment, sid, doc, most) of the different segments of each anchor with
+    their least and greatest document; deleted when it is read. ``finer``: lengths of the
+    pieces whose anchors cut the segments of a hot anchor again.
+    """
+    kinds = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("most").alias("high"))
+    # An anchor that one document alone has takes nothing away.
+    kinds = store(kinds.where("low < high").select("hash", "n"), "kinds")
+    # Stored, as three branches read it: the segments are shuffled once for all of them.
+    counted = store(distinct.join(kinds, "hash"), "counted")
+    discard(distinct, kinds)
+    windows = F.octet_length("segment") - LENGTH
+    single = counted.where("n = 1 and most > doc").select(
+        "hash", "sid", F.array(F.lit(0)).alias("first"), F.array(windows).alias("last"), F.array("doc").alias("least")
+    )
+    if not finer:
+        answers = store(single, "single")
+        discard(counted)
+        return answers
+    several = counted.where(f"n > 1 and n <= {VARIANTS}").select("n", "hash", "segment", "doc", "most", "sid")
+    # Anchors of about as many segments take their steps together.
+    ordered = several.repartition("hash").sortWithinPartitions("n", "hash")
+    ordered = ordered.mapInArrow(_sorted_groups, "hash long, sid long, first array<int>, last array<int>, least array<long>")
+    # Each in a step of its own, so that the shuffle files of one go before the next begins.
+    parts = [store(part, label) for part, label in ((single, "single"), (ordered, "sorted"))]
+    hot = counted.where(f"n > {VARIANTS}")
+    if hot.limit(1).count():
+        schema = "hash long, segment binary, doc long, most long, whole_hash long, whole_sid long, at int"
+        pieces = hot.select("hash", "segment", "doc", "most", "sid").mapInArrow(_finer(finer[0]), schema)
+        pieces = store(pieces.withColumn("sid", F.xxhash64("segment")), "finer")
+        own = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("most").alias("most"))
+        own = store(own, "segments")
+        places = store(pieces.select("hash", "sid", "whole_hash", "whole_sid", "at"), "places")
+        discard(pieces)
+        found = _least_in_windows(own, finer[1:])
+        shifted = [F.transform(c, lambda i: i + F.col("at")).alias(c) for c in ("first", "last")]
+        back = places.join(found, ["hash", "sid"])
+        back = back.select(F.col("whole_hash").alias("hash"), F.col("whole_sid").alias("sid"), *shifted, "least")
+        parts.append(store(back, "hot"))
+        discard(places, found)
+    discard(counted)
+    answers = parts[0]
+    for part in parts[1:]:
+        answers = answers.unionByName(part)
+    answers = store(answers, "answers")
+    discard(*parts)
+    return answers

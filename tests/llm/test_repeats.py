@@ -105,3 +105,27 @@ def test_only_what_the_result_reads_stays_stored(spark, documents):
     assert left == {"cuts"}
     expected = sorted((str(i), n, gone) for i, n, gone, *_ in brute(rows))
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in found.collect()) == expected
+
+
+def test_hot_anchors_are_cut_by_longer_pieces(spark, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "VARIANTS", 4)
+    made, store = [], repeats.store
+    monkeypatch.setattr(repeats, "store", lambda df, label: made.append((label, store(df, label))) or made[-1][1])
+    monkeypatch.setattr(repeats, "discard", lambda *tables: None)
+    rng = random.Random(11)
+    line = "a line of boilerplate that stands in most of the texts, between other words"
+
+    def own(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+
+    rows = [(i, f"{own(60)}{line[rng.randrange(20):]}{rng.choice('xyz')}{rng.choice('xyz')}{own(60)}") for i in range(40)]
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    found = sorted(tuple(r[c] for c in columns) for r in repeats.remove_repeats(documents(rows)).collect())
+    assert found == brute(rows) and any(r[2] for r in found)
+    tables = {}
+    for label, df in made:
+        tables.setdefault(label, []).append(df)
+    assert len(tables["finer"]) == 2
+    windows = sum(len(x.encode()) - repeats.LENGTH + 1 for _, x in rows)
+    assert sum(df.count() for df in tables["finer"]) < windows / 2
+    assert all(df.where("hash is null or octet_length(segment) < 50").count() == 0 for df in tables["finer"])
