@@ -37,7 +37,8 @@ FINER = (33, LENGTH)
 RUN = 200  # windows of a segment at most
 VARIANTS = 200
 BLOCK_ROWS = 400_000
-_BATCH = 1 << 21
+_BATCH = 1 << 20
+_TEXT = 1 << 18  # bytes of text whose arrays still fit a core's cache
 _PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2")])
 
 
@@ -77,7 +78,7 @@ def segments(data: np.ndarray, starts: np.ndarray, gram: int = GRAM):
 def _blocks(count: int):
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", _TEXT):
                 data, starts = flat(part.column("text"))
                 anchor, text, first, windows = segments(data, starts)
                 rows = np.empty(len(anchor), _PACK)
@@ -131,7 +132,7 @@ def _repeated(batches):
         for blob in batch.column("rows"):
             waiting.append(np.frombuffer(blob.as_buffer(), _PACK))
             held += len(waiting[-1])
-            if held >= max(1 << 18, len(known) // 4):
+            if held >= max(BLOCK_ROWS, len(known) // 4):
                 held = 0
                 yield merged()
     if waiting:
@@ -263,31 +264,34 @@ def _sorted_groups(batches):
 
 def _cleaned(batches):
     for batch in batches:
-        for part in steps(batch, "text"):
-            n, gone, runs, kept_texts = [], [], [], []
-            for text, copy, cuts in zip(
-                part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("cuts").to_pylist()
-            ):
-                raw = (text or "").encode()
-                spans = [(0, len(raw))] if copy and len(raw) >= LENGTH else []
-                for lo, hi in sorted((c["lo"], c["hi"]) for c in cuts or ()):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], hi))
-                    else:
-                        spans.append((lo, hi))
-                kept, at = [], 0
-                for lo, hi in spans:
-                    kept.append(raw[at:lo])
-                    at = hi
-                kept = b"".join([*kept, raw[at:]])
-                n.append(len(raw))
-                gone.append(len(raw) - len(kept))
-                runs.append(len(spans))
-                kept_texts.append(kept)
+        for part in steps(batch, "text", _TEXT):
+            data, starts = flat(part.column("text"))
+            size = np.diff(starts)
+            cuts = part.column("cuts")
+            lists, rows = cuts.value_lengths().fill_null(0), cuts.flatten()
+            lo, hi = (np.asarray(rows.field(c)).astype(np.int64) for c in ("lo", "hi"))
+            owner = np.repeat(np.arange(part.num_rows), np.asarray(lists))
+            whole = np.flatnonzero(np.asarray(part.column("copy").fill_null(False)) & (size >= LENGTH))
+            owner = np.concatenate([owner, whole])
+            lo, hi = np.concatenate([lo, np.zeros(len(whole), np.int64)]) + starts[owner], np.concatenate([hi, size[whole]]) + starts[owner]
+            order = np.lexsort((lo, owner))
+            owner, lo, hi = owner[order], lo[order], hi[order]
+            # Texts lie in a row, so no cut of an earlier text reaches into a later one.
+            reached = np.maximum.accumulate(hi)
+            fresh = np.ones(len(lo), bool)
+            fresh[1:] = (lo[1:] > reached[:-1]) | (owner[1:] != owner[:-1])
+            edge = np.zeros(len(data) + 1, np.int32)
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, hi, -1)
+            stays = np.cumsum(edge[:-1]) == 0
+            left = np.concatenate([[0], np.cumsum(stays)])[starts]
+            kept = pa.Array.from_buffers(
+                pa.binary(), part.num_rows, [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(data[stays])]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                    pa.array(runs, pa.int64()), pa.array(kept_texts, pa.binary()),
+                    part.column("doc_id"), pa.array(size), pa.array(size - np.diff(left)),
+                    pa.array(np.bincount(owner[fresh], minlength=part.num_rows)), kept,
                 ],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
@@ -334,11 +338,9 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
     distinct = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"))
     distinct = store(distinct, "segments")
-    places = store(pieces.select("hash", "sid", "doc", "start"), "places")
-    discard(pieces)
     answers = _least_in_windows(distinct, FINER)
     run = F.explode(F.arrays_zip("first", "last", "least")).alias("run")
-    cuts = places.join(answers, ["hash", "sid"])
+    cuts = pieces.select("hash", "sid", "doc", "start").join(answers, ["hash", "sid"])
     cuts = cuts.select("doc", "start", run).where("run.least < doc")
     cuts = cuts.groupBy(F.col("doc").alias("doc_id")).agg(
         F.collect_set(
@@ -347,7 +349,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     )
     cuts = named.join(cuts, "doc_id", "left").where("copy or cuts is not null").select("doc_id", "h", "copy", "cuts")
     cuts = store(cuts, "cuts")
-    discard(named, places, answers)
+    discard(named, pieces, answers)
     keyed = documents.withColumn("h", F.md5(F.col("text").cast("binary")))
     return keyed.join(cuts, ["doc_id", "h"], "left").mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -388,14 +390,12 @@ def _least_in_windows(distinct: DataFrame, finer: tuple[int, ...]) -> DataFrame:
         pieces = store(pieces.withColumn("sid", F.xxhash64("segment")), "finer")
         own = pieces.groupBy("hash", "segment", "sid").agg(F.min("doc").alias("doc"), F.max("most").alias("most"))
         own = store(own, "segments")
-        places = store(pieces.select("hash", "sid", "whole_hash", "whole_sid", "at"), "places")
-        discard(pieces)
         found = _least_in_windows(own, finer[1:])
         shifted = [F.transform(c, lambda i: i + F.col("at")).alias(c) for c in ("first", "last")]
-        back = places.join(found, ["hash", "sid"])
+        back = pieces.select("hash", "sid", "whole_hash", "whole_sid", "at").join(found, ["hash", "sid"])
         back = back.select(F.col("whole_hash").alias("hash"), F.col("whole_sid").alias("sid"), *shifted, "least")
         parts.append(store(back, "hot"))
-        discard(places, found)
+        discard(pieces, found)
     discard(counted)
     answers = parts[0]
     for part in parts[1:]:

@@ -2,6 +2,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,3 +130,30 @@ def test_hot_anchors_are_cut_by_longer_pieces(spark, documents, monkeypatch):
     windows = sum(len(x.encode()) - repeats.LENGTH + 1 for _, x in rows)
     assert sum(df.count() for df in tables["finer"]) < windows / 2
     assert all(df.where("hash is null or octet_length(segment) < 50").count() == 0 for df in tables["finer"])
+
+
+def test_cuts_in_slices_of_a_batch(monkeypatch):
+    monkeypatch.setattr(repeats, "_TEXT", 150)
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        text = None if i % 9 == 0 else "".join(rng.choice("abé") for _ in range(rng.randint(0, 200)))
+        raw = (text or "").encode()
+        ends = sorted(rng.sample(range(len(raw) + 1), 2)) if len(raw) > 60 else None
+        cuts = [{"lo": ends[0], "hi": ends[1]}, {"lo": 0, "hi": 7}, {"lo": 7, "hi": 9}] if ends and i % 3 else None
+        rows.append({"doc_id": i, "text": text, "copy": [None, False, True][i % 3 if i % 5 == 0 else 1], "cuts": cuts})
+    cut = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("copy", pa.bool_()), ("cuts", cut)])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    parts = list(repeats._cleaned([batch.slice(7, 50)]))
+    assert len(parts) > 5
+    for got, r in zip(pa.Table.from_batches(parts).to_pylist(), rows[7:57]):
+        raw = (r["text"] or "").encode()
+        gone = bytearray(len(raw))
+        for c in r["cuts"] or ():
+            gone[c["lo"] : c["hi"]] = b"\1" * (c["hi"] - c["lo"])
+        if r["copy"] and len(raw) >= repeats.LENGTH:
+            gone = bytearray(b"\1" * len(raw))
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(raw)))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        assert got == {"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": sum(gone), "n_spans": spans, "kept": kept}
