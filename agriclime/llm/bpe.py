@@ -25,7 +25,7 @@ from agriclime.llm.common import append_columns
 
 # Fixed value: the word pattern of the vocabulary.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 _SHORT = 48
 _NEVER = np.iinfo(np.int64).max
 
@@ -189,11 +189,15 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts; remembers the words it has seen, up to a fixed number."""
+    """Encodes texts; remembers the words it has seen, up to a fixed number.
+
+    When half of that number is new, the words that were not met since the half before go.
+    """
 
     def __init__(self, vocabulary: Vocabulary, cache_words: int = CACHE_WORDS):
         self.vocabulary, self.cache_words = vocabulary, cache_words
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.words = regex.compile(WORDS).findall
         marks = "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))
         self.split = regex.compile(f"({marks})").split if marks else lambda text: [text]
@@ -204,11 +208,12 @@ class Encoder:
             [w for part in self.split(t) for w in ([part] if part in special else self.words(part))]
             for t in texts
         ]
-        cache = self.cache
-        new = list({w for run in runs for w in run if w not in cache and w not in special})
-        if len(cache) + len(new) > self.cache_words:
-            cache.clear()
-            new = list({w for run in runs for w in run if w not in special})
+        if len(self.cache) > self.cache_words // 2:
+            self.before, self.cache = self.cache, {}
+        cache, before = self.cache, self.before
+        met = {w for run in runs for w in run if w not in cache and w not in special}
+        cache.update((w, before[w]) for w in met if w in before)
+        new = [w for w in met if w not in cache]
         if new:
             cache.update(zip(new, self.vocabulary.encode(new)))
         cache.update(special)
