@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,26 @@ def test_rows_nulls_and_clashing_columns(documents):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == expected(r["text"] or "")
         assert r["n_tokens"] == len(expected(r["text"] or "")) and r["decoded"] == (r["text"] or "")
     assert bpe.encode_decode(documents([]), bpe.vocabulary_content(PATH)).count() == 0
+
+
+def test_words_met_again_outlive_a_full_half():
+    small = bpe.Encoder(ENCODER.vocabulary, cache_words=8)
+    texts = [f"often {chr(97 + i)}x{i} {chr(97 + i)}y{i} {i}" for i in range(20)]
+    assert [small.encode([t])[0] for t in texts] == ENCODER.encode(texts)
+    assert "often" in small.cache or "often" in small.before
+    assert len(small.cache) + len(small.before) <= 30
+
+
+def test_text_rows_are_set_for_the_write_alone(spark, documents):
+    from agriclime.llm.common import TEXT_ROWS, store
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    df = documents([(i, "text") for i in range(5000)]).coalesce(1)
+    found = store(df.mapInArrow(sizes, "n long"), "sizes", TEXT_ROWS)
+    assert max(r["n"] for r in found.collect()) <= TEXT_ROWS and spark.conf.get(name) == before
