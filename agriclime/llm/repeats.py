@@ -6,8 +6,10 @@ other texts:
 
 1. Every window of ``LENGTH`` bytes has an anchor, the least hash of its ``GRAM``-byte
    pieces. Equal windows have equal anchors; runs of windows with one anchor are segments.
-2. Anchors meet by hash in packed blocks. Those that occur once are dropped, which leaves
-   a fraction of the text.
+2. Anchors meet by hash in packed blocks. Those that occur once are dropped. So are those
+   that no other document has between equal bytes: a window reaches ``SIDE`` bytes beyond
+   its anchor on one side at least, so equal windows agree in the bytes there. A fraction
+   of the text is left.
 3. The texts of the other segments are cut out, equal segments become one row with the
    least document, and each anchor's different segments are sorted together: their suffix
    array (``suffixes``) puts equal windows side by side, and gives each the least document.
@@ -21,6 +23,7 @@ other texts:
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +39,29 @@ GRAM = 16
 FINER = (33, LENGTH)
 RUN = 200  # windows of a segment at most
 VARIANTS = 200
+SIDE = (LENGTH - GRAM) // 2  # bytes that every window has before or after its anchor
 BLOCK_ROWS = 400_000
+HELD_ROWS = 5 * BLOCK_ROWS  # whose sides one task compares; beyond them anchors alone count
 _BATCH = 1 << 20
 _TEXT = 1 << 18  # bytes of text whose arrays still fit a core's cache
-_PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2")])
+_PACK = np.dtype([("hash", "<i8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i2"), ("before", "<u2"), ("after", "<u2")])
+_FOUND = ["hash", "doc", "start", "count"]
+_NONE, _ANY = 0, 65535  # instead of a side's hash: no window has that side; windows with several anchors
 
 
 def segments(data: np.ndarray, starts: np.ndarray, gram: int = GRAM):
     """(anchor, text, first window, windows) of every segment of all texts."""
+    return _segments(data, starts, gram)[:4]
+
+
+def _segments(data: np.ndarray, starts: np.ndarray, gram: int):
+    """What ``segments`` returns, the prefix sums of the bytes and the hashes of all pieces."""
     windows = len(data) - LENGTH + 1
     if windows <= 0:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 4 + (prefix(data), np.zeros(0, np.uint64))
     at = np.arange(len(data) - gram + 1)
-    least = span_hash(prefix(data), at, at + gram)
+    sums = prefix(data)
+    pieces = least = span_hash(sums, at, at + gram)
     span, width = 1, LENGTH - gram + 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -72,7 +85,30 @@ def segments(data: np.ndarray, starts: np.ndarray, gram: int = GRAM):
     first = begin[which] + number * RUN
     count = np.minimum(end[which] - first, RUN)
     text = np.searchsorted(starts, first, "right") - 1
-    return least[first].view(np.int64), text, first, count
+    return least[first].view(np.int64), text, first, count, sums, pieces
+
+
+def _sides(anchor: np.ndarray, first: np.ndarray, count: np.ndarray, sums: np.ndarray, pieces: np.ndarray):
+    """Hashes of the ``SIDE`` bytes before and after every segment's anchor, in 16 bits.
+
+    A window's anchor is the first piece of its hash. Segments in which it is not the same
+    for all windows (periodic text) have ``_ANY`` for both.
+    """
+    place = np.full(len(first), -1)
+    todo = np.arange(len(first))
+    for i in range(LENGTH - GRAM + 1):
+        found = pieces[first[todo] + i] == anchor[todo].view(np.uint64)
+        place[todo[found]] = first[todo[found]] + i
+        todo = todo[~found]
+    last = first + count - 1
+    sides = []
+    for held, begin in ((first <= place - SIDE, place - SIDE), (last >= place - (LENGTH - GRAM - SIDE), place + GRAM)):
+        own = np.flatnonzero(held)
+        side = np.full(len(first), _NONE, np.uint16)
+        side[own] = 1 + span_hash(sums, begin[own], begin[own] + SIDE) % np.uint64(_ANY - 1)
+        side[place < last] = _ANY
+        sides.append(side)
+    return sides
 
 
 def _blocks(count: int):
@@ -80,8 +116,9 @@ def _blocks(count: int):
         for batch in batches:
             for part in steps(batch, "text", _TEXT):
                 data, starts = flat(part.column("text"))
-                anchor, text, first, windows = segments(data, starts)
+                anchor, text, first, windows, sums, pieces = _segments(data, starts, GRAM)
                 rows = np.empty(len(anchor), _PACK)
+                rows["before"], rows["after"] = _sides(anchor, first, windows, sums, pieces)
                 rows["hash"], rows["doc"] = anchor, np.asarray(part.column("doc_id"))[text]
                 rows["start"], rows["count"] = first - starts[text], windows
                 block = (anchor.view(np.uint64) >> np.uint64(20)) % np.uint64(count)
@@ -95,7 +132,52 @@ def _blocks(count: int):
     return run
 
 
+def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether rows of several documents have each row's key."""
+    order = np.lexsort((doc, key))
+    own, docs = key[order], doc[order]
+    heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    counts = np.diff(np.append(heads, len(own)))
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(docs[heads] != docs[heads + counts - 1], counts)
+    return out
+
+
+def _between_equal_bytes(rows: np.ndarray) -> np.ndarray:
+    """The rows whose anchor another document has between bytes that agree on one side."""
+    rows = rows[np.argsort(rows["hash"], kind="stable")]
+    group = np.cumsum(np.append(False, rows["hash"][1:] != rows["hash"][:-1])[: len(rows)])
+    several = np.bincount(group, minlength=1)[group] > 1
+    rows, group = rows[several], group[several]
+    doc = rows["doc"].copy()
+    periodic = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+    periodic[group[rows["before"] == _ANY]] = True
+    used = periodic[group] & _several(group, doc)
+    for side in ("before", "after"):
+        own = rows[side].astype(np.int64)
+        used |= (own != _NONE) & _several(group << 16 | own, doc)
+    return rows[used]
+
+
+def _found(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[c].copy()) for c in _FOUND], _FOUND)
+
+
 def _repeated(batches):
+    """Rows whose windows may come up again in another document."""
+    blobs = (np.frombuffer(blob.as_buffer(), _PACK) for batch in batches for blob in batch.column("rows"))
+    waiting, held = [], 0
+    for rows in blobs:
+        waiting.append(rows)
+        held += len(rows)
+        if held > HELD_ROWS:
+            yield from _streamed(chain(waiting, blobs))
+            return
+    if held:
+        yield _found(_between_equal_bytes(np.concatenate(waiting)))
+
+
+def _streamed(blobs):
     """Rows whose anchor comes up again, in a stream: one row is remembered per anchor."""
     known = np.empty(0, _PACK)
     told = np.empty(0, bool)
@@ -124,17 +206,15 @@ def _repeated(batches):
         told = np.concatenate([told, counts[~old] > 1])
         order = np.argsort(known["hash"], kind="stable")
         known, told = known[order], told[order]
-        out = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(out[c].copy()) for c in _PACK.names], list(_PACK.names))
+        return _found(np.concatenate(out))
 
     held = 0
-    for batch in batches:
-        for blob in batch.column("rows"):
-            waiting.append(np.frombuffer(blob.as_buffer(), _PACK))
-            held += len(waiting[-1])
-            if held >= max(BLOCK_ROWS, len(known) // 4):
-                held = 0
-                yield merged()
+    for rows in blobs:
+        waiting.append(rows)
+        held += len(rows)
+        if held >= max(BLOCK_ROWS, len(known) // 4):
+            held = 0
+            yield merged()
     if waiting:
         yield merged()
 

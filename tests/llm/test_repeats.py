@@ -157,3 +157,37 @@ def test_cuts_in_slices_of_a_batch(monkeypatch):
         spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(raw)))
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         assert got == {"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": sum(gone), "n_spans": spans, "kept": kept}
+
+
+def test_phrases_shorter_than_a_window_are_not_cut_out(documents, monkeypatch):
+    made, store = {}, repeats.store
+    monkeypatch.setattr(repeats, "store", lambda df, label: made.setdefault(label, store(df, label)))
+    monkeypatch.setattr(repeats, "discard", lambda *tables: None)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, passage = "a phrase of 29 bytes is here.", own(90)
+    rows = [(i, f"{own(70)}{phrase}{own(70)}") for i in range(30)]
+    rows += [(100 + i, f"{own(40)}{passage}{own(40)}") for i in range(2)]
+    found = sorted(tuple(r) for r in repeats.remove_repeats(documents(rows)).collect())
+    assert [(*r[:4], bytes(r[4])) for r in found] == brute(rows)
+    docs = {r["doc"] for r in made["pieces"].collect()}
+    assert {100, 101} <= docs and len(docs) < 8  # the phrase alone brings all 30
+
+
+def test_rows_kept_by_their_sides_hold_all_shared_windows(monkeypatch):
+    rng = random.Random(13)
+    for alphabet in ("ab", "abcdefgh", "x", "abcdefghijklmnop "):
+        passages = ["".join(rng.choice(alphabet) for _ in range(rng.randint(40, 130))) for _ in range(4)]
+        make = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) + rng.choice([*passages, "", "ab" * 200])  # noqa: E731, B023
+        texts = ["".join(make() for _ in range(rng.randint(1, 4))) for _ in range(25)]
+        where = {}
+        for doc, text in enumerate(texts):
+            for start in range(len(text) - repeats.LENGTH + 1):
+                where.setdefault(text[start : start + repeats.LENGTH], set()).add((doc, start))
+        shared = {w for places in where.values() if len({d for d, _ in places}) > 1 for w in places}
+        batch = pa.RecordBatch.from_arrays([pa.array(range(25)), pa.array(texts)], ["doc_id", "text"])
+        for held in (repeats.HELD_ROWS, 10):  # beyond it, anchors alone
+            monkeypatch.setattr(repeats, "HELD_ROWS", held)
+            found = [r for b in repeats._repeated(repeats._blocks(1)([batch])) for r in b.to_pylist()]
+            assert shared <= {(r["doc"], s) for r in found for s in range(r["start"], r["start"] + r["count"])}
+            monkeypatch.undo()
